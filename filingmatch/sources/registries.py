@@ -19,7 +19,8 @@ from ..functions.phones import norm_phone
 from ..functions.places import clean_zip, state_from_zip
 from .spec import FILING_COLUMNS, SourceSpec, register
 
-_NO_EXTRA = F.create_map().cast("map<string,string>")
+def _no_extra() -> Column:
+    return F.create_map().cast("map<string,string>")
 
 
 def _or(c: Column | str, fallback: Column | str) -> Column:
@@ -31,9 +32,9 @@ def _filing(df: DataFrame, source: str, rid: Column, tie: Column, **values: Colu
     """Filings of one source from expressions over its raw rows; what is not given is empty. Newest first wins an id."""
     given: dict[str, Column] = {
         "trade_name": F.lit(""), "entity_type": F.lit(""), "individual": F.lit(False), "industry": F.lit(""), "phone": F.lit(""),
-        "emails": no_strings(), "coded": F.lit(True), "extra": _NO_EXTRA, **values,
+        "emails": no_strings(), "coded": F.lit(True), "extra": _no_extra(), **values,
         "id": F.concat(F.lit(source + ":"), rid), "source": F.lit(source)}
-    first = F.struct((-F.unix_date(F.coalesce(given["registered"], F.lit(date(1, 1, 1))))).alias("age"), tie.alias("tie"))
+    first = F.struct(F.coalesce(-F.unix_date(given["registered"]), F.lit(2**31 - 1)).alias("age"), tie.alias("tie"))
     return df.select(*[given[c].alias(c) for c in FILING_COLUMNS], first.alias("_first"))
 
 
@@ -44,7 +45,7 @@ def _trade(name: Column, other: Column) -> Column:
 # ------------------------------------------------------------------------------------------------------------------ Texas
 def _tx_scan(since: date, until: date) -> Column:
     d = F.col("outlet_permit_issue_date")
-    return (d >= since.isoformat()) & (F.substring(d, 1, 10) <= until.isoformat()) & number_is_it("outlet_naics_code")
+    return (d >= since.isoformat()) & (d <= until.isoformat() + "T00:00:00.000") & number_is_it("outlet_naics_code")
 
 
 def _tx(raw: DataFrame) -> DataFrame:
