@@ -182,3 +182,97 @@ def is_it_text(e: str) -> str:
     return f"regexp_matches({e}, '^({'|'.join(V.IT_PREFIXES)})')"
 
 
+
+
+# ------------------------------------------------------------------------------------------------------ names of people
+_JUNK = V.BIZ_WORDS + V.PLACEHOLDER_WORDS + V.UI_WORDS + V.TRADE_WORDS + V.ROLE_WORDS + V.PLACE_WORDS + V.BRAND_WORDS
+
+
+def _upper(e: str) -> str:
+    return f"({e} = upper({e}) AND {e} <> lower({e}))"
+
+
+def _lower(e: str) -> str:
+    return f"({e} = lower({e}) AND {e} <> upper({e}))"
+
+
+def _bare(t: str) -> str:
+    return f"rtrim({t}, '.')"
+
+
+def _initial(t: str) -> str:
+    return f"regexp_matches({t}, '^((\\p{{Lu}}\\.){{1,3}}|\\p{{Lu}})$')"
+
+
+def person_name(e: str, registry: str = "false", company: str | None = None) -> str:
+    """Null unless the text looks like a person's name. `company` is a list of the company's own words."""
+    n0 = f"trim(nfc_normalize({e}), ' ,.-–—|•:')"
+    toks = "list_filter(string_split(replace(n0, '’', ''''), ' '), lambda a1: a1 <> '')"
+    polite = let(toks, "k0", f"CASE WHEN len(k0) > 2 AND lower(trim(k0[1], '.')) IN {among(V.HONORIFICS)} THEN k0[2:] ELSE k0 END")
+    spoken = f"array_to_string(CASE WHEN lower({_bare('k1[len(k1)]')}) IN {among(V.NAME_SUFFIX)} THEN k1[1:len(k1) - 1] ELSE k1 END, ' ')"
+    pieces = "regexp_extract_all(lower(a2), '[''’\\-.]|[^''’\\-.]+')"
+    recase = (f"CASE WHEN a3 > 1 AND a3 < len(k1) AND lower(a2) IN {among(V.PARTICLES)} THEN lower(a2) WHEN lower({_bare('a2')}) IN ('ii', 'iii', 'iv') THEN upper(a2) "
+              f"ELSE array_to_string(list_transform({pieces}, lambda a4: {capital('a4')}), '') END")
+    cased = let(polite, "k1", f"CASE WHEN coalesce({_upper(spoken)} OR ({registry} AND {_lower(spoken)}), false) THEN list_transform(k1, lambda a2, a3: {recase}) ELSE k1 END")
+    particle = f"(a6 > 1 AND a6 < len(k2) AND {_lower(_bare('a5'))} AND lower({_bare('a5')}) IN {among(V.PARTICLES)})"
+    given = f"(lower({_bare('k2[1]')}) IN {among(V.DEFAULT_GIVEN_NAMES)})"
+    lead = (f"coalesce(list_position(list_transform(k2[1:len(k2) - 1], lambda a7: {_initial('a7')}), false) - 1, len(k2) - 1)")
+    letters = f"replace(replace({_bare('a5')}, '''', ''), '-', '')"
+    low = f"lower({letters})"
+    word_ok = f"""CASE WHEN {particle} OR a6 <= ld OR (a6 > 1 AND a6 < len(k2) AND {_initial('a5')}) THEN true
+ WHEN NOT regexp_matches({_bare('a5')}, '^\\p{{Lu}}(\\p{{L}}|[''-])*$') OR regexp_matches({_bare('a5')}, '[^\\x{{0000}}-\\x{{024F}}\\x{{1E00}}-\\x{{1EFF}}]')
+   OR length({_bare('a5')}) > 24 OR {letters} = '' THEN false
+ WHEN ends_with(a5, '.') AND length({letters}) > 4 THEN false
+ WHEN length({letters}) = 1 THEN a6 = len(k2) AND len(k2) = 2 AND ld = 0 AND length({_bare('k2[1]')}) >= 2 AND {letters} NOT IN ('A', 'I')
+   AND lower(k2[1]) NOT IN {among(V.LABEL_WORDS)} AND NOT ends_with(a5, '.')
+ WHEN {low} IN {among(V.NAME_SUFFIX)} AND a6 = len(k2) THEN true
+ WHEN length({letters}) >= 3 AND {_upper(letters)} THEN false
+ WHEN regexp_matches({_bare('a5')}, '[a-z][A-Z][A-Z]') THEN false
+ WHEN a6 = len(k2) AND (({low} IN {among(V.LAST_OK)} AND NOT ends_with(a5, '.')) OR ({given} AND {low} IN {among(V.SURNAMEABLE)})) THEN true
+ WHEN {low} IN {among(V.NOT_NAME + _JUNK)} THEN false
+ ELSE NOT list_has_any(string_split(lower({_bare('a5')}), '-'), {items(_JUNK)}) END"""
+    words = f"list_transform(k2, lambda a8: lower({_bare('a8')}))"
+    final = f"lower({_bare('k2[len(k2)]')})"
+    place = (f"(len(k2) = 2 AND {words}[2] IN {among(V.STATES)} AND {words}[1] IN {among(V.STATES + V.CITIES)})")
+    listed = (f"(array_to_string({words}, ' ') IN {among(V.PHRASES)} OR ({final} IN {among(V.STREET_WORDS)} AND NOT {given}) "
+              f"OR len(list_filter({words}, lambda a9: a9 NOT IN {among(V.SCENERY)})) = 0 OR {place})")
+    names = f"len(list_filter(k2, lambda a5, a6: NOT {particle}))"
+    lead_letters = "length(replace(array_to_string(k2[1:ld], ''), '.', ''))"
+    verdict = let(lead, "ld", f"{names} BETWEEN 2 AND 4 AND (ld = 0 OR (ld <= 2 AND {lead_letters} + len(k2) - ld >= 3)) "
+                  f"AND len(list_filter(list_transform(k2, lambda a5, a6: {word_ok}), lambda b1: NOT b1)) = 0")
+    own = ""
+    if company:
+        own = (f" AND NOT (NOT {registry} AND len({company}) > 0 AND len(list_filter({words}, lambda b2: b2 NOT IN {among(V.LEGAL_SUFFIX)} "
+               f"AND NOT list_contains({company}, b2))) = 0)")
+    judged = let(cased, "k2", f"CASE WHEN len(k2) BETWEEN 2 AND {V.NAME_TOKENS_MAX} AND NOT {listed} AND {verdict}{own} THEN array_to_string(k2, ' ') END")
+    return let(n0, "n0", f"CASE WHEN n0 <> '' AND length(n0) <= {V.NAME_MAX} AND NOT regexp_matches(n0, '[\\x00-\\x1f]') AND contains(n0, ' ') THEN {judged} END")
+
+
+def _trim_title(e: str) -> str:
+    edge = "[\\s,;:.\\-–—|•·]*"
+    rest = f"regexp_replace(tt, '^{edge}', '')"
+    return let(e, "tt", f"rtrim(CASE WHEN regexp_matches(tt, '^{edge}\\.\\p{{L}}') THEN '.' || {rest} ELSE {rest} END, ' ,;:.-–—|•·')")
+
+
+def clean_title(e: str) -> str:
+    """A job title as plain text, '' when the text is none."""
+    t = _trim_title(squeeze(f"translate(coalesce({e}, ''), '‐‑‒–—―−', '-------')"))
+    for _ in range(3):
+        t = f"regexp_replace({t}, {lit(V.TITLE_FRONT)}, '')"
+    t = _trim_title(t)
+    parts = f"list_filter(list_transform(string_split_regex(c0, {lit(V.TITLE_SPLIT)}), lambda p1: trim(p1)), lambda p2: p2 <> '' AND length(p2) <= 60 AND regexp_matches(p2, {lit(V.LEAD_TITLE)}))"
+    t = let(t, "c0", f"CASE WHEN length(c0) > 60 THEN coalesce({parts}[1], '') ELSE c0 END")
+    for _ in range(3):
+        t = f"trim(regexp_replace({t}, {lit(V.TITLE_TAIL)}, ''))"
+    t = let(t, "c1", "CASE WHEN c1 LIKE '(%)' AND length(replace(c1, '(', '')) = length(c1) - 1 THEN trim(c1[2:length(c1) - 1]) ELSE c1 END")
+    word_letters = "replace(replace(replace(w1, '-', ''), '''', ''), '’', '')"
+    fixed = (f"CASE WHEN NOT regexp_matches(w1, '^[A-Za-z]') THEN w1 WHEN i1 > 1 AND w1 IN {among(V.TITLE_SMALL)} THEN lower(w1) "
+             f"WHEN length({word_letters}) < 3 OR w1 IN {among(V.TITLE_ABBREV)} THEN w1 "
+             f"ELSE array_to_string(list_transform(string_split(w1, '-'), lambda p3: CASE WHEN p3 IN {among(V.TITLE_ABBREV)} THEN p3 ELSE {capital('p3')} END), '-') END")
+    calm = f"CASE WHEN {_upper('c2')} THEN array_to_string(list_transform(regexp_extract_all(c2, '[A-Za-z]+([-''’][A-Za-z]+)*|[^A-Za-z]+'), lambda w1, i1: {fixed}), '') ELSE c2 END"
+    return let(t, "c2", f"CASE WHEN c2 = '' OR length(c2) > 60 OR NOT regexp_matches(c2, {lit(V.TITLE_CHARS)}) THEN '' ELSE "
+               + let(calm, "c3", "CASE WHEN regexp_matches(c3, '^[a-z][A-Z]') THEN c3 ELSE upper(c3[1:1]) || c3[2:] END") + " END")
+
+
+def is_lead(e: str) -> str:
+    return f"regexp_matches(coalesce({e}, ''), {lit(V.LEAD_TITLE)})"

@@ -174,17 +174,18 @@ _TITLES = f"""SELECT k, {L._picks('k', 'Meet the', '', 'Our', 'THE', '- ', '(',
  {L._picks('k', ' of', '', ' &', ', ' , ' - ' , ')', ' and', ' | Head of a very long list of duties that never ends at all')} AS title FROM ({L.REG}) r"""
 
 
-@query("b22_clean_title")
+@query("b22_clean_title", f"SELECT k, title, {C.clean_title('title')} AS clean FROM ({_TITLES}) t")
 def b22(spark, sf):
     return L.landed(spark, sf, _TITLES).select("k", "title", H.clean_title("title").alias("clean"))
 
 
 _NAMES = f"""SELECT k, {L._picks('k', 'Linda', 'ROBERT', 'J.', 'maria de', 'Dr. Susan', 'Jobs', 'Oak', 'José')} || ' ' ||
- {L._picks('k', 'Marlow', 'KELLER', 'Lane', 'Pipeline', 'jr', 'O’Neil', 'Valley', 'van Dyke', 'York', 'III', 'Do')} || {L._picks('k', '', ' Jr.', '', ' Stone', '')} AS person,
+ {L._picks('k', 'Marlow', 'KELLER', 'Lane', 'Pipeline', 'jr', 'O’Neil', 'Valley', 'van Dyke', 'York', 'III', 'Do')} || {L._picks('k', '', ' Jr.', '', ' Stone', '', ' de la Cruz', ' & Co')} AS person,
  legal FROM ({L.REG}) r"""
 
 
-@query("b23_person_name")
+@query("b23_person_name", f"""SELECT k, person, {C.person_name('person')} AS on_page, {C.person_name('person', 'true')} AS in_filing,
+  {C.person_name('person', 'false', C.core_tokens("person || ' LLC'"))} AS own_name FROM ({_NAMES}) n""")
 def b23(spark, sf):
     names = L.landed(spark, sf, _NAMES)
     return names.select("k", "person", H.person_name("person").alias("on_page"), H.person_name("person", registry=True).alias("in_filing"),
