@@ -38,6 +38,11 @@ def strings(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def among(c: Column | str, words: Iterable[str]) -> Column:
+    """Membership in a list of words, as one constant of the plan however long the list is (no word holds a comma)."""
+    return F.find_in_set(col(c), F.lit(",".join(words))) > 0
+
+
 def no_strings() -> Column:
     return F.array().cast("array<string>")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .core import col, let, strip, strings, text
+from .core import among, col, let, strip, strings, text
 
 
 def local_part(e: Column | str) -> Column:
@@ -32,7 +32,7 @@ def email_kind(c: Column | str) -> Column:
 
     def kind(e: Column) -> Column:
         domain = F.split_part(e, F.lit("@"), F.lit(2))
-        return (F.when(~F.contains(e, F.lit("@")), "none").when(domain.isin(V.FREE_MAIL), "free")
+        return (F.when(~F.contains(e, F.lit("@")), "none").when(among(domain, V.FREE_MAIL), "free")
                 .when(_agent(domain), "agent").otherwise("own"))
 
     return let(F.lower(strip(text(c))), kind)
@@ -67,7 +67,7 @@ def site_root(c: Column | str) -> Column:
         n = F.size(labels)
         two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
         three = F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), 3), ".")
-        return F.when((n >= 3) & two.isin(V.PUBLIC_SUFFIX_2), three).otherwise(two)
+        return F.when((n >= 3) & among(two, V.PUBLIC_SUFFIX_2), three).otherwise(two)
 
     return let(F.split(F.regexp_replace(F.lower(text(c)), r"^\.+|\.+$", ""), r"\."), root)
 

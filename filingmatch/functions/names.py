@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .core import capitalize, col, is_lower, is_upper, let, squeeze, text
+from .core import among, capitalize, col, is_lower, is_upper, let, squeeze, text
 
 
 def flat(c: Column | str) -> Column:
@@ -17,8 +17,8 @@ def flat(c: Column | str) -> Column:
 def core_tokens(c: Column | str) -> Column:
     """The words of a company name without its legal form."""
     spaced = F.regexp_replace(F.replace(F.lower(text(c)), F.lit("&"), F.lit(" and ")), "[^a-z0-9 ]", " ")
-    words = F.filter(F.split(spaced, " +"), lambda w: (w != "") & ~w.isin(V.LEGAL_SUFFIX))
-    return let(words, lambda t: F.when((F.size(t) > 1) & F.element_at(t, -1).isin(V.FOREIGN_SUFFIX),
+    words = F.filter(F.split(spaced, " +"), lambda w: (w != "") & ~among(w, V.LEGAL_SUFFIX))
+    return let(words, lambda t: F.when((F.size(t) > 1) & among(F.element_at(t, -1), V.FOREIGN_SUFFIX),
                                        F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))).otherwise(t))
 
 
@@ -32,7 +32,7 @@ def slugs(c: Column | str) -> Column:
     def labels(t: Column) -> Column:
         n = F.size(t)
         joined = F.array_join(t, "")
-        plain = F.filter(t, lambda w: ~w.isin(V.GENERIC))
+        plain = F.filter(t, lambda w: ~among(w, V.GENERIC))
         plain_joined = F.array_join(plain, "")
         short = F.replace(F.replace(joined, F.lit("technologies"), F.lit("tech")), F.lit("technology"), F.lit("tech"))
         without_last = F.array_join(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), "")
@@ -48,7 +48,7 @@ def slugs(c: Column | str) -> Column:
             at_least(4, plain_joined, F.size(plain) < n),
             at_least(4, short, short != joined),
             at_least(5, without_last, n >= 3),
-            at_least(5, first, (n >= 2) & ~first.isin(V.GENERIC)),
+            at_least(5, first, (n >= 2) & ~among(first, V.GENERIC)),
         )))
 
     return let(core_tokens(c), labels)
@@ -56,7 +56,7 @@ def slugs(c: Column | str) -> Column:
 
 def _tidy_word(w: Column) -> Column:
     bare = F.regexp_replace(w, "[^A-Za-z]", "")
-    kept = bare.isin(V.UPPER_TOKENS) | F.contains(w, F.lit("&")) | (F.contains(w, F.lit(".")) & (F.length(bare) <= 2))
+    kept = among(bare, V.UPPER_TOKENS) | F.contains(w, F.lit("&")) | (F.contains(w, F.lit(".")) & (F.length(bare) <= 2))
     return F.when(kept, w).otherwise(F.array_join(F.transform(F.split(w, "-"), capitalize), "-"))
 
 
@@ -70,7 +70,7 @@ def tidy_address(c: Column | str) -> Column:
     """A street address in readable case, ordinals small (21st)."""
 
     def recased(a: Column) -> Column:
-        words = F.transform(F.split(a, " "), lambda w: F.when(F.upper(w).isin(V.UPPER_TOKENS), w).otherwise(capitalize(w)))
+        words = F.transform(F.split(a, " "), lambda w: F.when(among(F.upper(w), V.UPPER_TOKENS), w).otherwise(capitalize(w)))
         out = F.array_join(words, " ")
         for suffix in ("St", "Nd", "Rd", "Th"):
             out = F.regexp_replace(out, rf"\b(\d+){suffix}\b", f"$1{suffix.lower()}")

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .core import capitalize, col, is_lower, is_upper, let, squeeze, strip, text
+from .core import among, capitalize, col, is_lower, is_upper, let, squeeze, strip, text
 
 _MARKS = "̀-ͯ"
 _LATIN = "\\u0000-\\u024F\\u1E00-\\u1EFF"
@@ -62,13 +62,13 @@ def _is_initial(t: Column) -> Column:
 def _recase(w: Column, inside: Column) -> Column:
     low = F.replace(F.lower(w), F.lit("i̇"), F.lit("i"))
     pieces = F.regexp_extract_all(low, F.lit(r"['’\-.]|[^'’\-.]+"), F.lit(0))
-    return (F.when(inside & F.lower(w).isin(V.PARTICLES), F.lower(w))
+    return (F.when(inside & among(F.lower(w), V.PARTICLES), F.lower(w))
             .when(F.lower(_no_dots(w)).isin("ii", "iii", "iv"), F.upper(w))
             .otherwise(F.array_join(F.transform(pieces, capitalize), "")))
 
 
 def _is_particle(t: Column, inside: Column) -> Column:
-    return inside & is_lower(_no_dots(t)) & F.lower(_no_dots(t)).isin(V.PARTICLES)
+    return inside & is_lower(_no_dots(t)) & among(F.lower(_no_dots(t)), V.PARTICLES)
 
 
 def _word_ok(t: Column, i: Column, toks: Column, last: Column, lead: Column, given: Column) -> Column:
@@ -82,18 +82,18 @@ def _word_ok(t: Column, i: Column, toks: Column, last: Column, lead: Column, giv
     shaped = bare.rlike(rf"^[\p{{Lu}}&&[{_LATIN}]](?:[\p{{L}}&&[{_LATIN}]]|['-])*$")
     first = F.get(toks, F.lit(0))
     lone_surname = ((i == last) & (F.size(toks) == 2) & (lead == 0) & (F.length(_no_dots(first)) >= 2) & ~letters.isin("A", "I")
-                    & ~F.lower(first).isin(V.LABEL_WORDS) & ~dotted)
-    surname = (i == last) & ((low.isin(V.LAST_OK) & ~dotted) | (given & low.isin(V.SURNAMEABLE)))
+                    & ~among(F.lower(first), V.LABEL_WORDS) & ~dotted)
+    surname = (i == last) & ((among(low, V.LAST_OK) & ~dotted) | (given & among(low, V.SURNAMEABLE)))
     return (F.when(_is_particle(t, inside) | (i < lead) | (inside & _is_initial(t)), True)
             .when(~shaped | (F.length(bare) > 24) | (n == 0), False)
             .when(dotted & (n > 4), False)
             .when(n == 1, lone_surname)
-            .when(low.isin(V.NAME_SUFFIX) & (i == last), True)
+            .when(among(low, V.NAME_SUFFIX) & (i == last), True)
             .when((n >= 3) & is_upper(letters), False)
             .when(bare.rlike("[a-z][A-Z]{2,}"), False)
             .when(surname, True)
-            .when(low.isin(_NEVER), False)
-            .otherwise(~F.exists(F.split(F.lower(bare), "-"), lambda p: p.isin(_JUNK))))
+            .when(among(low, _NEVER), False)
+            .otherwise(~F.exists(F.split(F.lower(bare), "-"), lambda p: among(p, _JUNK))))
 
 
 def person_name(c: Column | str, registry: Column | bool = False, company_tokens: Column | None = None,
@@ -107,23 +107,25 @@ def person_name(c: Column | str, registry: Column | bool = False, company_tokens
 
     def words_of(n: Column) -> Column:
         toks = F.filter(F.split(F.replace(n, F.lit("’"), F.lit("'")), " "), lambda t: t != "")
-        polite = F.lower(F.trim(F.get(toks, F.lit(0)), F.lit("."))).isin(V.HONORIFICS)
+        polite = among(F.lower(F.trim(F.get(toks, F.lit(0)), F.lit("."))), V.HONORIFICS)
         return F.when((F.size(toks) > 2) & polite, F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1)))).otherwise(toks)
 
     def cased(toks: Column) -> Column:
         last = F.size(toks) - 1
-        spoken = F.array_join(F.filter(toks, lambda t, i: ~((i == last) & F.lower(_no_dots(t)).isin(V.NAME_SUFFIX))), " ")
+        spoken = F.array_join(F.filter(toks, lambda t, i: ~((i == last) & among(F.lower(_no_dots(t)), V.NAME_SUFFIX))), " ")
         again = is_upper(spoken) | (in_filing & is_lower(spoken))
         return F.when(again, F.transform(toks, lambda t, i: _recase(t, (i > 0) & (i < last)))).otherwise(toks)
 
     def judged(toks: Column) -> Column:
+        return let(F.transform(toks, lambda t: F.lower(_no_dots(t))), lambda words: verdict_of(toks, words))
+
+    def verdict_of(toks: Column, words: Column) -> Column:
         n = F.size(toks)
         last = n - 1
         before_last = F.slice(toks, 1, F.greatest(last, F.lit(0)))
         broken = F.array_position(F.transform(before_last, _is_initial), False).cast("int")
         lead_of = F.when(broken > 0, broken - 1).otherwise(last)
-        given = F.lower(_no_dots(F.get(toks, F.lit(0)))).isin(list(lexicon.given_names))
-        words = F.transform(toks, lambda t: F.lower(_no_dots(t)))
+        given = among(F.get(words, F.lit(0)), lexicon.given_names)
         final = F.element_at(words, -1)
 
         def verdict(lead: Column) -> Column:
@@ -132,14 +134,14 @@ def person_name(c: Column | str, registry: Column | bool = False, company_tokens
             fits = F.forall(F.transform(toks, lambda t, i: _word_ok(t, i, toks, last, lead, given)), lambda ok: ok)
             return (names.between(2, 4) & ((lead == 0) | ((lead <= 2) & (lead_letters + n - lead >= 3))) & fits)
 
-        place = ((n == 2) & F.get(words, F.lit(1)).isin(V.STATES)
-                 & (F.get(words, F.lit(0)).isin(V.CITIES) | F.get(words, F.lit(0)).isin(V.STATES)))
-        listed = (F.array_join(words, " ").isin(V.PHRASES) | (final.isin(V.STREET_WORDS) & ~given)
-                  | F.forall(words, lambda w: w.isin(V.SCENERY)) | place)
+        place = ((n == 2) & among(F.get(words, F.lit(1)), V.STATES)
+                 & (among(F.get(words, F.lit(0)), V.CITIES) | among(F.get(words, F.lit(0)), V.STATES)))
+        listed = (among(F.array_join(words, " "), V.PHRASES) | (among(final, V.STREET_WORDS) & ~given)
+                  | F.forall(words, lambda w: among(w, V.SCENERY)) | place)
         ok = n.between(2, V.NAME_TOKENS_MAX) & ~listed & let(lead_of, verdict)
         if company_tokens is not None:
             own = F.coalesce(company_tokens, F.array().cast("array<string>"))
-            said = F.filter(words, lambda w: ~w.isin(V.LEGAL_SUFFIX))
+            said = F.filter(words, lambda w: ~among(w, V.LEGAL_SUFFIX))
             ok = ok & ~(~in_filing & (F.size(own) > 0) & (F.size(F.array_except(said, own)) == 0))
         return F.when(ok, F.array_join(toks, " "))
 
@@ -162,9 +164,9 @@ def _unshout(title: Column) -> Column:
 
     def fix(w: Column, i: Column) -> Column:
         letters = F.regexp_replace(w, "[-'’]", "")
-        parts = F.transform(F.split(w, "-"), lambda p: F.when(p.isin(V.TITLE_ABBREV), p).otherwise(capitalize(p)))
-        return (F.when(~w.rlike("^[A-Za-z]"), w).when((i > 0) & w.isin(V.TITLE_SMALL), F.lower(w))
-                .when((F.length(letters) < 3) | w.isin(V.TITLE_ABBREV), w).otherwise(F.array_join(parts, "-")))
+        parts = F.transform(F.split(w, "-"), lambda p: F.when(among(p, V.TITLE_ABBREV), p).otherwise(capitalize(p)))
+        return (F.when(~w.rlike("^[A-Za-z]"), w).when((i > 0) & among(w, V.TITLE_SMALL), F.lower(w))
+                .when((F.length(letters) < 3) | among(w, V.TITLE_ABBREV), w).otherwise(F.array_join(parts, "-")))
 
     return F.array_join(F.transform(runs, fix), "")
 

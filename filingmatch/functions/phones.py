@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .core import let, text
+from .core import among, let, text
 
 
 def digits(c: Column | str) -> Column:
@@ -26,7 +26,7 @@ def norm_phone(c: Column | str) -> Column:
 def _placeholder(d: Column) -> Column:
     area, exchange = F.substring(d, 1, 3), F.substring(d, 4, 3)
     return ((d == "") | area.rlike("^[01]") | exchange.rlike("^[01]") | (exchange == "555") | area.endswith("11")
-            | d.rlike(r"^(\d)\1{9}$") | area.isin(V.NON_GEOGRAPHIC_AREAS))
+            | d.rlike(r"^(\d)\1{9}$") | among(area, V.NON_GEOGRAPHIC_AREAS))
 
 
 def placeholder_phone(c: Column | str) -> Column:
@@ -49,7 +49,7 @@ def phone_reject_reason(c: Column | str) -> Column:
                 .when(exchange == "555", "555 exchange")
                 .when(area.endswith("11"), "service code")
                 .when(d.rlike(r"^(\d)\1{9}$"), "one digit repeated")
-                .when(area.isin(V.NON_GEOGRAPHIC_AREAS), "area without a place")
+                .when(among(area, V.NON_GEOGRAPHIC_AREAS), "area without a place")
                 .otherwise(""))
 
     return let(norm_phone(c), reason)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .core import blank_to_null, is_upper, let, text, title_case
+from .core import among, blank_to_null, is_upper, let, text, title_case
 from .names import tidy_address
 
 
@@ -51,7 +51,7 @@ def street_pattern(address: Column | str) -> Column:
     def pattern(t: Column) -> Column:
         number = F.get(t, F.lit(0))
         word = F.get(F.filter(F.slice(t, 2, F.greatest(F.size(t), F.lit(1))),
-                              lambda w: ~w.isin(V.STREET_DIRECTIONS) & ~w.rlike(r"^\d+$")), F.lit(0))
+                              lambda w: ~among(w, V.STREET_DIRECTIONS) & ~w.rlike(r"^\d+$")), F.lit(0))
         return F.when(number.rlike(r"^\d+$") & word.isNotNull(),
                       F.concat(F.lit(r"\b"), number, F.lit(r"\b[\s,\.#\-a-z]{0,18}?\b"), word))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.core import let, no_strings, text
+from ..functions.core import among, let, no_strings, text
 from ..functions.mail import email_kind, local_part, mail_domain, not_a_contact, same_site
 from ..functions.names import flat
 from ..functions.people import clean_title, is_lead, person_name
@@ -62,7 +62,7 @@ def own_people(leaders: Column, company_tokens: Column) -> Column:
 
     def is_company(p: Column) -> Column:
         words = F.transform(F.split(F.lower(p["name"]), " "), lambda w: F.trim(w, F.lit(".")))
-        said = F.filter(words, lambda w: ~w.isin(V.LEGAL_SUFFIX))
+        said = F.filter(words, lambda w: ~among(w, V.LEGAL_SUFFIX))
         return (F.size(company_tokens) > 0) & (F.size(F.array_except(said, company_tokens)) == 0)
 
     return F.filter(leaders, lambda p: ~is_company(p))

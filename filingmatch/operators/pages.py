@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import markup as M
 from ..functions.cells import clean_text
-from ..functions.core import let, no_strings, strip, text
+from ..functions.core import let, strip, text
 from ..functions.links import absolute_url, page_key, profile_url
 from ..functions.mail import bare_host, same_site, valid_email
 from ..functions.people import clean_title, is_lead, person_name
@@ -35,7 +35,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
                     M.phones(F.col("links"), F.col("body")).alias("phones"),
                     ld_emails(F.col("dom.nodes")).alias("ld_emails"), ld_phones(F.col("dom.nodes")).alias("ld_phones"),
                     F.coalesce(F.col("dom.said"), F.col("full_text")).alias("said"), F.col("dom.nodes").alias("nodes"),
-                    company_profile(F.col("links")).alias("company_profile"), person_profiles(F.col("dom.profiles")).alias("profiles")))
+                    company_profile(F.col("links")).alias("company_profile"), person_profiles(F.col("dom.profiles")).alias("profiles"))
+            .withColumn("people", F.when(~F.col("is_legal"), people_of_page(F.col("said"), F.col("nodes")))).drop("said", "nodes"))
 
 
 # ------------------------------------------------------------------------------------------------------------- page roles
@@ -94,50 +95,74 @@ def _ld_email(e: Column) -> Column:
     return let(F.lower(F.trim(F.replace(text(e), F.lit("mailto:"), F.lit("")))), lambda x: F.when(valid_email(x), x).otherwise(F.lit("")))
 
 
-def ld_people(facts: DataFrame) -> DataFrame:
-    """(page_id, part, pos, name, title, email) of Person nodes and founders."""
+# ------------------------------------------------------------------------------------------------------- people of a page
+_MENTION = "array<struct<part:int,pos:int,line:string,above:string,below:string,title:string,email:string>>"
+
+
+def _mention(part: int, pos: Column, line: Column, title: Column, email: Column, above: Column | None = None, below: Column | None = None) -> Column:
+    nothing = F.lit(None).cast("string")
+    return F.struct(F.lit(part).alias("part"), pos.cast("int").alias("pos"), line.alias("line"), (nothing if above is None else above).alias("above"),
+                    (nothing if below is None else below).alias("below"), title.alias("title"), email.alias("email"))
+
+
+def ld_mentions(nodes: Column) -> Column:
+    """Person nodes and founders of the data nodes (part 0)."""
 
     def of_node(n: Column) -> Column:
-        own = F.when(F.contains(n["types"], F.lit("Person")) & (n["name"] != ""), F.array(F.struct(
-            n["name"].alias("name"), n["job_title"].alias("title"), _ld_email(n["email"]).alias("email"))))
-        founders = F.transform(n["founders"], lambda f: F.struct(f["name"].alias("name"), F.lit("Founder").alias("title"), _ld_email(f["email"]).alias("email")))
-        empty = F.array().cast("array<struct<name:string,title:string,email:string>>")
-        return F.concat(F.coalesce(own, empty), founders)
-
-    rows = facts.where(F.size("nodes") > 0).select("page_id", F.posexplode(F.flatten(F.transform("nodes", of_node))).alias("pos", "p"))
-    named = rows.select("page_id", "pos", person_name(clean_text(F.col("p.name"), 120)).alias("name"),
-                        clean_title(clean_text(F.col("p.title"), 120)).alias("title"), F.col("p.email").alias("email"))
-    return named.where(F.col("name").isNotNull()).select("page_id", F.lit(0).alias("part"), "pos", "name", "title", "email")
-
-
-# ---------------------------------------------------------------------------------------------------------- people in text
-def text_people(facts: DataFrame) -> DataFrame:
-    """(page_id, part, pos, name, title, email) from lines that carry a leadership title and from 'founded by' phrases.
-    Neighbour lines are taken from the line array, so no shuffle is needed."""
-    lines = F.filter(F.transform(F.split("said", "\n"), strip), lambda s: s != "")
-    titled = facts.select("page_id", lines.alias("lines")).select("page_id", F.explode(F.filter(F.transform("lines", lambda s, i: F.struct(
-        i.alias("pos"), s.alias("line"), F.when(i > 0, F.get(F.col("lines"), i - 1)).alias("above"), F.get(F.col("lines"), i + 1).alias("below"))),
-        lambda x: (F.length(x["line"]) <= 110) & is_lead(x["line"]))).alias("x"))
-    left, right = F.regexp_extract("line", _LINE_PARTS, 1), F.rtrim(F.regexp_extract("line", _LINE_PARTS, 2), F.lit(")"))
-    parts = (titled.select("page_id", "x.*").withColumn("left", left).withColumn("right", right)
-             .withColumn("whole_name", person_name("line"))
-             .withColumn("left_name", F.when(is_lead("right") & ~is_lead("left"), person_name("left")))
-             .withColumn("right_name", F.when(is_lead("left") & ~is_lead("right"), person_name("right")))
-             .withColumn("above_name", F.when(~is_lead("above"), person_name("above")))
-             .withColumn("below_name", F.when(~is_lead("below"), person_name("below"))))
-    beside = F.when(F.col("whole_name").isNull() & (clean_title("line") != ""), F.coalesce("above_name", "below_name"))
-    found = parts.select(
-        "page_id", F.lit(1).alias("part"), "pos", F.coalesce("left_name", "right_name", beside).alias("name"),
-        clean_title(F.when(F.col("left_name").isNotNull(), strip("right")).when(F.col("right_name").isNotNull(), strip("left")).otherwise(F.col("line"))).alias("title"))
-    founded = (facts.select("page_id", F.posexplode(F.regexp_extract_all("said", F.lit(V.FOUNDED_BY), F.lit(1))).alias("pos", "n"))
-               .select("page_id", F.lit(2).alias("part"), "pos", person_name("n").alias("name"), F.lit("Founder").alias("title")))
-    return found.union(founded).where(F.col("name").isNotNull() & (F.col("title") != "")).withColumn("email", F.lit(""))
-
-
-def page_people(facts: DataFrame) -> DataFrame:
-    """Everyone named with a title on the pages that are not legal pages, in page order (part, pos)."""
-    real = facts.where(~F.col("is_legal"))
-    return ld_people(real).unionByName(text_people(real))
+        zero = F.lit(0)
+        own = F.when(F.contains(n["types"], F.lit("Person")) & (n["name"] != ""), F.array(_mention(
+            0, zero, clean_text(n["name"], 120), clean_text(n["job_title"], 120), _ld_email(n["email"]))))
+        founders = F.transform(n["founders"], lambda f: _mention(0, zero, clean_text(f["name"], 120), F.lit("Founder"), _ld_email(f["email"])))
+        return F.concat(F.coalesce(own, F.array().cast(_MENTION)), founders)
+
+    return F.transform(F.flatten(F.transform(nodes, of_node)), lambda m, i: m.withField("pos", i.cast("int")))
+
+
+def line_mentions(said: Column) -> Column:
+    """Lines with a leadership title and their neighbours (part 1): taken from the line array, so no shuffle is needed."""
+
+    def titled(lines: Column) -> Column:
+        every = F.transform(lines, lambda s, i: _mention(1, i, s, s, F.lit(""), F.when(i > 0, F.get(lines, i - 1)), F.get(lines, i + 1)))
+        return F.filter(every, lambda m: (F.length(m["line"]) <= 110) & is_lead(m["line"]))
+
+    lines = F.filter(F.transform(F.split(said, "\n"), strip), lambda s: s != "")
+    return F.when(is_lead(said), let(lines, titled)).otherwise(F.array().cast(_MENTION))
+
+
+def founder_mentions(said: Column) -> Column:
+    """'founded by ...' phrases (part 2)."""
+    return F.transform(F.regexp_extract_all(said, F.lit(V.FOUNDED_BY), F.lit(1)), lambda n, i: _mention(2, i, n, F.lit("Founder"), F.lit("")))
+
+
+def recognized(mentions: Column) -> Column:
+    """Mentions whose name is a person's and whose title is a title: array of (part, pos, name, title, email). A title line may
+    hold both, before or after a mark; else the name stands on the line above or below."""
+
+    def read(m: Column) -> Column:
+        halves = F.struct(F.regexp_extract(m["line"], _LINE_PARTS, 1).alias("left"),
+                          F.rtrim(F.regexp_extract(m["line"], _LINE_PARTS, 2), F.lit(")")).alias("right"))
+        return let(halves, lambda h: with_names(m, h))
+
+    def with_names(m: Column, h: Column) -> Column:
+        line = m["part"] == 1
+        texts = F.array(m["line"], F.when(line & is_lead(h["right"]) & ~is_lead(h["left"]), h["left"]),
+                        F.when(line & is_lead(h["left"]) & ~is_lead(h["right"]), h["right"]),
+                        F.when(line & ~is_lead(m["above"]), m["above"]), F.when(line & ~is_lead(m["below"]), m["below"]))
+        return let(F.transform(texts, lambda t: person_name(t)), lambda n: decided(m, h, n))
+
+    def decided(m: Column, h: Column, n: Column) -> Column:
+        whole, left, right, above, below = (F.get(n, F.lit(i)) for i in range(5))
+        name = F.when(m["part"] != 1, whole).otherwise(F.coalesce(left, right, F.when(whole.isNull(), F.coalesce(above, below))))
+        title = (F.when(m["part"] != 1, m["title"]).when(left.isNotNull(), strip(h["right"])).when(right.isNotNull(), strip(h["left"]))
+                 .otherwise(m["line"]))
+        return F.struct(m["part"].alias("part"), m["pos"].alias("pos"), name.alias("name"), clean_title(title).alias("title"), m["email"].alias("email"))
+
+    return F.filter(F.transform(mentions, read), lambda p: p["name"].isNotNull() & ((p["part"] == 0) | (p["title"] != "")))
+
+
+def people_of_page(said: Column, nodes: Column) -> Column:
+    """Everyone a page names with a title, in reading order."""
+    return recognized(F.concat(ld_mentions(nodes), line_mentions(said), founder_mentions(said)))
 
 
 # ------------------------------------------------------------------------------------------------------------ profile links
@@ -182,7 +207,3 @@ def home_pages(pages: DataFrame) -> DataFrame:
     """(host, page_id, url) of the home page of every host, read from the address column only."""
     homes = located(pages.select("page_id", "url")).where(F.col("path").isin("", "/") & (F.col("host") != ""))
     return homes.groupBy("host").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("h")).select("host", "h.page_id", "h.url")
-
-
-__all__ = ["page_texts", "page_facts", "role_targets", "legal_targets", "stays_on_site", "ld_phones", "ld_emails", "ld_people", "text_people",
-           "page_people", "company_profile", "person_profiles", "matched_profile", "page_index", "home_pages", "bare_host", "no_strings"]

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed_values as V
-from ..functions.core import no_strings
+from ..functions.core import among, let, no_strings
 from ..functions.links import page_key
 from ..functions.mail import local_part, mail_domain, same_site
 from ..functions.people import is_lead
-from .pages import home_pages, legal_targets, page_facts, page_index, page_people, page_texts, role_targets
+from .pages import home_pages, legal_targets, page_facts, page_index, page_texts, role_targets
 
 _SOMEONE_ELSES = r",\s*[A-Za-z]|\b(at|of|for)\s+[A-Z]"
 
@@ -49,7 +49,7 @@ def fold_phones(pages: Column) -> Column:
 def order_emails(emails: Column, site: Column) -> Column:
     """The site's own addresses first (front-door mailboxes before others), then everybody else's; order kept otherwise."""
     own = F.filter(emails, lambda e: same_site(mail_domain(e), site))
-    front = F.filter(own, lambda e: local_part(e).isin(V.FRONT_DOOR))
+    front = F.filter(own, lambda e: among(local_part(e), V.FRONT_DOOR))
     return F.concat(front, F.array_except(own, front), F.array_except(emails, own))
 
 
@@ -58,18 +58,19 @@ def order_phones(phones: Column, real: Column) -> Column:
     return F.slice(F.concat(F.filter(phones, lambda p: F.array_contains(real, p)), F.filter(phones, lambda p: ~F.array_contains(real, p))), 1, 6)
 
 
-def leaders(facts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(site, leaders): everyone a site names with a plain leadership title, once per name, in reading order. An aggregate per
-    name comes first, so what is gathered per site is its distinct leaders on at most nine pages."""
-    people = page_people(facts).join(chosen, "page_id")
-    words = F.split(F.lower("name"), " ")
-    organisation = F.exists(words, lambda w: F.trim(w, F.lit(".")).isin(V.ORGWORDS))
-    elsewhere = F.col("title").rlike(_SOMEONE_ELSES) & ~F.col("title").rlike(r"&|and|/")
-    kept = people.where(~organisation & is_lead("title") & ~elsewhere)
-    order = F.struct("rank", "part", "pos")
-    once = kept.groupBy("site", F.lower("name").alias("_n")).agg(
-        F.min_by(F.struct(order.alias("at"), "name", "title", "email"), order).alias("p"))
-    return once.groupBy("site").agg(F.array_sort(F.collect_list("p")).alias("leaders"))
+def leaders(people: Column) -> Column:
+    """The plain leaders among the people of a site, once per name, order kept."""
+
+    def plain(p: Column) -> Column:
+        organisation = F.exists(F.split(F.lower(p["name"]), " "), lambda w: among(F.trim(w, F.lit(".")), V.ORGWORDS))
+        elsewhere = p["title"].rlike(_SOMEONE_ELSES) & ~p["title"].rlike("&|and|/")
+        return ~organisation & is_lead(p["title"]) & ~elsewhere
+
+    def once(kept: Column) -> Column:
+        names = F.transform(kept, lambda p: F.lower(p["name"]))
+        return F.filter(kept, lambda p, i: F.array_position(names, F.lower(p["name"])) == i + 1)
+
+    return let(F.filter(people, plain), once)
 
 
 def fold_sites(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def fold_sites(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
     chosen = site_pages(pages, homes)
     facts = page_facts(pages.join(chosen.select("page_id").distinct(), "page_id", "left_semi"))
     placed = facts.join(chosen, "page_id")
-    page = F.struct("rank", "page_id", "url", "is_legal", "head", "body", "emails", "phones", "ld_emails", "ld_phones", "company_profile",
+    page = F.struct("rank", "page_id", "url", "is_legal", "head", "body", "emails", "phones", "ld_emails", "ld_phones", "company_profile", "people",
                     F.when(~F.col("is_legal"), F.col("profiles")).otherwise(F.slice("profiles", 1, 0)).alias("profiles"))
     site = placed.groupBy("site").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     real = F.filter("pages", lambda p: ~p["is_legal"])
@@ -90,11 +91,11 @@ def fold_sites(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
     folded = (site.withColumn("_real_phones", real_phones).withColumn("_real_mail", real_mail)
               .withColumn("page_emails", emails).withColumn("phones", order_phones(fold_phones(F.col("pages")), F.col("_real_phones")))
               .withColumn("emails", order_emails(F.col("page_emails"), F.col("site"))))
-    out = folded.select(
+    return folded.select(
         "site", F.get(F.col("pages"), F.lit(0))["head"].alias("head"), F.get(F.col("pages"), F.lit(0))["url"].alias("url"),
         F.substring(F.array_join(F.transform("pages", lambda p: p["body"]), "\n"), 1, V.SITE_BODY_CHARS).alias("body"),
         "page_emails", "emails", F.filter("emails", lambda e: ~F.array_contains(F.col("_real_mail"), e)).alias("legal_only_emails"),
         "phones", F.filter("phones", lambda p: ~F.array_contains(F.col("_real_phones"), p)).alias("legal_only_phones"),
         F.flatten(F.transform("pages", lambda p: p["profiles"])).alias("profiles"),
-        F.coalesce(F.get(company, F.lit(0)), F.lit("")).alias("company_profile"), F.size("pages").alias("pages"))
-    return out.join(leaders(facts.where(~F.col("is_legal")), chosen), "site", "left")
+        F.coalesce(F.get(company, F.lit(0)), F.lit("")).alias("company_profile"), F.size("pages").alias("pages"),
+        leaders(F.flatten(F.transform(F.filter("pages", lambda p: p["people"].isNotNull()), lambda p: p["people"]))).alias("leaders"))

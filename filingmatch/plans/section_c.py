@@ -165,7 +165,7 @@ _NUM = V.PHONE_BODY
 _NEAR = f"""list_transform(ms, lambda m1, i1: {{'n': m1, 'before': lower(right(array_to_string(list_transform(range(greatest(1, i1 - 8), i1 + 1), lambda j1: bt[j1] || CASE WHEN j1 < i1 THEN ms[j1] ELSE '' END), ''), 80))}})"""
 PHONES = f"""
 ph AS (SELECT page_id, url, host, path, is_legal, {C.distinct_in_order(f"list_filter(list_concat(list_transform(list_filter(links, lambda a1: a1.href LIKE 'tel%'), lambda a2: " + C.usable_phone("split_part(split_part(a2.href, ':', 2), ';', 1)") + "), list_transform(list_filter(near, lambda n1: NOT contains(right(n1.before, 14), 'fax') AND NOT regexp_matches(string_split_regex(n1.before, '[.\\n]\\s')[-1], " + C.lit(V.OTHER_PEOPLES_PHONE) + ")), lambda n2: " + C.usable_phone('n2.n') + ")), lambda u1: u1 <> '')")} AS phones
- FROM (SELECT *, {_NEAR} AS near FROM (SELECT *, regexp_extract_all(body, {C.lit(_NUM)}) AS ms, string_split_regex(body, {C.lit(_NUM)}) AS bt FROM pf) q0) q1)
+ FROM (SELECT *, {_NEAR} AS near FROM (SELECT *, regexp_extract_all(calm, {C.lit(_NUM)}) AS ms, string_split_regex(calm, {C.lit(_NUM)}) AS bt FROM (SELECT *, regexp_replace(body, '\\d{{12,}}', 'x', 'g') AS calm FROM pf) q00) q0) q1)
 """
 
 
@@ -212,7 +212,9 @@ lp AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1
 
 @query("c12_json_ld_people", _with("SELECT page_id, pos0 AS pos, name, title, email FROM lp WHERE name IS NOT NULL", NODES, LD_PEOPLE))
 def c12(spark, sf):
-    return P.ld_people(_dom(spark, sf).select("page_id", F.col("dom.nodes").alias("nodes"))).select("page_id", F.col("pos").cast("bigint").alias("pos"), "name", "title", "email")
+    people = P.recognized(P.ld_mentions(F.col("dom.nodes")))
+    return (_dom(spark, sf).select("page_id", F.explode(people).alias("p"))
+            .select("page_id", F.col("p.pos").cast("bigint").alias("pos"), "p.name", "p.title", "p.email"))
 
 
 _SPLIT = C.lit(r"^(.{3,45}?)\s*[,\-–—|•:/(]\s*(.{3,70})$")
@@ -241,7 +243,9 @@ def said_facts(spark, sf):
 
 @query("c13_text_people", _with("SELECT page_id, part, pos, name, title FROM tp WHERE name IS NOT NULL AND title <> ''", TEXT_PEOPLE))
 def c13(spark, sf):
-    return P.text_people(said_facts(spark, sf)).select("page_id", "part", F.col("pos").cast("bigint").alias("pos"), "name", "title")
+    people = P.recognized(F.concat(P.line_mentions(F.col("said")), P.founder_mentions(F.col("said"))))
+    return (said_facts(spark, sf).select("page_id", F.explode(people).alias("p"))
+            .select("page_id", "p.part", F.col("p.pos").cast("bigint").alias("pos"), "p.name", "p.title"))
 
 
 @query("c14_quote_suppression", _with("SELECT page_id, md5(said) AS said, length(full_text) - length(said) AS quoted FROM pf"))
@@ -275,8 +279,9 @@ def c15_blocks(spark, sf):
 @query("c16_person_profile")
 def c16(spark, sf):
     """Every person of a page with the profile that is theirs."""
-    facts = said_facts(spark, sf)
-    people = P.page_people(facts).groupBy("page_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    joined = facts.select("page_id", P.person_profiles(F.col("profiles")).alias("profiles")).join(people, "page_id")
+    facts = said_facts(spark, sf).where(~F.col("is_legal"))
+    people = P.people_of_page(F.col("said"), F.col("nodes"))
+    joined = (facts.select("page_id", P.person_profiles(F.col("profiles")).alias("profiles"), people.alias("people"))
+              .withColumn("names", F.array_distinct(F.transform("people", lambda p: p["name"]))))
     return (joined.select("page_id", "names", "profiles", F.explode("names").alias("name"))
             .select("page_id", "name", P.matched_profile(F.col("name"), F.col("names"), F.col("profiles")).alias("profile")))
