@@ -11,14 +11,9 @@ from .. import fixed_values as V
 from ..functions.core import let, strip, text
 
 
-def _engine_pattern(p: str) -> str:
-    """`\\b` after a letter with an accent depends on the engine: spelled out instead."""
-    return "(?i)" + p.replace("caf[eé]\\b", "caf[eé]([^a-zé]|$)")
-
-
 def signs(c: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur (each counts once)."""
-    return reduce(lambda a, b: a + b, [c.rlike(_engine_pattern(p)).cast("int") for p in patterns])
+    """How many of the patterns occur (each counts once). Word boundaries follow Unicode on every Java version."""
+    return reduce(lambda a, b: a + b, [c.rlike("(?iU)" + p).cast("int") for p in patterns])
 
 
 def classify(head: Column, body: Column) -> Column:

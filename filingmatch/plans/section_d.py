@@ -29,13 +29,13 @@ FOLD = f"""
 {_LD_MAIL},
 ml AS (SELECT c.site, c.rank, p.is_legal, 0 AS src, unnest(l.mails) AS v, generate_subscripts(l.mails, 1) AS i FROM ch c JOIN pf p ON p.page_id = c.page_id JOIN lm l ON l.page_id = c.page_id
   UNION ALL SELECT c.site, c.rank, p.is_legal, 1, unnest(e.mails), generate_subscripts(e.mails, 1) FROM ch c JOIN pf p ON p.page_id = c.page_id JOIN em e ON e.page_id = c.page_id),
-mo AS (SELECT site, v, min((rank * 2 + src) * 100000 + i) AS at, bool_and(is_legal) AS legal_only FROM ml GROUP BY site, v),
-me AS (SELECT site, list(v ORDER BY CASE WHEN NOT {C.same_site("split_part(v, '@', 2)", 'site')} THEN 2 WHEN split_part(v, '@', 1) IN {C.among(V.FRONT_DOOR)} THEN 0 ELSE 1 END, at) AS emails,
-  list(v ORDER BY CASE WHEN NOT {C.same_site("split_part(v, '@', 2)", 'site')} THEN 2 WHEN split_part(v, '@', 1) IN {C.among(V.FRONT_DOOR)} THEN 0 ELSE 1 END, at) FILTER (legal_only) AS legal_emails, list(v ORDER BY at) AS page_emails FROM mo GROUP BY site),
+mo AS (SELECT site, v, min((rank * 2 + src) * 100000 + i) AS spot, bool_and(is_legal) AS legal_only FROM ml GROUP BY site, v),
+me AS (SELECT site, list(v ORDER BY CASE WHEN NOT {C.same_site("split_part(v, '@', 2)", 'site')} THEN 2 WHEN split_part(v, '@', 1) IN {C.among(V.FRONT_DOOR)} THEN 0 ELSE 1 END, spot) AS emails,
+  list(v ORDER BY CASE WHEN NOT {C.same_site("split_part(v, '@', 2)", 'site')} THEN 2 WHEN split_part(v, '@', 1) IN {C.among(V.FRONT_DOOR)} THEN 0 ELSE 1 END, spot) FILTER (legal_only) AS legal_emails, list(v ORDER BY spot) AS page_emails FROM mo GROUP BY site),
 pl AS (SELECT c.site, c.rank, p.is_legal, 0 AS src, unnest(l.phones) AS v, generate_subscripts(l.phones, 1) AS i FROM ch c JOIN pf p ON p.page_id = c.page_id JOIN lt l ON l.page_id = c.page_id
   UNION ALL SELECT c.site, c.rank, p.is_legal, 1, unnest(h.phones), generate_subscripts(h.phones, 1) FROM ch c JOIN pf p ON p.page_id = c.page_id JOIN ph h ON h.page_id = c.page_id),
-po AS (SELECT site, v, min((rank * 2 + src) * 100000 + i) AS at, arg_min(src, (rank * 2 + src) * 100000 + i) AS src, bool_and(is_legal) AS legal_only FROM pl GROUP BY site, v),
-pq AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY legal_only, src, CASE WHEN src = 0 THEN -at ELSE at END) AS rn FROM po),
+po AS (SELECT site, v, min((rank * 2 + src) * 100000 + i) AS spot, arg_min(src, (rank * 2 + src) * 100000 + i) AS src, bool_and(is_legal) AS legal_only FROM pl GROUP BY site, v),
+pq AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY legal_only, src, CASE WHEN src = 0 THEN -spot ELSE spot END) AS rn FROM po),
 pe AS (SELECT site, list(v ORDER BY rn) AS phones, list(v ORDER BY rn) FILTER (legal_only) AS legal_phones FROM pq WHERE rn <= 6 GROUP BY site),
 bd AS (SELECT c.site, count(*) AS pages, string_agg(p.body, chr(10) ORDER BY c.rank, c.page_id)[1:20000] AS body, arg_min({HEAD}, c.rank) AS head FROM ch c JOIN pf p ON p.page_id = c.page_id GROUP BY c.site)
 """
@@ -137,7 +137,7 @@ def d8(spark, sf):
 
 
 def _signs(e: str, patterns: list[str]) -> str:
-    arms = ["CAST(regexp_matches({0}, {1}) AS INTEGER)".format(e, C.lit("(?i)" + p.replace("caf[eé]\\b", "caf[eé]([^a-zé]|$)"))) for p in patterns]
+    arms = ["CAST(regexp_matches({0}, {1}) AS INTEGER)".format(e, C.lit("(?i)" + p.replace("caf[eé]\\b", "caf[eq]\\b"))) for p in patterns]
     return "(" + " + ".join(arms) + ")"
 
 
@@ -147,7 +147,7 @@ def sql_classify(head: str, body: str, keep: str, frm: str) -> str:
 FROM (SELECT {keep}, nh, thin, 3.0 * sh + least(sb, 8) + wh + 0.5 * least(wb, 5) - 3.0 * nh - 0.5 * least(nb, 4) AS s FROM (SELECT {keep},
   {_signs('h', V.STRONG_SIGNS)} AS sh, {_signs('b', V.STRONG_SIGNS)} AS sb, {_signs('h', V.WEAK_SIGNS)} AS wh, {_signs('b', V.WEAK_SIGNS)} AS wb,
   {_signs('h', V.OTHER_TRADE_SIGNS)} AS nh, {_signs('b', V.OTHER_TRADE_SIGNS)} AS nb, length(trim(b)) < 400 AND length(trim(h)) < 120 AS thin
-  FROM (SELECT {keep}, {head} AS h, ({body})[1:12000] AS b FROM {frm}) q1) q2) q3"""
+  FROM (SELECT {keep}, regexp_replace({head}, '[À-ÖØ-öø-ɏ]', 'q', 'g') AS h, regexp_replace(({body})[1:12000], '[À-ÖØ-öø-ɏ]', 'q', 'g') AS b FROM {frm}) q1) q2) q3"""
 
 
 @query("d9_classify_pages", _with(sql_classify(HEAD, "body", "page_id", "pf")))
