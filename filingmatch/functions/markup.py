@@ -20,7 +20,7 @@ _PHONE = r"(?<!\d)" + V.PHONE_BODY + r"(?!\d)"
 
 
 def _entity_table() -> str:
-    return "\x02".join(f"{name}\x01{chr(cp)}" for name, cp in sorted(name2codepoint.items()))
+    return "\x02".join(f"{name}\x01{chr(cp)}" for name, cp in sorted({**name2codepoint, "apos": 39}.items()))
 
 
 def unescape(c: Column | str) -> Column:
@@ -29,18 +29,16 @@ def unescape(c: Column | str) -> Column:
     table = F.str_to_map(F.lit(_entity_table()), F.lit("\x02"), F.lit("\x01"))
 
     def decode(part: Column, i: Column) -> Column:
-        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]{1,31});", 1)
-        number = F.regexp_extract(part, r"^#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", 1)
-        point = F.when(number.rlike("^[xX]"), F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).try_cast("int")
-        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-        rest = F.regexp_replace(part, r"^#?[0-9A-Za-z]+;?", "")
-        valid = (number != "") & point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
-        return (F.when(i == 0, part)
-                .when(part.startswith("amp;"), F.concat(F.lit("&"), F.substring(part, 5, V.PAGE_BYTES)))
-                .when(part.startswith("nbsp;"), F.concat(F.lit(" "), F.substring(part, 6, V.PAGE_BYTES)))
-                .when(valid, F.concat(char, rest))
-                .when(name != "", F.concat(F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name, F.lit(";"))), rest))
-                .otherwise(F.concat(F.lit("&"), part)))
+        """Text after an ampersand: a name, a number or neither, then the rest."""
+        ref = F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31}(?=;))", 1)
+        return F.when((i == 0) | (ref == ""), F.concat(F.when(i > 0, F.lit("&")).otherwise(F.lit("")), part)).otherwise(
+            let(ref, lambda r: F.concat(character(r), F.regexp_replace(F.substring(part, F.length(r) + 1, F.lit(V.PAGE_BYTES)), "^;", ""))))
+
+    def character(r: Column) -> Column:
+        point = F.when(r.rlike("^#[xX]"), F.conv(F.substring(r, 3, 6), 16, 10)).otherwise(F.substring(r, 2, 7)).try_cast("int")
+        known = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return (F.when(~r.startswith("#"), F.coalesce(F.try_element_at(table, r), F.concat(F.lit("&"), r, F.lit(";"))))
+                .when(known, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
 
     return F.when(F.contains(s, F.lit("&")), F.array_join(F.transform(F.split(s, "&"), decode), "")).otherwise(s)
 
@@ -66,31 +64,32 @@ def inner_text(fragment: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """The value of an attribute inside one opening tag, null when the tag has none."""
-    pattern = rf"""(?is)^<[^>]*?[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    found = F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
-    return F.when(tag.rlike(pattern), unescape(found))
+    written = F.regexp_extract(tag, rf"""(?is)^<[^>]*?[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
+    return F.when(written != "", unescape(F.regexp_replace(written, "^[\"']|[\"']$", "")))
 
 
 def head_text(markup: Column) -> Column:
     """Title, description, preview tags and the first eight headings, joined by ' . '."""
-    title = F.when(markup.rlike(r"(?i)<title\b"), inner_text(F.regexp_extract(markup, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
-    metas = F.regexp_extract_all(markup, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    title = F.when(markup.rlike(r"(?i)<title\b"), F.array(F.regexp_extract(markup, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
+    headings = F.slice(F.regexp_extract_all(markup, F.lit(r"(?is)<h[12]\b[^>]*>(.*?)</h[12]\s*>"), F.lit(1)), 1, 8)
+    tags = F.filter(F.regexp_extract_all(markup, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda m: m.rlike("(?i)description|og:(title|site_name)"))
+    metas = F.transform(tags, lambda m: F.struct(attribute(m, "(?:name|property)").alias("key"), attribute(m, "content").alias("content")))
 
-    def meta(key: str, value: str) -> Column:
-        hit = F.get(F.filter(metas, lambda m: attribute(m, key) == value), F.lit(0))
-        return F.nullif(attribute(hit, "content"), F.lit(""))
+    def joined(meta: Column) -> Column:
+        wanted = F.array(*[F.lit(k) for k in ("description", "og:title", "og:description", "og:site_name")])
+        contents = F.transform(wanted, lambda k: F.get(F.filter(meta, lambda m: m["key"] == k), F.lit(0))["content"])
+        return F.filter(contents, lambda c: c.isNotNull() & (c != ""))
 
-    headings = F.transform(F.slice(F.regexp_extract_all(markup, F.lit(r"(?is)<h[12]\b[^>]*>(.*?)</h[12]\s*>"), F.lit(1)), 1, 8), inner_text)
-    first = F.array_compact(F.array(title, meta("name", "description"), meta("property", "og:title"),
-                                    meta("property", "og:description"), meta("property", "og:site_name")))
-    return F.array_join(F.concat(first, headings), " . ")
+    shown = let(F.coalesce(title, no_strings()), lambda t: let(F.transform(F.concat(t, headings), inner_text), lambda x: F.concat(
+        F.slice(x, 1, F.size(t)), let(metas, joined), F.slice(x, F.size(t) + 1, F.lit(8)))))
+    return F.array_join(shown, " . ")
 
 
 def links(markup: Column) -> Column:
     """The first 400 links of a page: array of (href, label)."""
-    anchors = F.filter(F.regexp_extract_all(markup, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0)), lambda a: attribute(a, "href").isNotNull())
-    return F.transform(F.slice(anchors, 1, V.MAX_LINKS), lambda a: F.struct(
-        attribute(a, "href").alias("href"), inner_text(a).alias("label")))
+    anchors = F.regexp_extract_all(markup, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
+    read = F.transform(anchors, lambda a: F.struct(attribute(a, "href").alias("href"), inner_text(a).alias("label")))
+    return F.slice(F.filter(read, lambda a: a["href"].isNotNull()), 1, V.MAX_LINKS)
 
 
 def _strict_form(e: Column) -> Column:
