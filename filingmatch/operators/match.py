@@ -13,6 +13,7 @@ from ..functions.mail import email_kind, mail_domain
 from ..functions.names import core, core_tokens, flat, name_parts, slugs
 from ..functions.phones import norm_phone
 from ..functions.places import mentions_word, street_pattern
+from ..session import durable
 from ..sources.crawl import located
 from .pages import home_pages, page_texts
 from .skew import salted_join
@@ -178,13 +179,15 @@ def accepted(rows: DataFrame) -> DataFrame:
 def evidence(filings: DataFrame, pages: DataFrame, domain_created: DataFrame, homes: DataFrame | None = None,
              tlds: list[str] | None = None) -> DataFrame:
     """All accepted (filing, domain) pairs with their evidence. Phase one scores home pages; phase two reads the fine print
-    only of the hosts whose pairs have nothing specific."""
+    only of the hosts whose pairs have nothing specific. The narrow results of both steps (at most eight pairs per filing) are
+    written once, so no page is parsed twice and a lost executor costs one step."""
     homes = home_pages(pages) if homes is None else homes
-    live = live_candidates(filings, homes, tlds)
+    live = durable(live_candidates(filings, homes, tlds))
     wanted = homes.join(live.select(F.col("domain").alias("host")).distinct(), "host", "left_semi")
     facts = home_facts(pages, wanted).withColumnRenamed("host", "domain")
     dated = facts.join(domain_created.select(F.col("host").alias("domain"), "created"), "domain", "left")
-    rows = scored(salted_join(live.join(filing_keys(filings), "id"), dated, "domain", "id")).drop("low", "head_flat", "body_flat", "site_phones")
+    keyed = salted_join(live, dated, "domain", "id").join(filing_keys(filings), "id")
+    rows = durable(scored(keyed).drop("low", "head_flat", "body_flat", "site_phones"))
     open_rows = rows.where(F.size("specific") == 0)
     fine = fine_print(pages, open_rows.select("domain").distinct())
     settled = rows.where(F.size("specific") > 0).withColumn("fine", F.lit(None).cast("string"))

@@ -11,6 +11,7 @@ from ..functions.core import among, let, no_strings
 from ..functions.links import page_key
 from ..functions.mail import local_part, mail_domain, same_site
 from ..functions.people import is_lead
+from ..session import durable
 from .pages import home_pages, legal_targets, page_facts, page_index, page_texts, role_targets
 
 _SOMEONE_ELSES = r",\s*[A-Za-z]|\b(at|of|for)\s+[A-Z]"
@@ -77,7 +78,7 @@ def fold_sites(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
     """One row per site: head, body, emails, phones (each with the values only legal pages show), leaders, profiles, company
     profile, page count. At most nine pages per site reach the fold, so no host is ever one large group."""
     homes = home_pages(pages) if homes is None else homes
-    chosen = site_pages(pages, homes)
+    chosen = durable(site_pages(pages, homes))
     facts = page_facts(pages.join(chosen.select("page_id").distinct(), "page_id", "left_semi"))
     placed = facts.join(chosen, "page_id")
     page = F.struct("rank", "page_id", "url", "is_legal", "head", "body", "emails", "phones", "ld_emails", "ld_phones", "company_profile", "people",
