@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..session import durable
 from .rules import Rules, clean_stored, qualify
 
 _TAKEN = ["same website as another company"]
@@ -88,12 +89,12 @@ def rejudged(companies: DataFrame, rules: Rules, today: Column) -> DataFrame:
 
     A held or dropped company that qualifies is released when no listed company owns its domain; of several that claim one domain
     the first seen gets it. A listed company is cleaned, or taken back: waiting ones to held (tomorrow) or dropped, sent ones to
-    held (today).
+    held (today). The cleaned results are written once: every later step reads them as stored values.
     """
     e, raw = F.col("enrich"), F.col("raw")
     listed = F.col("state").isin(V.LISTED)
-    judged = (companies.withColumn("_clean", F.when(listed, clean_stored(raw, e)).otherwise(e))
-              .withColumn("_q", qualify(raw, F.col("_clean"), rules)))
+    judged = durable(companies.withColumn("_clean", F.when(listed, clean_stored(raw, e)).otherwise(e))).withColumn(
+        "_q", qualify(raw, F.col("_clean"), rules))
     ready = F.col("_q.state") == "ready"
     wants = F.col("state").isin("held", "dropped") & e.isNotNull() & ready
     claims = (companies.where(F.col("state").isin("held", "dropped") & e.isNotNull()).where(qualify(raw, e, rules)["state"] == "ready")
