@@ -1 +1,53 @@
-"""Stub."""
+"""Filings matched to websites, contacts chosen, qualified, counted by state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.cells import scrub
+from ..functions.names import core_tokens
+from ..operators import choose, classify, match, rules, sites
+from ..operators import pages as P
+from ..session import durable
+from . import landed as L
+from .section_a import all_filings
+
+
+def lookups(filings: DataFrame, pages: DataFrame, domain_created: DataFrame) -> DataFrame:
+    """One row per filing: the filing columns and `enrich`, null when no website was found."""
+    homes = P.home_pages(pages)
+    found = durable(match.matched(filings, pages, domain_created, homes))
+    used = homes.join(found.select(F.col("domain").alias("host")).distinct(), "host", "left_semi")
+    folded = sites.fold_sites(pages, used).withColumnRenamed("site", "domain").drop("url", "pages")
+    site = folded.withColumn("it", classify.classify(F.col("head"), F.col("body"))).drop("head", "body")
+    pairs = (found.select("id", "domain", F.col("url").alias("site_url"), "why", "created").join(site, "domain")
+             .join(filings.select("id", F.col("name").alias("_name"), "city", F.col("emails").alias("filed_emails"), "people"), "id"))
+    people = choose.people_of_site(F.col("leaders"), core_tokens("_name"), F.col("page_emails"), F.col("profiles"), F.col("domain"))
+    picked = (pairs.withColumn("mail", choose.pick_email(F.col("emails"), F.col("filed_emails"), F.col("domain"), F.col("city")))
+              .withColumn("tel", choose.pick_phone(F.col("phones"), F.col("legal_only_phones")))
+              .withColumn("contact", choose.pick_contact(people, F.col("people"))))
+    legal_mail = (F.col("mail.came_from") == "company website") & F.array_contains("legal_only_emails", F.col("mail.email"))
+    enrich = F.struct(
+        F.regexp_extract("site_url", r"^(https?://[^/?#]+)", 1).alias("website"), F.col("domain"), F.col("why"), F.col("created"), F.col("mail.email").alias("email"),
+        F.when(legal_mail, "company website (privacy or terms page only)").otherwise(F.col("mail.came_from")).alias("email_from"),
+        choose.more_emails(F.col("emails"), F.col("mail.email"), F.col("domain")).alias("emails"), F.col("tel.phone").alias("phone"),
+        F.col("tel.came_from").alias("phone_from"), F.col("tel.phones").alias("phones"), F.col("contact"), F.coalesce("contact.linkedin", F.lit("")).alias("linkedin"),
+        F.col("company_profile").alias("linkedin_company"), F.col("it"))
+    done = picked.select("id", enrich.alias("enrich"))
+    clean = done.select("id", scrub(F.col("enrich"), done.schema["enrich"].dataType).alias("enrich"))
+    return filings.join(clean, "id", "left")
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every filing with its lookup and verdict."""
+    filings = all_filings(spark, sf_dir)
+    looked = lookups(filings, L.landed(spark, sf_dir, L.SITE_PAGES), L.landed(spark, sf_dir, L.DOMAIN_CREATED))
+    raw = F.struct(*[F.col(c) for c in filings.columns])
+    return looked.withColumn("q", rules.qualify(raw, F.col("enrich"), rules.Rules()))
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings by verdict and by what is missing."""
+    return (judged(spark, sf_dir).groupBy(F.col("q.state").alias("state"), F.array_join("q.missing", ", ").alias("missing"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count("enrich").alias("with_website")))
