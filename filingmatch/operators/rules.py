@@ -14,6 +14,7 @@ from ..functions.mail import local_part, not_a_contact
 from ..functions.names import core_tokens
 from ..functions.people import clean_title, is_lead, person_name
 from ..functions.phones import usable_phone
+from ..schemas import LOOKUP
 from .choose import registry_contact
 
 
@@ -66,10 +67,6 @@ def qualify(raw: Column, e: Column, rules: Rules) -> Column:
 def clean_stored(raw: Column, e: Column) -> Column:
     """A stored result without what today's checks refuse: a placeholder phone gives way to the next stored number, a function
     mailbox is emptied, a contact who is no person gives way to the filing's officer. Applying it twice changes nothing."""
-    phones = F.filter(e["phones"], lambda p: usable_phone(p) != "")
-    refused = nonempty(e["phone"]) & (usable_phone(e["phone"]) == "")
-    phone = F.when(refused, F.coalesce(F.get(phones, F.lit(0)), F.lit(""))).otherwise(e["phone"])
-    phone_from = F.when(refused & (phone == ""), "").otherwise(e["phone_from"])
     no_mail = nonempty(e["email"]) & ~has_usable_email(e)
     c = e["contact"]
     filed = text(c["from"]) == V.IN_FILING
@@ -80,11 +77,18 @@ def clean_stored(raw: Column, e: Column) -> Column:
         same = F.struct(p["name"].alias("name"), p["title"].alias("title"), c["email"].alias("email"), c["linkedin"].alias("linkedin"), c["from"].alias("from"))
         return F.when(good, same).otherwise(registry_contact(raw["people"]))
 
-    contact = F.when(c.isNotNull(), let(read, settled))
-    linkedin = F.when(c.isNotNull(), text(contact["linkedin"])).otherwise(e["linkedin"])
-    changed = {"phones": phones, "phone": phone, "phone_from": phone_from, "email": F.when(no_mail, "").otherwise(e["email"]),
-               "email_from": F.when(no_mail, "").otherwise(e["email_from"]), "contact": contact, "linkedin": linkedin}
-    out = e
-    for name, value in changed.items():
-        out = out.withField(name, value)
-    return F.when(e.isNotNull(), out)
+    def numbers(ps: Column) -> Column:
+        refused = nonempty(e["phone"]) & (usable_phone(e["phone"]) == "")
+        first = F.coalesce(F.get(ps, F.lit(0)), F.lit(""))
+        return F.struct(ps.alias("phones"), F.when(refused, first).otherwise(e["phone"]).alias("phone"),
+                        F.when(refused & (first == ""), "").otherwise(e["phone_from"]).alias("phone_from"))
+
+    kept = F.struct(let(F.filter(e["phones"], lambda p: usable_phone(p) != ""), numbers).alias("tel"), F.when(c.isNotNull(), let(read, settled)).alias("contact"))
+
+    def whole(k: Column) -> Column:
+        changed = {"phones": k["tel"]["phones"], "phone": k["tel"]["phone"], "phone_from": k["tel"]["phone_from"],
+                   "email": F.when(no_mail, "").otherwise(e["email"]), "email_from": F.when(no_mail, "").otherwise(e["email_from"]), "contact": k["contact"],
+                   "linkedin": F.when(c.isNotNull(), text(k["contact"]["linkedin"])).otherwise(e["linkedin"])}
+        return F.struct(*[changed.get(f.name, e[f.name]).alias(f.name) for f in LOOKUP.fields])
+
+    return F.when(e.isNotNull(), let(kept, whole))
