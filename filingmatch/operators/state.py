@@ -97,9 +97,8 @@ def rejudged(companies: DataFrame, rules: Rules, today: Column) -> DataFrame:
         "_q", qualify(raw, F.col("_clean"), rules))
     ready = F.col("_q.state") == "ready"
     wants = F.col("state").isin("held", "dropped") & e.isNotNull() & ready
-    claims = (companies.where(F.col("state").isin("held", "dropped") & e.isNotNull()).where(qualify(raw, e, rules)["state"] == "ready")
-              .select("id", F.coalesce("enrich.domain", F.lit("")).alias("domain"), "first_seen"))
-    free = claim_domains(claims, companies.where(listed).select("id", "domain"), ["first_seen", "id"]).where(~F.col("domain_taken"))
+    claims = judged.where(wants).select("id", F.coalesce("enrich.domain", F.lit("")).alias("domain"), "first_seen")
+    free = claim_domains(claims, judged.where(listed).select("id", "domain"), ["first_seen", "id"]).where(~F.col("domain_taken"))
     marked = judged.join(free.select("id", F.lit(True).alias("_free")), "id", "left")
     sent = F.col("state") == "pushed"
     has = F.col("state").isin(V.LISTED) & e.isNotNull()
