@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder on the storage the cluster shares (`spark.checkpoint.dir`), or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="filingmatch-")
+    """A new folder on the storage the cluster shares."""
+    return shared_folder(spark, "work")
 
 
 def landing(spark: SparkSession, folder: str, name: str) -> DataFrame:
