@@ -25,13 +25,13 @@ def parts_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
-    """`mapInArrow` for functions over dicts of column name to list; numpy arrays and lists may be returned."""
+    """`mapInArrow` for functions over dicts of column name to Arrow array; lists, numpy and Arrow arrays may be returned."""
     out = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in fn({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches):
-            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, language, sharding, simhash, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, html_text, language, sharding, simhash, substrings, url_filter
 from .common import registry, table
 
 QUERIES, CHECKS, query = registry()
@@ -45,6 +45,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_substrings", r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT k, i, array_to_string(w[i:i + 34], ' ') AS g FROM d, unnest(range(1, len(w) - 33)) AS u(i) WHERE len(w) >= 35),
+r AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+h AS (SELECT DISTINCT k, p FROM (SELECT k, unnest(range(i, i + 35)) AS p FROM g SEMI JOIN r USING (g))),
+n AS (SELECT k, list(p) AS gone FROM h GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN n USING (k)""")
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 @query("op7_language")
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
