@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .caches import Cache
-from .common import arrow_map
+from .common import arrow_map, held
 
 CACHED = 400_000
 LONG = 64
@@ -191,18 +191,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-_HELD: dict[int, Codec] = {}
-
-
-def _held(shared) -> Codec:
-    """The worker's codec, kept from task to task."""
-    key = id(shared.value)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = shared.value
-    return _HELD[key]
-
-
 def encoded(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens and `ids` (little-endian unsigned 32-bit integers) of every row of `docs` (doc_id, text). With `digests`,
     the ids are decoded too and SHA-256 digests of ids and decoded bytes are returned in place of `ids`."""
@@ -210,7 +198,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, digests: bool = False) ->
     shared = spark.sparkContext.broadcast(codec(path, pattern))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        c = _held(shared)
+        c = held(shared)
         for b in batches:
             ids = [c.encode(t) for t in b["text"].to_pylist()]
             got = {"doc_id": b["doc_id"], "n_tokens": [len(x) // 4 for x in ids]}
@@ -231,6 +219,6 @@ def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"doc_id": b["doc_id"], "text": [_held(shared).decode(x) for x in b["ids"].to_pylist()]}
+            yield {"doc_id": b["doc_id"], "text": [held(shared).decode(x) for x in b["ids"].to_pylist()]}
 
     return arrow_map(rows.select("doc_id", "ids"), run, "doc_id long, text binary")

@@ -20,7 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def parts_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions that hold about `bytes_each` of the input each, never fewer than the session's shuffle partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each + 1, 200_000))
 
 
@@ -36,6 +36,16 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], sch
     return df.mapInArrow(run, out)
 
 
+_HELD: list = [None, None]
+
+
+def held(shared, make: Callable = lambda x: x):
+    """What `make` makes of a broadcast value, kept by the Python worker from task to task until another value is asked for."""
+    if _HELD[0] is not shared.value:
+        _HELD[:] = [shared.value, make(shared.value)]
+    return _HELD[1]
+
+
 def row_key() -> list[Column]:
     """Two columns, `kd` and `kt`, that name a row of `documents` by what it holds: its id and a hash over text and id. They
     come out alike in every pass, however the input is split, so several passes need no stored row number. Repeated rows

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .caches import Cache
-from .common import arrow_map
+from .common import arrow_map, held
 
 SIZES = (4, 3, 2, 1)
 MIN_SHARE = 2e-5
@@ -152,24 +152,13 @@ def train(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
     return Model(sorted({lang for share in by_unit.values() for lang in share}), [(s, u, x) for (s, u), x in sorted(by_unit.items())], min_share / 2)
 
 
-_HELD: dict[int, Model] = {}
-
-
-def _held(shared) -> Model:
-    key = id(shared.value)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = shared.value
-    return _HELD[key]
-
-
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row of `docs` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            got = [_held(shared).predict(t) for t in b["text"].to_pylist()]
+            got = [held(shared).predict(t) for t in b["text"].to_pylist()]
             yield {"doc_id": b["doc_id"], "lang_pred": [x for x, _ in got], "score": [x for _, x in got]}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
@@ -190,7 +179,7 @@ def keep_readable(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     @F.pandas_udf("boolean")
     def readable(text):
         import pandas as pd
-        got = [_held(shared).predict(None if t is None else t) for t in text]
+        got = [held(shared).predict(None if t is None else t) for t in text]
         return pd.Series([x != UNKNOWN and s >= min_score for x, s in got], dtype=bool)
 
     return docs.where(readable("text"))
