@@ -74,7 +74,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
             order = np.argsort(term, kind="stable")
             found, first = np.unique(term[order], return_index=True)
             yield {"kd": [b["kd"]], "kt": [b["kt"]], "doc_id": [b["doc_id"]], "n_words": [length], "term": [found],
-                   "ends": [np.r_[first[1:], len(order)]], "postings": [at[order]]}
+                   "ends": [np.r_[first, len(order)][1:]], "postings": [at[order]]}
 
     plain = docs.select(*row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
     return stored(arrow_map(plain, run, "kd array<long>, kt array<long>, doc_id array<long>, n_words array<long>, term array<int>, ends array<long>, "
@@ -83,9 +83,9 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
 
 def frequencies(index: DataFrame) -> DataFrame:
     """(term, n): corpus frequencies, from the lengths of the posting lists."""
-    spans = F.transform(F.sequence(F.lit(0), F.size("ends") - 1), lambda i: F.struct(
-        F.element_at("term", i + 1).alias("term"), (F.element_at("ends", i + 1) - F.when(i > 0, F.element_at("ends", F.greatest(i, F.lit(1)))).otherwise(0)).alias("n")))
-    return index.where(F.size("ends") > 0).select(F.explode(spans).alias("s")).groupBy("s.term").agg(F.sum("s.n").alias("n"))
+    spans = F.transform("ends", lambda end, i: F.struct(
+        F.element_at("term", i + 1).alias("term"), (end - F.when(i > 0, F.element_at("ends", F.greatest(i, F.lit(1)))).otherwise(0)).alias("n")))
+    return index.select(F.explode(spans).alias("s")).groupBy("s.term").agg(F.sum("s.n").alias("n"))
 
 
 def _phrase(lists: dict[int, np.ndarray], phrase: list[int], rarity: list[int]) -> np.ndarray:

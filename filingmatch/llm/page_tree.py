@@ -90,6 +90,9 @@ class _Reader(HTMLParser):
                     above.children.append(node)
         self.open.append((tag, node, skip))
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)      # as browsers read it, whatever the section is called
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
