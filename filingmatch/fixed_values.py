@@ -219,15 +219,15 @@ TITLE_ABBREV = ("CEO COO CTO CFO CIO CMO CPO CRO CISO CDO CCO CSO CAO CHRO VP SV
 TITLE_SMALL = "AND OF AT FOR THE TO IN WITH OR AN ON BY".split()
 FOUNDED_BY = (r"(?:founded|started|created|co-founded|established|owned|run|operated)\s+by\s+"
               r"((?:Dr\.? )?[A-Z][a-zA-Z'’\-]{1,20}(?: [A-Z][a-zA-Z'’\-]{1,20}){1,2})")
+LINE_PARTS = r"^(.{3,45}?)\s*[,\-–—|•:/(]\s*(.{3,70})$"
+TITLE_LINE_MAX = 110
+SOMEONE_ELSES = r",\s*[A-Za-z]|\b(at|of|for)\s+[A-Z]"
+LABELLED_CODE = r"^(.*?)\s*\((\d{6})\)\s*$"
 QUOTE_TAGS = ["blockquote", "q", "cite"]
 QUOTE_CLASSES = ["testimonial", "review", "quote"]
 QUOTE_IDS = ["testimonial"]
 
 # -------------------------------------------------------------------------------------------------- fixed values: page roles
-TEXT_CAP = 200_000          # characters of page text any pattern sees
-PAGE_BYTES = 2_000_000      # larger pages are not admitted
-MAX_LINKS = 400             # links of a page that are looked at
-MAX_PROFILES = 40           # profile links of a page that are looked at
 HIDDEN_TAGS = ["script", "style", "noscript", "template", "svg"]
 PAGE_HINT = r"(?i)contact|about|team|people|leader|founder|company|who-we|our-story|meet|staff|story"
 SKIP_PATH = (r"(?i)\.(pdf|jpe?g|png|gif)$|blog|/tag/|/category/|privacy|terms|login|cart|shop|news|press|article|media|career|/jobs?\b|"
@@ -237,9 +237,9 @@ LEGAL_LINK = r"(?i)privacy|terms|legal|imprint|impressum"
 LEGAL_PATH = r"(?i)privacy|terms|legal|policy|policies|imprint|impressum|cookie|gdpr|dpa\b"
 DEFAULT_PATHS = ["/contact", "/contact-us", "/about", "/about-us", "/team"]
 DEFAULT_LEGAL = ["/privacy", "/privacy-policy"]
-MAX_SUBPAGES = 6
+MAX_SUBPAGES = 6            # role pages of a site: the rule of the fold, and what keeps a site's row small
 MAX_LEGAL = 2
-FINE_PRINT_PATHS = ["/terms", "/privacy", "/privacy-policy", "/terms-of-service", "/legal", "/contact"]
+FINE_PRINT_PATHS = ["/terms", "/privacy", "/privacy-policy", "/terms-of-service", "/legal", "/contact", "/contact-us", "/about", "/about-us"]
 PROFILE_URL = r"(?i)^https?://(?:[a-z]{2,3}\.|www\.)?linkedin\.com/(in|company)/([A-Za-z0-9\-_%.]{2,100})/?$"
 PARKED = (r"(?i)domain (is )?for sale|buy this domain|this domain (is|may be) for sale|parked (free|domain)|hugedomains|dan\.com|"
           r"afternic|sedo\.com|domain has expired|account suspended|default web page|under construction|future home of|coming soon")
@@ -264,8 +264,6 @@ OTHER_TRADE_SIGNS = [
     r"\bclinics?\b", r"\breal estate\b", r"\bboutique\b", r"\bbakery\b", r"\bcaf[eé]\b", r"\byoga\b", r"\bauto (repair|body)\b",
     r"\btires?\b", r"\btowing\b", r"\bcleaning\b", r"\bcatering\b", r"\bmassage\b", r"\bwedding", r"\bphotograph", r"\bapparel\b",
     r"\bjewelry\b", r"\bfitness\b"]
-BODY_CHARS = 12_000         # body characters the classifier reads
-SITE_BODY_CHARS = 20_000    # body characters a site keeps
 
 # --------------------------------------------------------------------------------------- fixed values: state table and labels
 STATES_OF_COMPANY = ["new", "held", "ready", "pushed", "dropped"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +39,35 @@ def strings(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+_LITERALS: dict[tuple[str, ...], list[Column]] = {}
+_OWNER: list = [None]
+
+
 def among(c: Column | str, words: Iterable[str]) -> Column:
-    """Membership in a list of words, as one constant of the plan however long the list is (no word holds a comma)."""
-    return F.find_in_set(col(c), F.lit(",".join(words))) > 0
+    """Membership in a list of words: Catalyst makes one hashed set of it. The constants of a list are made once."""
+    gateway = SparkContext._gateway
+    if _OWNER[0] is not gateway:
+        _OWNER[0] = gateway
+        _LITERALS.clear()
+    key = tuple(words)
+    if key not in _LITERALS:
+        _LITERALS[key] = [F.lit(w) for w in key]
+    return F.coalesce(col(c).isin(_LITERALS[key]), F.lit(False))
+
+
+def first_chars(c: Column, n: int | None) -> Column:
+    """At most `n` characters; all of them where `n` is None."""
+    return c if n is None else F.substring(c, 1, n)
+
+
+def first_items(c: Column, n: int | None) -> Column:
+    """At most `n` items of an array; all of them where `n` is None."""
+    return c if n is None else F.slice(c, 1, n)
+
+
+def rest_of(c: Column, start: int | Column) -> Column:
+    """The characters from `start` on."""
+    return F.substr(c, F.lit(start) if isinstance(start, int) else start)
 
 
 def no_strings() -> Column:
@@ -56,7 +83,7 @@ def is_lower(c: Column) -> Column:
 
 
 def capitalize(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(rest_of(c, 2)))
 
 
 def title_case(c: Column | str) -> Column:

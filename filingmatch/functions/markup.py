@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .core import col, let, no_strings, strip, text
+from .core import col, first_items, let, no_strings, rest_of, strip, text
 from .links import unquote
 from .mail import valid_email, xor_decode
 from .phones import usable_phone
@@ -32,7 +32,7 @@ def unescape(c: Column | str) -> Column:
         """Text after an ampersand: a name, a number or neither, then the rest."""
         ref = F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31}(?=;))", 1)
         return F.when((i == 0) | (ref == ""), F.concat(F.when(i > 0, F.lit("&")).otherwise(F.lit("")), part)).otherwise(
-            let(ref, lambda r: F.concat(character(r), F.regexp_replace(F.substring(part, F.length(r) + 1, F.lit(V.PAGE_BYTES)), "^;", ""))))
+            let(ref, lambda r: F.concat(character(r), F.regexp_replace(rest_of(part, F.length(r) + 1), "^;", ""))))
 
     def character(r: Column) -> Column:
         point = F.when(r.rlike("^#[xX]"), F.conv(F.substring(r, 3, 6), 16, 10)).otherwise(F.substring(r, 2, 7)).try_cast("int")
@@ -55,7 +55,7 @@ def text_nodes(markup: Column) -> Column:
 
 def visible_text(markup: Column) -> Column:
     """Text nodes, one per line, of `shown_markup`."""
-    return F.substring(F.array_join(text_nodes(markup), "\n"), 1, V.TEXT_CAP)
+    return F.array_join(text_nodes(markup), "\n")
 
 
 def inner_text(fragment: Column) -> Column:
@@ -68,10 +68,10 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(written != "", unescape(F.regexp_replace(written, "^[\"']|[\"']$", "")))
 
 
-def head_text(markup: Column) -> Column:
-    """Title, description, preview tags and the first eight headings, joined by ' . '."""
+def head_text(markup: Column, most: int | None = None) -> Column:
+    """Title, description, preview tags and headings (the first `most` where that is given), joined by ' . '."""
     title = F.when(markup.rlike(r"(?i)<title\b"), F.array(F.regexp_extract(markup, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
-    headings = F.slice(F.regexp_extract_all(markup, F.lit(r"(?is)<h[12]\b[^>]*>(.*?)</h[12]\s*>"), F.lit(1)), 1, 8)
+    headings = first_items(F.regexp_extract_all(markup, F.lit(r"(?is)<h[12]\b[^>]*>(.*?)</h[12]\s*>"), F.lit(1)), most)
     tags = F.filter(F.regexp_extract_all(markup, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda m: m.rlike("(?i)description|og:(title|site_name)"))
     metas = F.transform(tags, lambda m: F.struct(attribute(m, "(?:name|property)").alias("key"), attribute(m, "content").alias("content")))
 
@@ -81,15 +81,15 @@ def head_text(markup: Column) -> Column:
         return F.filter(contents, lambda c: c.isNotNull() & (c != ""))
 
     shown = let(F.coalesce(title, no_strings()), lambda t: let(F.transform(F.concat(t, headings), inner_text), lambda x: F.concat(
-        F.slice(x, 1, F.size(t)), let(metas, joined), F.slice(x, F.size(t) + 1, F.lit(8)))))
+        F.slice(x, 1, F.size(t)), let(metas, joined), F.slice(x, F.size(t) + 1, F.greatest(F.size(x) - F.size(t), F.lit(0))))))
     return F.array_join(shown, " . ")
 
 
-def links(markup: Column) -> Column:
-    """The first 400 links of a page: array of (href, label)."""
-    anchors = F.regexp_extract_all(markup, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
+def links(markup: Column, most: int | None = None) -> Column:
+    """The links of a page: array of (href, label); of the first `most` anchors where that is given."""
+    anchors = first_items(F.regexp_extract_all(markup, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0)), most)
     read = F.transform(anchors, lambda a: F.struct(attribute(a, "href").alias("href"), inner_text(a).alias("label")))
-    return F.slice(F.filter(read, lambda a: a["href"].isNotNull()), 1, V.MAX_LINKS)
+    return F.filter(read, lambda a: a["href"].isNotNull())
 
 
 def _strict_form(e: Column) -> Column:
@@ -113,7 +113,7 @@ def raw_addresses(markup: Column, page_links: Column, body: Column) -> Column:
     """Mail links, hidden addresses and addresses in the text, in that order."""
     mailto = F.filter(page_links, lambda a: a["href"].startswith("mailto"))
     listed = F.flatten(F.transform(mailto, lambda a: F.split(
-        F.split_part(unquote(F.substring(a["href"], 8, 10_000)), F.lit("?"), F.lit(1)), "[;,]")))
+        F.split_part(unquote(rest_of(a["href"], 8)), F.lit("?"), F.lit(1)), "[;,]")))
     hidden = F.transform(F.regexp_extract_all(markup, F.lit(r"""(?i)\sdata-cfemail\s*=\s*["']?([0-9A-Fa-f]+)"""), F.lit(1)), xor_decode)
     return F.concat(F.filter(F.transform(listed, strip), lambda e: F.contains(e, F.lit("@"))),
                     F.filter(hidden, lambda e: F.contains(e, F.lit("@"))), text_addresses(body))

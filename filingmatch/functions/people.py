@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -27,6 +27,13 @@ class Lexicon:
 
     given_names: tuple[str, ...] = field(default=tuple(V.DEFAULT_GIVEN_NAMES))
 
+    @staticmethod
+    def from_file(spark: SparkSession, path: str) -> Lexicon:
+        """A lexicon of the names in a text file, one per line, on any store Spark reads. The default list is short; a deployment
+        supplies its own."""
+        names = spark.read.text(path).select(F.lower(F.trim("value")).alias("n")).where("n <> ''").distinct().orderBy("n")
+        return Lexicon(tuple(r.n for r in names.toLocalIterator()))
+
 
 DEFAULT_LEXICON = Lexicon()
 

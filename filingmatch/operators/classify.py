@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.core import let, strip, text
+from ..functions.core import first_chars, let, strip, text
 
 
 def stem(pattern: str) -> str:
@@ -36,10 +36,10 @@ def signs(c: Column, low: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [sign(p) for p in patterns])
 
 
-def classify(head: Column, body: Column) -> Column:
-    """struct(level, score) of a page: strong, weak, unknown (almost no text) or none. The body is cut before any pattern
-    sees it; six counts are combined once."""
-    cut = let(F.struct(text(head).alias("h"), F.substring(text(body), 1, V.BODY_CHARS).alias("b")), lambda t: F.struct(
+def classify(head: Column, body: Column, body_chars: int | None = None) -> Column:
+    """struct(level, score) of a page: strong, weak, unknown (almost no text) or none. The whole body is read; `body_chars` bounds
+    what the patterns see where a deployment prefers that. Six counts are combined once."""
+    cut = let(F.struct(text(head).alias("h"), first_chars(text(body), body_chars).alias("b")), lambda t: F.struct(
         t["h"].alias("h"), t["b"].alias("b"), folded(t["h"]).alias("hl"), folded(t["b"]).alias("bl")))
 
     def counts(t: Column) -> Column:

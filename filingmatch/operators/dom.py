@@ -85,15 +85,15 @@ class _Reader(HTMLParser):
 
     def profiles(self) -> list[dict]:
         out = []
-        anchors = [e for e in self.elements if e[0] == "a" and e[1].get("href") is not None][:V.MAX_LINKS]
+        anchors = [e for e in self.elements if e[0] == "a" and e[1].get("href") is not None]
         for e in anchors:
             href = e[1]["href"]
             if "linkedin.com/company/" not in href and "linkedin.com/in/" in href:
                 around, up = [], e[2]
                 while up is not None and len(around) < 4:
-                    around.append(self.span(self.elements[up])[:600])
+                    around.append(self.span(self.elements[up]))
                     up = self.elements[up][2]
-                own = " ".join([self.span(e)[:300], e[1].get("aria-label") or "", e[1].get("title") or ""])
+                own = " ".join([self.span(e), e[1].get("aria-label") or "", e[1].get("title") or ""])
                 out.append({"url": href, "own": own, "around": around})
         return out
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import fixed_values as V
 from ..functions import markup as M
-from ..functions.core import text
+from ..functions.core import first_items, text
 from ..functions.mail import email_kind, mail_domain
 from ..functions.names import core, core_tokens, flat, name_parts, slugs
 from ..functions.phones import norm_phone
@@ -18,8 +18,6 @@ from ..sources.crawl import located
 from .pages import home_pages, page_texts
 from .skew import salted_join
 
-MAX_CHECKS = 8
-
 
 def candidate_domains(name: Column, trade: Column, emails: Column, tlds: list[str] | None = None) -> Column:
     """Ordered distinct (domain, hinted): the domains of the filing's own mailboxes, then every label under every ending."""
@@ -64,8 +62,9 @@ def _label_rows(name: Column, trade: Column, emails: Column) -> Column:
                     F.flatten(F.transform(F.flatten(F.transform(parts, slugs)), spelled)))
 
 
-def live_candidates(filings: DataFrame, hosts: DataFrame, tlds: list[str] | None = None, max_checks: int = MAX_CHECKS) -> DataFrame:
-    """(id, pos, domain, hinted): the first eight candidate domains of each filing that are hosts of the crawl.
+def live_candidates(filings: DataFrame, hosts: DataFrame, tlds: list[str] | None = None, max_checks: int | None = None) -> DataFrame:
+    """(id, pos, domain, hinted): the candidate domains of each filing that are hosts of the crawl, in order (the first `max_checks`
+    where that is given).
 
     Joins on the label before the ending. Only narrow rows move: `hosts` is one short row per host, and what is gathered per
     filing is its own few candidates.
@@ -81,7 +80,7 @@ def live_candidates(filings: DataFrame, hosts: DataFrame, tlds: list[str] | None
     listed = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("base", "place", "domain", "hinted"))).alias("all"))
     domains = F.transform("all", lambda x: x["domain"])
     first = F.filter("all", lambda x, i: F.array_position(domains, x["domain"]) == i + 1)
-    return (listed.select("id", F.posexplode(F.slice(first, 1, max_checks)).alias("pos", "c")).select("id", "pos", "c.domain", "c.hinted"))
+    return (listed.select("id", F.posexplode(first_items(first, max_checks)).alias("pos", "c")).select("id", "pos", "c.domain", "c.hinted"))
 
 
 def parked(head: Column, body: Column) -> Column:
@@ -145,11 +144,13 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 
 def fine_print(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(domain, fine): the lower-case text of a host's terms, privacy and contact pages (one page per path, six paths)."""
+    """(domain, fine): the lower-case text of a host's terms, privacy and contact pages (one page per
+    path). The pages are dealt by host once, and both groupings use that."""
     place = F.array_position(F.array(*[F.lit(p) for p in V.FINE_PRINT_PATHS]), F.regexp_replace("path", "/+$", "")).cast("int")
-    index = located(pages.select("page_id", "url")).select("page_id", "host", place.alias("place")).where("place > 0")
-    first = (index.join(hosts, index["host"] == hosts["domain"], "left_semi").groupBy("host", "place").agg(F.min("page_id").alias("page_id")))
-    texts = page_texts(pages.join(first.select("page_id"), "page_id", "left_semi")).select("page_id", "body").join(first, "page_id")
+    fine = located(pages).withColumn("place", place).where("place > 0").select("page_id", "url", "html", "host", "place")
+    wanted = fine.join(hosts.withColumnRenamed("domain", "host"), "host", "left_semi")
+    first = wanted.groupBy("host", "place").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p"))
+    texts = page_texts(first.select("host", "place", "p.*")).select("host", "place", "body")
     ordered = F.array_sort(F.collect_list(F.struct("place", "body")))
     return texts.groupBy(F.col("host").alias("domain")).agg(F.lower(F.array_join(F.transform(ordered, lambda p: p["body"]), " ")).alias("fine"))
 
@@ -179,15 +180,16 @@ def accepted(rows: DataFrame) -> DataFrame:
 def evidence(filings: DataFrame, pages: DataFrame, domain_created: DataFrame, homes: DataFrame | None = None,
              tlds: list[str] | None = None) -> DataFrame:
     """All accepted (filing, domain) pairs with their evidence. Phase one scores home pages; phase two reads the fine print
-    only of the hosts whose pairs have nothing specific. The narrow results of both steps (at most eight pairs per filing) are
-    written once, so no page is parsed twice and a lost executor costs one step."""
+    only of the hosts whose pairs have nothing specific. Filing keys join the candidates before any text does, so a page's text
+    crosses one exchange, whatever the number of filings that want it. The narrow results of both steps are written once, so no page
+    is parsed twice and a lost executor costs one step."""
     homes = home_pages(pages) if homes is None else homes
     live = durable(live_candidates(filings, homes, tlds))
     wanted = homes.join(live.select(F.col("domain").alias("host")).distinct(), "host", "left_semi")
     facts = home_facts(pages, wanted).withColumnRenamed("host", "domain")
     dated = facts.join(domain_created.select(F.col("host").alias("domain"), "created"), "domain", "left")
-    keyed = salted_join(live, dated, "domain", "id").join(filing_keys(filings), "id")
-    rows = durable(scored(keyed).drop("low", "head_flat", "body_flat", "site_phones"))
+    keyed = durable(live.join(filing_keys(filings), "id"))
+    rows = durable(scored(salted_join(keyed, dated, "domain", "id")).drop("low", "head_flat", "body_flat", "site_phones"))
     open_rows = rows.where(F.size("specific") == 0)
     fine = fine_print(pages, open_rows.select("domain").distinct())
     settled = rows.where(F.size("specific") > 0).withColumn("fine", F.lit(None).cast("string"))

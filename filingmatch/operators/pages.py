@@ -8,21 +8,17 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import markup as M
 from ..functions.cells import clean_text
-from ..functions.core import let, strip, text
+from ..functions.core import first_items, let, strip, text
 from ..functions.links import absolute_url, page_key, profile_url
 from ..functions.mail import bare_host, same_site, valid_email
 from ..functions.people import clean_title, is_lead, person_name
 from ..sources.crawl import located
 from .dom import dom_facts
 
-_LINE_PARTS = r"^(.{3,45}?)\s*[,\-–—|•:/(]\s*(.{3,70})$"
-
-
 def page_texts(pages: DataFrame) -> DataFrame:
-    """Adds `markup`, `full_text`, `body` (capped), `head` and `links`: expressions only."""
+    """Adds `markup`, `body`, `head` and `links`: expressions only."""
     return (located(pages).withColumn("markup", M.shown_markup("html"))
-            .withColumn("full_text", F.array_join(M.text_nodes(F.col("markup")), "\n"))
-            .withColumn("body", F.substring("full_text", 1, V.TEXT_CAP))
+            .withColumn("body", M.visible_text(F.col("markup")))
             .withColumn("head", M.head_text(F.col("markup"))).withColumn("links", M.links(F.col("markup"))))
 
 
@@ -34,7 +30,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
                     M.emails(F.col("markup"), F.col("links"), F.col("body")).alias("emails"),
                     M.phones(F.col("links"), F.col("body")).alias("phones"),
                     ld_emails(F.col("dom.nodes")).alias("ld_emails"), ld_phones(F.col("dom.nodes")).alias("ld_phones"),
-                    F.coalesce(F.col("dom.said"), F.col("full_text")).alias("said"), F.col("dom.nodes").alias("nodes"),
+                    F.coalesce(F.col("dom.said"), F.col("body")).alias("said"), F.col("dom.nodes").alias("nodes"),
                     company_profile(F.col("links")).alias("company_profile"), person_profiles(F.col("dom.profiles")).alias("profiles"))
             .withColumn("people", F.when(~F.col("is_legal"), people_of_page(F.col("said"), F.col("nodes")))).drop("said", "nodes"))
 
@@ -123,7 +119,7 @@ def line_mentions(said: Column) -> Column:
 
     def titled(lines: Column) -> Column:
         every = F.transform(lines, lambda s, i: _mention(1, i, s, s, F.lit(""), F.when(i > 0, F.get(lines, i - 1)), F.get(lines, i + 1)))
-        return F.filter(every, lambda m: (F.length(m["line"]) <= 110) & is_lead(m["line"]))
+        return F.filter(every, lambda m: (F.length(m["line"]) <= V.TITLE_LINE_MAX) & is_lead(m["line"]))
 
     lines = F.filter(F.transform(F.split(said, "\n"), strip), lambda s: s != "")
     return F.when(is_lead(said), let(lines, titled)).otherwise(F.array().cast(_MENTION))
@@ -139,8 +135,8 @@ def recognized(mentions: Column) -> Column:
     hold both, before or after a mark; else the name stands on the line above or below."""
 
     def read(m: Column) -> Column:
-        halves = F.struct(F.regexp_extract(m["line"], _LINE_PARTS, 1).alias("left"),
-                          F.rtrim(F.regexp_extract(m["line"], _LINE_PARTS, 2), F.lit(")")).alias("right"))
+        halves = F.struct(F.regexp_extract(m["line"], V.LINE_PARTS, 1).alias("left"),
+                          F.rtrim(F.regexp_extract(m["line"], V.LINE_PARTS, 2), F.lit(")")).alias("right"))
         return let(halves, lambda h: with_names(m, h))
 
     def with_names(m: Column, h: Column) -> Column:
@@ -173,10 +169,10 @@ def company_profile(page_links: Column) -> Column:
     return F.coalesce(F.get(plain, F.lit(0)), F.lit(""))
 
 
-def person_profiles(profiles: Column) -> Column:
-    """Profile links in plain form with their own text and the blocks around them, at most forty."""
+def person_profiles(profiles: Column, most: int | None = None) -> Column:
+    """Profile links in plain form with their own text and the blocks around them; the first `most` where that is given."""
     plain = F.transform(profiles, lambda p: F.struct(profile_url(p["url"]).alias("url"), p["own"].alias("own"), p["around"].alias("around")))
-    return F.slice(F.filter(plain, lambda p: p["url"] != ""), 1, V.MAX_PROFILES)
+    return first_items(F.filter(plain, lambda p: p["url"] != ""), most)
 
 
 def matched_profile(person: Column, others: Column, profiles: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,10 +120,13 @@ def redacted(companies: DataFrame) -> DataFrame:
 
 
 def leaks(snapshot: DataFrame) -> DataFrame:
-    """Unlisted companies of a snapshot that still carry a detail: must be empty."""
-    raw = snapshot.schema["raw"].dataType
-    any_detail = F.coalesce(*[F.when(F.col(f"raw.{f.name}").isNotNull(), True) for f in raw.fields if f.name != "source"], F.lit(False))
-    return snapshot.where(~F.col("state").isin(V.LISTED)).where(any_detail | F.col("domain").isNotNull())
+    """Unlisted companies of a snapshot that still carry a detail, in the filing, in the lookup (where a website may only be '' or
+    'yes') or in the domain: must be empty."""
+    raw, seen = snapshot.schema["raw"].dataType, snapshot.schema["enrich"].dataType
+    told = [F.col(f"raw.{f.name}").isNotNull() for f in raw.fields if f.name != "source"]
+    told += [F.col(f"enrich.{f.name}").isNotNull() for f in seen.fields if f.name != "website"]
+    told += [~F.coalesce("enrich.website", F.lit("")).isin("", "yes"), F.col("domain").isNotNull(), F.col("pushed_hash").isNotNull()]
+    return snapshot.where(~F.col("state").isin(V.LISTED)).where(reduce(lambda a, b: a | b, told))
 
 
 def log_row(runs: DataFrame) -> DataFrame:

@@ -88,11 +88,18 @@ def admitted(events: DataFrame, key: str, ts: str, event_id: str, limit: int, se
     return free.unionByName(contested.select(*columns).join(verdicts, event_id))
 
 
-def reserved(events: DataFrame, group: str, keys: str, ts: str, event_id: str, limits: dict[str, int], seconds: int = WINDOW_SECONDS) -> DataFrame:
+def released(events: DataFrame, returned: DataFrame, event_id: str) -> DataFrame:
+    """The log without reservations that were given back; judged again, they leave room for others."""
+    return events.join(returned.select(event_id), event_id, "left_anti")
+
+
+def reserved(events: DataFrame, keys: str, ts: str, event_id: str, limits: dict[str, int], seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Admission against several keys at once: an event passes only while every one of its keys (array of `kind:value`) is under the
-    limit of its kind, and then counts against all of them. `group` names a column that keys never cross; inside it the order of
-    events decides, so it is folded in time order with at most `limit` instants per key in memory."""
+    limit of its kind, and then counts against all of them. Keys meet in events, so order decides among all of them; only where
+    nothing happened at all for a whole window is the past forgotten. Each such burst is folded in time order, with at most `limit`
+    instants per key in memory, and a burst may be as long as the log."""
     span = seconds * 1_000_000
+    placed = _bursts(events.withColumn("_all", F.lit(0)), "_all", ts, seconds).withColumn("_g", F.col("_burst").cast("string"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, passed = None, {}
@@ -114,6 +121,6 @@ def reserved(events: DataFrame, group: str, keys: str, ts: str, event_id: str, l
             yield batch[[event_id]].assign(admitted=verdicts)
 
     kind = events.schema[event_id].dataType.simpleString()
-    ordered = (events.select(event_id, F.col(group).cast("string").alias("_g"), F.col(keys).alias("_keys"), micros(ts).alias("_us"))
+    ordered = (placed.select(event_id, "_g", F.col(keys).alias("_keys"), "_us")
                .repartition("_g").sortWithinPartitions("_g", "_us", event_id))
     return events.join(ordered.mapInPandas(fold, f"{event_id} {kind}, admitted boolean"), event_id)

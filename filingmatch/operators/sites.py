@@ -14,8 +14,6 @@ from ..functions.people import is_lead
 from ..session import durable
 from .pages import home_pages, legal_targets, page_facts, page_index, page_texts, role_targets
 
-_SOMEONE_ELSES = r",\s*[A-Za-z]|\b(at|of|for)\s+[A-Z]"
-
 
 def site_pages(pages: DataFrame, homes: DataFrame) -> DataFrame:
     """(site, rank, page_id): the home page of every site (rank 0), up to six role pages (1..6), up to two legal pages (7, 8).
@@ -64,7 +62,7 @@ def leaders(people: Column) -> Column:
 
     def plain(p: Column) -> Column:
         organisation = F.exists(F.split(F.lower(p["name"]), " "), lambda w: among(F.trim(w, F.lit(".")), V.ORGWORDS))
-        elsewhere = p["title"].rlike(_SOMEONE_ELSES) & ~p["title"].rlike("&|and|/")
+        elsewhere = p["title"].rlike(V.SOMEONE_ELSES) & ~p["title"].rlike("&|and|/")
         return ~organisation & is_lead(p["title"]) & ~elsewhere
 
     def once(kept: Column) -> Column:
@@ -94,7 +92,7 @@ def fold_sites(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
               .withColumn("emails", order_emails(F.col("page_emails"), F.col("site"))))
     return folded.select(
         "site", F.get(F.col("pages"), F.lit(0))["head"].alias("head"), F.get(F.col("pages"), F.lit(0))["url"].alias("url"),
-        F.substring(F.array_join(F.transform("pages", lambda p: p["body"]), "\n"), 1, V.SITE_BODY_CHARS).alias("body"),
+        F.array_join(F.transform("pages", lambda p: p["body"]), "\n").alias("body"),
         "page_emails", "emails", F.filter("emails", lambda e: ~F.array_contains(F.col("_real_mail"), e)).alias("legal_only_emails"),
         "phones", F.filter("phones", lambda p: ~F.array_contains(F.col("_real_phones"), p)).alias("legal_only_phones"),
         F.flatten(F.transform("pages", lambda p: p["profiles"])).alias("profiles"),

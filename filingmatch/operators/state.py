@@ -27,10 +27,10 @@ def intake(filings: DataFrame, companies: DataFrame, today: Column) -> DataFrame
                         today.alias("next_due"), F.lit(0).alias("strikes"))
 
 
-def due(companies: DataFrame, today: Column, limit: int = 100_000) -> DataFrame:
-    """Companies to look up now, newest first (the id settles ties)."""
-    return (companies.where(F.col("state").isin("new", "held", "ready") & (F.col("next_due") <= today))
-            .orderBy(F.desc("first_seen"), F.asc("id")).limit(limit))
+def due(companies: DataFrame, today: Column, limit: int | None = None) -> DataFrame:
+    """Companies to look up now, newest first (the id settles ties); at most `limit` where one is given."""
+    rows = companies.where(F.col("state").isin("new", "held", "ready") & (F.col("next_due") <= today)).orderBy(F.desc("first_seen"), F.asc("id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def claim_domains(rows: DataFrame, listed: DataFrame, order: list[str]) -> DataFrame:

@@ -107,7 +107,7 @@ CHECK_SOURCES = {"tx": CHECK_TX, "ct": CHECK_CT, "seattle": CHECK_SEATTLE, "sf":
 
 @query("a1_registry_scan", f"""
 SELECT uniqueid, ownership_name, location_start_date FROM ({L.RAW_SF}) r WHERE {_between('location_start_date')}
-AND {C.is_it_text('self_reported_naics_code')} ORDER BY location_start_date DESC, uniqueid, ttxid LIMIT 60000""")
+AND {C.is_it_text('self_reported_naics_code')}""")
 def a1(spark, sf):
     spec = REGISTRY["sf"]
     return page_scan(raw(spark, sf, "sf"), spec.scan(SINCE, UNTIL), [F.desc("location_start_date"), F.asc("uniqueid"), F.asc("ttxid")],
@@ -214,7 +214,7 @@ _CRAWL = """SELECT page_id, url, CASE WHEN page_id % 17 = 3 THEN '' ELSE html EN
 
 
 @query("a15_page_admission", f"""SELECT page_id, {C.bare_host('url')} AS host, strlen(html) AS bytes FROM ({_CRAWL}) p
-WHERE status < 400 AND strlen(html) BETWEEN 1 AND 2000000 AND (lower(content_type) LIKE '%html%' OR lower(content_type) LIKE '%text%')""")
+WHERE status < 400 AND strlen(html) > 0 AND (lower(content_type) LIKE '%html%' OR lower(content_type) LIKE '%text%')""")
 def a15(spark, sf):
     return crawl.located(crawl.admitted(L.landed(spark, sf, _CRAWL))).select("page_id", "host", F.octet_length("html").cast("bigint").alias("bytes"))
 

@@ -50,8 +50,8 @@ sp AS ({L.SITE_PAGES}),
 t1 AS (SELECT page_id, url, html, {C.bare_host('url')} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(html, {C.lit(_HIDDEN)}, chr(1), 'g') AS m FROM sp),
 t2 AS (SELECT *, array_to_string({sql_nodes('m')}, chr(10)) AS full_text, array_to_string({sql_nodes(f"regexp_replace(m, {_SAID}, chr(1), 'g')")}, chr(10)) AS said,
   regexp_extract_all(m, '(?is)<a\\b[^>]*>.*?</a\\s*>') AS anchors FROM t1),
-pf AS (SELECT *, full_text[1:200000] AS body, regexp_matches(path, {C.lit(V.LEGAL_PATH)}) AS is_legal,
-  list_transform(anchors[1:400], lambda an: {{'href': replace({_HREF.format('an')}, '&amp;', '&'), 'label': array_to_string({sql_nodes('an')}, ' ')}}) AS links FROM t2)
+pf AS (SELECT *, full_text AS body, regexp_matches(path, {C.lit(V.LEGAL_PATH)}) AS is_legal,
+  list_transform(anchors, lambda an: {{'href': replace({_HREF.format('an')}, '&amp;', '&'), 'label': array_to_string({sql_nodes('an')}, ' ')}}) AS links FROM t2)
 """
 
 
@@ -237,7 +237,7 @@ tp AS (SELECT page_id, 1 AS part, pos, coalesce(an, bn, CASE WHEN wn IS NULL AND
 def said_facts(spark, sf):
     """Page text without quoted passages, the part of the page facts that people are read from."""
     p = texts(spark, sf).withColumn("dom", dom_facts(F.col("html")))
-    return p.select("page_id", F.col("path").rlike(V.LEGAL_PATH).alias("is_legal"), F.coalesce("dom.said", "full_text").alias("said"), F.col("dom.nodes").alias("nodes"),
+    return p.select("page_id", F.col("path").rlike(V.LEGAL_PATH).alias("is_legal"), F.coalesce("dom.said", "body").alias("said"), F.col("dom.nodes").alias("nodes"),
                     F.col("dom.profiles").alias("profiles"))
 
 
@@ -251,8 +251,8 @@ def c13(spark, sf):
 @query("c14_quote_suppression", _with("SELECT page_id, md5(said) AS said, length(full_text) - length(said) AS quoted FROM pf"))
 def c14(spark, sf):
     full = texts(spark, sf).withColumn("dom", dom_facts(F.col("html")))
-    said = F.coalesce("dom.said", "full_text")
-    return full.select("page_id", F.md5(said).alias("said"), (F.length("full_text") - F.length(said)).cast("bigint").alias("quoted"))
+    said = F.coalesce("dom.said", "body")
+    return full.select("page_id", F.md5(said).alias("said"), (F.length("body") - F.length(said)).cast("bigint").alias("quoted"))
 
 
 _PROFILE = f"lower(regexp_extract(split_part(l.href, '?', 1), {C.lit(V.PROFILE_URL)}, 1)) || '/' || regexp_extract(split_part(l.href, '?', 1), {C.lit(V.PROFILE_URL)}, 2)"

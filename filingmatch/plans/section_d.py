@@ -37,7 +37,7 @@ pl AS (SELECT c.site, c.rank, p.is_legal, 0 AS src, unnest(l.phones) AS v, gener
 po AS (SELECT site, v, min((rank * 2 + src) * 100000 + i) AS spot, arg_min(src, (rank * 2 + src) * 100000 + i) AS src, bool_and(is_legal) AS legal_only FROM pl GROUP BY site, v),
 pq AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY legal_only, src, CASE WHEN src = 0 THEN -spot ELSE spot END) AS rn FROM po),
 pe AS (SELECT site, list(v ORDER BY rn) AS phones, list(v ORDER BY rn) FILTER (legal_only) AS legal_phones FROM pq WHERE rn <= 6 GROUP BY site),
-bd AS (SELECT c.site, count(*) AS pages, string_agg(p.body, chr(10) ORDER BY c.rank, c.page_id)[1:20000] AS body, arg_min({HEAD}, c.rank) AS head FROM ch c JOIN pf p ON p.page_id = c.page_id GROUP BY c.site)
+bd AS (SELECT c.site, count(*) AS pages, string_agg(p.body, chr(10) ORDER BY c.rank, c.page_id) AS body, arg_min({HEAD}, c.rank) AS head FROM ch c JOIN pf p ON p.page_id = c.page_id GROUP BY c.site)
 """
 _SITE = (HOMES, ROLES, CHOSEN, NODES, PHONES, FOLD)
 _J = "coalesce(array_to_string({0}, ' '), '')"
@@ -147,7 +147,7 @@ def sql_classify(head: str, body: str, keep: str, frm: str) -> str:
 FROM (SELECT {keep}, nh, thin, 3.0 * sh + least(sb, 8) + wh + 0.5 * least(wb, 5) - 3.0 * nh - 0.5 * least(nb, 4) AS s FROM (SELECT {keep},
   {_signs('h', V.STRONG_SIGNS)} AS sh, {_signs('b', V.STRONG_SIGNS)} AS sb, {_signs('h', V.WEAK_SIGNS)} AS wh, {_signs('b', V.WEAK_SIGNS)} AS wb,
   {_signs('h', V.OTHER_TRADE_SIGNS)} AS nh, {_signs('b', V.OTHER_TRADE_SIGNS)} AS nb, length(trim(b)) < 400 AND length(trim(h)) < 120 AS thin
-  FROM (SELECT {keep}, regexp_replace({head}, '[À-ÖØ-öø-ɏ]', 'q', 'g') AS h, regexp_replace(({body})[1:12000], '[À-ÖØ-öø-ɏ]', 'q', 'g') AS b FROM {frm}) q1) q2) q3"""
+  FROM (SELECT {keep}, regexp_replace({head}, '[À-ÖØ-öø-ɏ]', 'q', 'g') AS h, regexp_replace(({body}), '[À-ÖØ-öø-ɏ]', 'q', 'g') AS b FROM {frm}) q1) q2) q3"""
 
 
 @query("d9_classify_pages", _with(sql_classify(HEAD, "body", "page_id", "pf")))
@@ -159,10 +159,10 @@ def d9(spark, sf):
 _DOCS = "(SELECT d.doc_id, d.text, d.lang, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) x"
 
 
-@query("d9_classify_documents", f"""SELECT lang, quality, level, count(*) AS n, sum(score) AS total FROM ({sql_classify('text[1:120]', 'text', 'doc_id, lang, quality', _DOCS)}) z GROUP BY ALL""")
+@query("d9_classify_documents", f"""SELECT lang, quality, level, count(*) AS n, sum(score) AS total FROM ({sql_classify("split_part(text, chr(10), 1)", 'text', 'doc_id, lang, quality', _DOCS)}) z GROUP BY ALL""")
 def d9_documents(spark, sf):
     docs = L.table(spark, sf, "documents").join(L.table(spark, sf, "labels"), "doc_id", "left")
-    it = classify.classify(F.substring("text", 1, 120), F.col("text"))
+    it = classify.classify(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"))
     return (docs.select("lang", "quality", it.alias("it")).groupBy("lang", "quality", F.col("it.level").alias("level"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("it.score").alias("total")))
 

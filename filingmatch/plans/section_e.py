@@ -28,7 +28,7 @@ cd AS (SELECT id, 0 AS ni, 0 AS si, 0 AS ti, split_part(email, '@', 2) AS domain
  UNION ALL SELECT id, ni, si, 99, sl[1:length(sl) - 2] || '.ai', false FROM cs WHERE sl LIKE '%ai' AND length(sl) >= 6 AND NOT contains(sl, '-')),
 ca AS (SELECT id, domain, bool_or(hinted) AS hinted, min(ni * 1000000 + si * 1000 + ti) AS spot FROM cd GROUP BY id, domain),
 cand AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY spot) - 1 AS pos, domain, hinted FROM ca),
-live AS (SELECT * RENAME (nth AS pos) FROM (SELECT c.id, row_number() OVER (PARTITION BY c.id ORDER BY c.pos) - 1 AS nth, c.domain, c.hinted, h.page_id FROM cand c JOIN homes h ON h.host = c.domain) lq WHERE nth < 8)
+live AS (SELECT * RENAME (nth AS pos) FROM (SELECT c.id, row_number() OVER (PARTITION BY c.id ORDER BY c.pos) - 1 AS nth, c.domain, c.hinted, h.page_id FROM cand c JOIN homes h ON h.host = c.domain) lq)
 """
 _PARKED = f"(regexp_matches({{h}} || ' ' || body[1:700], {C.lit(V.PARKED)}) AND length(body) < 1500)"
 _TOK = "list_filter(string_split_regex(regexp_replace(lower(address), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '')"
@@ -156,6 +156,6 @@ def e12(spark, sf):
 
 
 @query("e13_due_worklist", f"""SELECT id, state, next_due, first_seen FROM ({L.COMPANIES}) c WHERE state IN ('new', 'held', 'ready') AND next_due <= DATE '{L.TODAY}'
- ORDER BY first_seen DESC, id LIMIT 100000""")
+""")
 def e13(spark, sf):
     return S.due(L.landed(spark, sf, L.COMPANIES), F.lit(L.TODAY).cast("date")).select("id", "state", "next_due", "first_seen")

@@ -102,18 +102,26 @@ def g13(spark, sf):
     return rates.kept(L.table(spark, sf, "events"), "ts", now).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
-@query("g14_preview", f"SELECT count(*) AS n FROM (SELECT id FROM {_LISTED} LIMIT 500) q")
+@query("g14_preview", f"SELECT least(count(*), 500) AS n, least(count(*), 500) AS known FROM {_LISTED}")
 def g14(spark, sf):
-    return metrics.preview(publish.published(publish.listed(companies(spark, sf)))).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("g15_admission")
+    """Any 500 rows may be shown, so the check is that there are as many, and that each is a published row."""
+    rows = publish.published(publish.listed(companies(spark, sf)))
+    shown = metrics.preview(rows)
+    row = F.to_json(F.struct(*shown.columns)).alias("row")
+    known = rows.select(row).distinct().withColumn("known", F.lit(1))
+    return shown.select(row).join(known, "row", "left").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known"))
+
+
+@query("g15_admission", """WITH RECURSIVE e AS (SELECT event_id, event_type, ts, epoch_us(ts) AS us FROM events),
+ a AS (SELECT event_type, min(struct_pack(us := us, id := event_id)) AS p FROM e GROUP BY event_type
+  UNION ALL SELECT e.event_type, min(struct_pack(us := e.us, id := e.event_id)) FROM a JOIN e ON e.event_type = a.event_type AND e.us >= a.p.us + 900000000 GROUP BY e.event_type)
+ SELECT event_id, event_type, ts, event_id IN (SELECT p.id FROM a) AS admitted FROM e""")
 def g15(spark, sf):
     return rates.admitted(L.table(spark, sf, "events").select("event_id", "event_type", "ts"), "event_type", "ts", "event_id", limit=1)
 
 
 @query("g15_reserve")
 def g15_reserve(spark, sf):
-    e = L.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    e = L.table(spark, sf, "events")
     e = e.withColumn("keys", F.array(F.concat(F.lit("type:"), "event_type"), F.concat(F.lit("user:"), F.col("user_id").cast("string"))))
-    return rates.reserved(e.select("event_id", "day", "keys", "ts"), "day", "keys", "ts", "event_id", {"type": 2, "user": 1}).select("event_id", "admitted")
+    return rates.reserved(e.select("event_id", "keys", "ts"), "keys", "ts", "event_id", {"type": 2, "user": 1}).select("event_id", "admitted")

@@ -73,9 +73,21 @@ def h5(spark, sf):
     return publish.redacted(companies(spark, sf)).select("id", "state", "raw.name", "enrich.website", "domain", "next_due")
 
 
-@query("h5_leaks", f"SELECT id FROM ({L.COMPANIES}) c WHERE false")
+_PLANT = "state NOT IN ('ready', 'pushed') AND length(id) % 2 = 1"
+
+
+@query("h5_leaks", f"""SELECT id FROM ({L.COMPANIES}) c WHERE {_PLANT} UNION ALL SELECT 'mail-' || id FROM ({L.COMPANIES}) c WHERE {_PLANT} AND website <> ''""")
 def h5_leaks(spark, sf):
-    return publish.leaks(publish.redacted(companies(spark, sf))).select("id")
+    """A redacted copy has no leak; what is planted in it, whole companies and lone lookup details, is found."""
+    whole = companies(spark, sf)
+    clean = publish.redacted(whole)
+    planted = whole.where(_PLANT)
+    looked = planted.where("enrich.website <> ''")
+    nothing = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in whole.schema["raw"].dataType.fields])
+    lone = F.struct(*[(F.lit("a@b.example") if f.name == "email" else F.lit(None).cast(f.dataType)).alias(f.name) for f in whole.schema["enrich"].dataType.fields])
+    hidden = {"id": F.concat(F.lit("mail-"), "id"), "raw": nothing, "enrich": lone, "domain": F.lit(None).cast("string"), "pushed_hash": F.lit(None).cast("string")}
+    mail = looked.select(*[hidden[c].alias(c) if c in hidden else F.col(c) for c in whole.columns])
+    return publish.leaks(clean.unionByName(planted).unionByName(mail)).select("id")
 
 
 @query("h6_run_log", f"SELECT started, 1260 AS seconds, added, held, pushed AS updated, {C.csv_safe(C.lit('=') + ' || trigger_kind')} AS sources, status, '' AS errors FROM ({L.RUNS}) r")
@@ -85,9 +97,9 @@ def h6(spark, sf):
     return publish.log_row(r)
 
 
-@query("h7_state_version", f"SELECT state, count(*) AS n FROM ({L.COMPANIES}) c GROUP BY state")
+@query("h7_state_version", f"SELECT id, state, attempts, strikes FROM ({L.COMPANIES}) c")
 def h7(spark, sf):
     """A version of the state table written beside the others and read back."""
     from ..streaming.jobs import work_folder
     path = publish.write_version(companies(spark, sf), work_folder(spark), "1")
-    return spark.read.parquet(path).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).select("id", "state", "attempts", "strikes")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import fixed_values as V
 from ..functions.mail import bare_host
 
 
-def admitted(pages: DataFrame) -> DataFrame:
-    """Pages worth reading: not empty, at most 2 MB, and (when the crawl recorded them) status under 400 and a text type."""
+def admitted(pages: DataFrame, page_bytes: int | None = None) -> DataFrame:
+    """Pages worth reading: not empty and (when the crawl recorded them) status under 400 and a text type. `page_bytes` refuses
+    larger pages; by default none is too large."""
     size = F.octet_length("html")
-    keep = (size > 0) & (size <= V.PAGE_BYTES)
+    keep = size > 0 if page_bytes is None else size.between(1, page_bytes)
     if "status" in pages.columns:
         keep = keep & (F.col("status") < 400)
     if "content_type" in pages.columns:

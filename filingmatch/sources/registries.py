@@ -52,7 +52,7 @@ def _tx(raw: DataFrame) -> DataFrame:
     legal, outlet = strip(text("taxpayer_name")), strip(text("outlet_name"))
     org = text("taxpayer_organization_type")
     naics = F.coalesce(F.col("outlet_naics_code").cast("string"), F.lit(""))
-    kept = raw.where((org != "IS") | looks_like_company(outlet))                 # not a person without a business name
+    kept = raw.where((org != "IS") | looks_like_company(outlet))                 # sole owners need a business name
     return _filing(
         kept, "tx", F.concat(text("taxpayer_number"), F.lit("-"), text("outlet_number")), legal,
         name=tidy_name(_or(legal, outlet)), trade_name=_trade(legal, outlet), entity_type=lookup(V.TX_ORG, org, org),
@@ -67,19 +67,16 @@ def _ct_scan(since: date, until: date) -> Column:
     return (d >= since.isoformat()) & (d <= until.isoformat() + "T23:59:59") & label_is_it("naics_code")
 
 
-_CT_CODE = r"^(.*?)\s*\((\d{6})\)\s*$"
-
-
 def _ct(raw: DataFrame) -> DataFrame:
     code = text("naics_code")
-    coded = code.rlike(_CT_CODE)
+    coded = code.rlike(V.LABELLED_CODE)
     mail = F.lower(strip(text("business_email_address")))
     return _filing(
         raw, "ct", _or("accountnumber", F.col("id")), F.col("id"),
         name=tidy_name("name"), entity_type=text("business_type"), state=F.upper(_or("billingstate", "CT")),
         city=title_case("billingcity"), address=tidy_address("billingstreet"), zip=clean_zip("billingpostalcode"),
-        registered=day("date_registration"), naics=F.regexp_extract(code, _CT_CODE, 2),
-        industry=strip(F.when(coded, F.regexp_extract(code, _CT_CODE, 1)).otherwise(code)),
+        registered=day("date_registration"), naics=F.regexp_extract(code, V.LABELLED_CODE, 2),
+        industry=strip(F.when(coded, F.regexp_extract(code, V.LABELLED_CODE, 1)).otherwise(code)),
         emails=F.when(email_kind(mail).isin("own", "free"), F.array(mail)).otherwise(no_strings()),
         extra=F.create_map(F.lit("business_id"), text("id")))
 

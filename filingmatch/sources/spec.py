@@ -56,7 +56,8 @@ def first_per_id(filings: DataFrame, order: str = "_first") -> DataFrame:
     return filings.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", order)
 
 
-def page_scan(raw: DataFrame, where: Column, order: list[Column], select: list[str] | None = None, cap: int = 60_000) -> DataFrame:
-    """The capped scan of a registry: predicate, total order (it must end in a unique column), at most `cap` rows."""
-    out = raw.where(where).orderBy(*order).limit(cap)
+def page_scan(raw: DataFrame, where: Column, order: list[Column], select: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """The scan of a registry: predicate and total order (it must end in a unique column); at most `cap` rows where one is given."""
+    out = raw.where(where).orderBy(*order)
+    out = out if cap is None else out.limit(cap)
     return out.select(*select) if select else out

@@ -27,6 +27,29 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     q.awaitTermination()
 
 
+def any_written(spark: SparkSession, out: str) -> bool:
+    """Whether a batch has been finished below `out`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def keep_latest(out: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer for results that a later batch may replace: one folder per batch, a repeated batch replaces its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return write
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The row of the last batch for each key of what `keep_latest` wrote."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+
+
 def append_new(out: str) -> Callable[[DataFrame, int], None]:
     """A batch writer that appends ids the table does not hold. Every batch owns one folder, so a repeated batch replaces what
     its first try wrote and nothing is doubled."""
@@ -34,11 +57,9 @@ def append_new(out: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         once = batch.dropDuplicates(["id"])
-        try:
+        if any_written(spark, out):             # any other failure to read what was written is an error
             known = spark.read.option("basePath", out).parquet(out).where(F.col("batch") != batch_id).select("id")
             once = once.join(known, "id", "left_anti")
-        except Exception:                       # noqa: BLE001 - nothing was written yet
-            pass
         once.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return write
@@ -50,5 +71,5 @@ def distinct_within(stream: DataFrame, id_col: str, ts: str, horizon: str = "45
 
 
 def sliding_counts(stream: DataFrame, key: str, ts: str, length: str = "15 minutes", step: str = "1 minute", keep: str = "1 day") -> DataFrame:
-    """Events per key and sliding window; events older than the watermark are let go."""
+    """Events per key and sliding window. In update or append mode the state of windows past the watermark is dropped."""
     return stream.withWatermark(ts, keep).groupBy(F.window(ts, length, step), key).agg(F.count(F.lit(1)).alias("n"))
