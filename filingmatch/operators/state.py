@@ -45,8 +45,20 @@ def claim_domains(rows: DataFrame, listed: DataFrame, order: list[str]) -> DataF
     first = rows.where(F.coalesce("domain", F.lit("")) != "").groupBy("domain").agg(F.min_by("id", claims).alias("_first"))
     facts = first.join(owners, "domain", "left")
     owned = F.col("_owner").isNotNull() & ((F.col("_owner") != F.col("id")) | (F.col("_owner2") != F.col("id")))
-    return (rows.join(facts, "domain", "left").withColumn("domain_taken", F.coalesce(owned | (F.col("_first") != F.col("id")), F.lit(False)))
-            .drop("_owner", "_owner2", "_first"))
+    named = F.coalesce("domain", F.lit("")) != ""
+    claimed = (rows.where(named).join(facts, "domain", "left").withColumn("domain_taken", F.coalesce(owned | (F.col("_first") != F.col("id")), F.lit(False)))
+               .drop("_owner", "_owner2", "_first"))
+    return claimed.unionByName(rows.where(~named).withColumn("domain_taken", F.lit(False)))     # rows without a domain never meet
+
+
+def owned_once(rows: DataFrame, listed: DataFrame, order: list[str]) -> DataFrame:
+    """Judged rows (`new_state`, `new_enrich`) with those dropped whose domain another company owns."""
+    lookup = F.col("new_enrich")
+    marked = claim_domains(rows.withColumn("domain", lookup["domain"]), listed, order)
+    why = F.array(*[F.lit(x) for x in _TAKEN])
+    told = lookup.withField("missing", why).withField("dropped_because", why)
+    return (marked.withColumn("new_enrich", F.when(F.col("domain_taken"), told).otherwise(lookup))
+            .withColumn("new_state", F.when(F.col("domain_taken"), "dropped").otherwise(F.col("new_state"))).drop("domain_taken"))
 
 
 # ------------------------------------------------------------------------------------------------------------- one attempt

@@ -1,21 +1,27 @@
-"""Filings matched to websites, contacts chosen, qualified, counted by state."""
+"""One run: new filings matched to websites, contacts chosen, qualified, recorded in the next version of the state table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import scrub
 from ..functions.names import core_tokens
-from ..operators import choose, classify, match, rules, sites
+from ..functions.links import plain_web_address
+from ..operators import choose, classify, match, rules, sites, state
 from ..operators import pages as P
+from ..schemas import FILING, LOOKUP
 from ..session import durable
+from ..sources import crawl
 from . import landed as L
+from .companies import companies
 from .section_a import all_filings
 
 
-def lookups(filings: DataFrame, pages: DataFrame, domain_created: DataFrame) -> DataFrame:
-    """One row per filing: the filing columns and `enrich`, null when no website was found."""
+def lookups(filings: DataFrame, pages: DataFrame, domain_created: DataFrame, today: Column) -> DataFrame:
+    """One row per filing: the filing columns and `enrich` in the stored schema, null when no website was found. A website that is
+    no plain address counts as none."""
+    pages = crawl.admitted(pages)
     homes = P.home_pages(pages)
     found = durable(match.matched(filings, pages, domain_created, homes))
     used = homes.join(found.select(F.col("domain").alias("host")).distinct(), "host", "left_semi")
@@ -28,26 +34,37 @@ def lookups(filings: DataFrame, pages: DataFrame, domain_created: DataFrame) ->
               .withColumn("tel", choose.pick_phone(F.col("phones"), F.col("legal_only_phones")))
               .withColumn("contact", choose.pick_contact(people, F.col("people"))))
     legal_mail = (F.col("mail.came_from") == "company website") & F.array_contains("legal_only_emails", F.col("mail.email"))
-    enrich = F.struct(
-        F.regexp_extract("site_url", r"^(https?://[^/?#]+)", 1).alias("website"), F.col("domain"), F.col("why"), F.col("created"), F.col("mail.email").alias("email"),
-        F.when(legal_mail, "company website (privacy or terms page only)").otherwise(F.col("mail.came_from")).alias("email_from"),
-        choose.more_emails(F.col("emails"), F.col("mail.email"), F.col("domain")).alias("emails"), F.col("tel.phone").alias("phone"),
-        F.col("tel.came_from").alias("phone_from"), F.col("tel.phones").alias("phones"), F.col("contact"), F.coalesce("contact.linkedin", F.lit("")).alias("linkedin"),
-        F.col("company_profile").alias("linkedin_company"), F.col("it"))
+    root = F.regexp_extract("site_url", r"^(https?://[^/?#]+)", 1)
+    values = {"checked": today, "website": F.when(plain_web_address(root), root).otherwise(""), "email": F.col("mail.email"),
+              "email_from": F.when(legal_mail, "company website (privacy or terms page only)").otherwise(F.col("mail.came_from")),
+              "emails": choose.more_emails(F.col("emails"), F.col("mail.email"), F.col("domain")), "phone": F.col("tel.phone"), "phone_from": F.col("tel.came_from"),
+              "phones": F.col("tel.phones"), "linkedin": F.coalesce("contact.linkedin", F.lit("")), "linkedin_company": F.col("company_profile"),
+              "missing": F.array().cast("array<string>"), "dropped_because": F.lit(None), "error": F.lit(None)}
+    enrich = F.struct(*[values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in LOOKUP.fields])
     done = picked.select("id", enrich.alias("enrich"))
     clean = done.select("id", scrub(F.col("enrich"), done.schema["enrich"].dataType).alias("enrich"))
     return filings.join(clean, "id", "left")
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every filing with its lookup and verdict."""
-    filings = all_filings(spark, sf_dir)
-    looked = lookups(filings, L.landed(spark, sf_dir, L.SITE_PAGES), L.landed(spark, sf_dir, L.DOMAIN_CREATED))
-    raw = F.struct(*[F.col(c) for c in filings.columns])
-    return looked.withColumn("q", rules.qualify(raw, F.col("enrich"), rules.Rules()))
+def next_version(spark: SparkSession, sf_dir: str, conditions: rules.Rules | None = None) -> DataFrame:
+    """The state rows of all filings seen for the first time, after their first lookup: intake, lookup, judgement, one owner per
+    domain, and the attempt recorded."""
+    conditions, today = conditions or rules.Rules(), F.lit(L.TODAY).cast("date")
+    known, filings = companies(spark, sf_dir).where("attempts < 2"), durable(all_filings(spark, sf_dir))    # the others were not seen yet
+    fresh = state.intake(filings, known, today)
+    looked = lookups(filings.join(fresh.select("id"), "id", "left_semi"), L.landed(spark, sf_dir, L.SITE_PAGES), L.landed(spark, sf_dir, L.DOMAIN_CREATED), today)
+    raw = F.struct(*[F.col(f"raw.{f.name}").cast(f.dataType).alias(f.name) for f in FILING.fields])
+    rows = fresh.withColumn("raw", raw).join(looked.select("id", F.col("enrich").alias("new_enrich")), "id").withColumn("q", rules.qualify(F.col("raw"), F.col("new_enrich"), conditions))
+    why = F.when(F.col("q.state") == "dropped", F.col("q.missing"))
+    told = F.when(F.col("new_enrich").isNotNull(), F.col("new_enrich").withField("missing", F.col("q.missing")).withField("dropped_because", why))
+    judged = durable(rows.withColumn("new_state", F.col("q.state")).withColumn("new_enrich", told).drop("q"))
+    listed = known.where(F.col("state").isin("ready", "pushed")).select("id", "domain")
+    blank = {"pushed_hash": "string", "pushed_at": "date", "ready_at": "date", "enrich": LOOKUP}
+    owned = state.owned_once(judged, listed, ["first_seen", "id"]).withColumns({c: F.lit(None).cast(t) for c, t in blank.items()})
+    return state.recorded(owned, today).select(*known.columns)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings by verdict and by what is missing."""
-    return (judged(spark, sf_dir).groupBy(F.col("q.state").alias("state"), F.array_join("q.missing", ", ").alias("missing"))
+    """The new companies by state and by what is missing."""
+    return (next_version(spark, sf_dir).groupBy("state", F.coalesce(F.array_join("enrich.missing", ", "), F.lit("website")).alias("missing"))
             .agg(F.count(F.lit(1)).alias("n"), F.count("enrich").alias("with_website")))

@@ -76,7 +76,7 @@ def h5(spark, sf):
 _PLANT = "state NOT IN ('ready', 'pushed') AND length(id) % 2 = 1"
 
 
-@query("h5_leaks", f"""SELECT id FROM ({L.COMPANIES}) c WHERE {_PLANT} UNION ALL SELECT 'mail-' || id FROM ({L.COMPANIES}) c WHERE {_PLANT} AND website <> ''""")
+@query("h5_leaks", f"""SELECT id FROM ({L.COMPANIES}) c WHERE {_PLANT} UNION ALL SELECT 'mail-' || id FROM ({L.COMPANIES}) c WHERE {_PLANT} AND website <> '' AND has_lookup""")
 def h5_leaks(spark, sf):
     """A redacted copy has no leak; what is planted in it, whole companies and lone lookup details, is found."""
     whole = companies(spark, sf)
