@@ -26,14 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .caches import Cache
 from .common import arrow_map, held
 
 SIZES = (4, 3, 2, 1)
 MIN_SHARE = 2e-5
-PIECES = 200_000
-CACHED = 150_000
-LONG = 100
+PIECES = 300_000
+CACHED = 600_000
+CHUNK = 65_536
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -43,7 +42,12 @@ def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 
 def words(piece: str) -> list[str]:
-    return _LETTERS.findall(piece.lower())
+    return [piece] if piece.isalpha() else _LETTERS.findall(piece)
+
+
+def split(text: str) -> list[str]:
+    """What stands between white space, in small letters. No word spans a dot or comma, and without them fewer pieces differ."""
+    return text.lower().replace(".", " ").replace(",", " ").split()
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -79,58 +83,91 @@ def _count(batches: Iterator[dict]) -> Iterator[dict]:
 
     for b in batches:
         for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-            held[lang].update(text.split())
+            held[lang].update(split(text))
         if sum(map(len, held.values())) > PIECES:
             yield flush()
     yield flush()
 
 
 class Model:
-    """Log frequencies by unit: `table[size][unit]` is a row of `logs`, one column per language."""
+    """Log frequencies by unit: `words[w]` and `grams[g]` are rows of `logs`, one column per language."""
 
     def __init__(self, langs: list[str], rows: list[tuple[int, str, dict[str, float]]], floor: float):
         self.langs = langs
-        self.table: dict[int, dict[str, int]] = {s: {} for s in (0, *SIZES)}
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
         self.logs = np.full((len(rows), len(langs)), math.log(floor))
         for i, (size, unit, share) in enumerate(rows):
-            self.table[size][unit] = i
+            (self.grams if size else self.words)[unit] = i
             for lang, x in share.items():
                 self.logs[i, langs.index(lang)] = math.log(x)
-        self.cache = Cache(self.piece, CACHED)
+        self._start()
+
+    def _start(self) -> None:
+        self.place: dict[str, int] = {}                                 # piece to row of `sums`
+        self.sums = np.zeros((CACHED, len(self.langs) + 1))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "sums")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.cache = Cache(self.piece, CACHED)
+        self._start()
 
-    def word(self, w: str) -> np.ndarray:
-        at = self.table[0].get(w)
+    def units(self, word: str) -> list[int]:
+        """The row of a known word, else the rows of the longest known n-gram at each of its places."""
+        at = self.words.get(word)
         if at is not None:
-            return self.logs[at]
-        found, padded = [], f"_{w}_"
-        for i in range(len(padded)):
-            for size in SIZES:
-                at = self.table[size].get(padded[i:i + size]) if i + size <= len(padded) else None
-                if at is not None:
-                    found.append(at)
-                    break
-        return self.logs[found].mean(axis=0) if found else np.zeros(len(self.langs))
+            return [at]
+        get, w, found, longest, shorter = self.grams.get, f"_{word}_", [], SIZES[0], SIZES[1:]
+        for i in range(len(w)):
+            at = get(w[i:i + longest])
+            if at is None:
+                for size in shorter:
+                    at = get(w[i:i + size])
+                    if at is not None:
+                        break
+                else:
+                    continue
+            found.append(at)
+        return found
+
+    def score(self, pieces: list[str]) -> np.ndarray:
+        """Sums of pieces between white space, one row each, the last column being their number of words."""
+        rows, owner, size, n_words = [], [], [], []
+        for k, p in enumerate(pieces):
+            known = words(p)
+            n_words.append(len(known))
+            for w in known:
+                found = self.units(w)
+                rows += found
+                owner.append(k)
+                size.append(len(found))
+        out = np.zeros((len(pieces), len(self.langs) + 1))
+        out[:, -1] = n_words
+        if rows:
+            n = np.array(size)
+            owners, shares = np.repeat(owner, n), np.repeat(1 / np.maximum(n, 1), n)
+            for j in range(len(self.langs)):
+                out[:, j] = np.bincount(owners, weights=self.logs[rows, j] * shares, minlength=len(pieces))
+        return out
 
-    def piece(self, p: str) -> tuple[float, ...]:
-        """Sums of a piece between white space, then its number of words."""
-        w = words(p)
-        return (*sum((self.word(x) for x in w), np.zeros(len(self.langs))).tolist(), float(len(w)))
+    def total(self, pieces: list[str]) -> np.ndarray:
+        """The sum over some pieces; those not seen lately are scored together, and the memory of pieces starts anew when full."""
+        place = self.place
+        new = list({p for p in pieces if p not in place})
+        if len(place) + len(new) > CACHED:
+            place.clear()
+            new = list(set(pieces))
+        self.sums[len(place):len(place) + len(new)] = self.score(new)
+        place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+        return self.sums[[place[p] for p in pieces]].sum(axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNKNOWN, 0.0
-        cache = self.cache
-        total = np.zeros(len(self.langs) + 1)
-        pieces = text.split()
-        for i in range(0, len(pieces), 65536):
-            total += np.array([cache(p) if len(p) < LONG else self.piece(p) for p in pieces[i:i + 65536]]).sum(axis=0)
+        pieces = split(text)
+        total = sum((self.total(pieces[i:i + CHUNK]) for i in range(0, len(pieces), CHUNK)), np.zeros(len(self.langs) + 1))
         if not total[-1]:
             return UNKNOWN, 0.0
         logs = total[:-1] - total[:-1].max()
