@@ -21,6 +21,7 @@ to file by name.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, stored
-from .caches import Cache
 from .common import arrow_map, held, parts_for
 
 MAGIC = b"FWIDBLK1"
@@ -39,7 +39,11 @@ BLOCK = 4096
 DOCUMENTS = 512
 CACHED = 300_000
 LONG = 100
-MARKS = (b".", b",", b";", b":", b"!", b"?")
+#: A character that is no Latin letter and not printed ASCII or usual white space.
+_ODD = re.compile("[^\t\n\r -~\xa1-\xac\xae-\u024f]")
+_GAPS = re.compile("[ \t\n\r\x0b\x0c]+")
+#: A dot or comma beside another mark.
+_MARKS = re.compile(r"[^\w\s][.,]|[.,](?=[^\w\s])|_[.,]")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -101,41 +105,50 @@ def records(data: bytes) -> Iterator[Record]:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, so that what stands between ASCII white space is encoded by itself and
-    looked up when it comes again. Everything is encoded by the tokenizer; the cache is bounded."""
+    """Ids of texts by a tokenizer that drops white space, so that what stands between white space is encoded by itself and looked
+    up when it comes again. Every distinct piece is encoded by the tokenizer; at most two generations of `CACHED` pieces are held.
+
+    In a plain text (Latin letters and ASCII, no two marks side by side) the tokenizer lowers every letter by itself and a dot or
+    comma before white space is a match of its own, so both are done for the whole text and fewer pieces differ."""
 
     def __init__(self, model: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
-        self.cache = Cache(self._ids, CACHED)
-
-    def _ids(self, piece: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def fill(self, texts: list[list[bytes]]) -> None:
-        """Encodes the pieces that are not held, in one call."""
-        young, old = self.cache.young, self.cache.old
-        new = list({p for t in texts for p in t if p not in young and p not in old and len(p) < LONG})
-        if len(young) + len(new) > CACHED:
-            self.cache.old, self.cache.young = young, {}
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.cache.young[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = []
-        for t in texts:
-            pieces = []
-            for p in (t or b"").split():
-                if p[-1:] in MARKS and p[:-1].isalpha():     # letters and one mark are separate matches of the pattern
-                    pieces += [p[:-1].lower(), p[-1:]]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def split(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if _ODD.search(text) or "<|" in text:
+            return _GAPS.split(text)
+        text = text.lower()
+        if not _MARKS.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+        return text.split()
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [self.split(t) for t in texts]
+        need = set().union(*split)
+        if len(self.young) + len(need) > CACHED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for p in need:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
                 else:
-                    pieces.append(p.lower() if p.isalpha() else p)
-            split.append(pieces)
-        self.fill(split)
-        young, old, miss = self.cache.young, self.cache.old, self._ids
-        return [np.frombuffer(b"".join([young.get(p) or old.get(p) or miss(p) for p in pieces]), "<u4") for pieces in split]
+                    new.append(p)
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            young[p] = np.array(e.ids, "<u4").tobytes()
+        out = [np.frombuffer(b"".join(map(young.__getitem__, pieces)), "<u4") for pieces in split]
+        for p in new:
+            if len(p) > LONG:
+                del young[p]
+        return out
 
 
 def write(docs: DataFrame, model: str, end_id: int, folder: str) -> None:
@@ -154,7 +167,7 @@ def write(docs: DataFrame, model: str, end_id: int, folder: str) -> None:
                 rows = [np.r_[x, np.uint32(end_id)].astype(np.uint32) for x in encoder.encode(texts[i:i + DOCUMENTS])]
                 yield {"value": [record(ids[i:i + DOCUMENTS], rows, bits)]}
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"), F.xxhash64("text").alias("tie"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"), F.xxhash64("text").alias("tie"))
     order = ["doc_id", "tie"]
     placed = plain.repartitionByRange(parts_for(docs, 32 << 20), *order).sortWithinPartitions(*order)
     arrow_map(placed, run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(folder)
