@@ -122,7 +122,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, max_bits: int = bits.MAX_BIT
     many, _ = stored(groups.where("n > 1").select(F.xxhash64("name", "run").alias("g"), F.col("name").alias("name_"), F.col("run").alias("run_"), "n"), "many")
     proven = (join_back(found.select("kd", "kt", "first", F.size("hashes").alias("k"), "name", "run", F.xxhash64("name", "run").alias("g")), many, "g", "n")
               .where("name = name_ AND run = run_").select("kd", "kt", "first", "k"))
-    border = groups.where("n = 1").select("name").distinct()
+    border = groups.groupBy("name").agg(F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1 AND least = 1").select("name")
     opened, _ = stored(groups.join(border, "name", "left_semi").select("name", "n", "kd", "kt", "first", F.posexplode("hashes").alias("i", "h")), "opened")
     again = opened.groupBy("name", "h").agg(F.sum("n").alias("all")).where("all > 1")
     single = opened.where("n = 1").join(again, ["name", "h"], "left_semi").select("kd", "kt", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("k"))
