@@ -64,10 +64,10 @@ def upsert(sheet: DataFrame, incoming: DataFrame, today: Column, cells: list[str
 
 def upsert_counts(incoming: DataFrame, merged: DataFrame) -> DataFrame:
     """One row: inserted, updated, skipped, total."""
-    got = incoming.agg(F.count(F.lit(1)).alias("rows")).withColumn("_k", F.lit(1))
-    out = merged.agg(F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "updated").alias("updated"),
-                     F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    return out.join(got, "_k").select("inserted", "updated", (F.col("rows") - F.col("inserted") - F.col("updated")).alias("skipped"), "total")
+    seen = merged.select("action").unionByName(incoming.select(F.lit("incoming").alias("action")))
+    n = {a: F.count_if(F.col("action") == a) for a in ("inserted", "updated", "incoming")}
+    return seen.agg(n["inserted"].alias("inserted"), n["updated"].alias("updated"), (n["incoming"] - n["inserted"] - n["updated"]).alias("skipped"),
+                    F.count_if(F.col("action") != "incoming").alias("total"))
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:

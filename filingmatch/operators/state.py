@@ -178,9 +178,10 @@ def set_state(companies: DataFrame, ids: DataFrame, state: str) -> DataFrame:
 
 def run_status(sources: DataFrame, lookups: DataFrame) -> DataFrame:
     """One row: ok, partial (a source failed, or ten lookups and more than 5% of them hit network trouble) or failed (every source)."""
-    src = sources.agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("status") != "ok").alias("failed"))
-    look = lookups.agg(F.count_if(F.col("outcome") == "strike").alias("errors"), F.count_if(F.col("outcome") != "strike").alias("checked"))
-    both = src.withColumn("_k", F.lit(1)).join(look.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    seen = sources.select(F.lit("source").alias("kind"), F.col("status").alias("what")).unionByName(lookups.select(F.lit("lookup").alias("kind"), F.col("outcome").alias("what")))
+    source, lookup = F.col("kind") == "source", F.col("kind") == "lookup"
+    both = seen.agg(F.count_if(source).alias("sources"), F.count_if(source & (F.col("what") != "ok")).alias("failed"),
+                    F.count_if(lookup & (F.col("what") == "strike")).alias("errors"), F.count_if(lookup & (F.col("what") != "strike")).alias("checked"))
     trouble = (F.col("errors") >= 10) & (F.col("errors") > 0.05 * (F.col("checked") + F.col("errors")))
     return both.withColumn("status", F.when((F.col("failed") > 0) & (F.col("failed") == F.col("sources")), "failed").when(
         (F.col("failed") > 0) | trouble, "partial").otherwise("ok"))

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import fixed_values as V
 from .. import schemas as S
@@ -198,8 +199,9 @@ FROM events GROUP BY {L._picks('user_id', 'tx', 'ct', 'seattle', 'sf', 'la')}"""
 def a13(spark, sf):
     state, outcome = L.landed(spark, sf, L.SOURCE_STATE), L.landed(spark, sf, _OUTCOME)
     after = windows.advance(state, outcome, TODAY)
-    verdict = F.broadcast(windows.run_outcome(outcome).select(F.col("status").alias("run_status"), F.lit(1).alias("_one")))
-    return (after.join(outcome, "key").withColumn("_one", F.lit(1)).join(verdict, "_one").select("key", "last_ok", "status", "run_status"))
+    every = Window.partitionBy(F.lit(1))                    # one row per source
+    failed, all_ = F.count_if(F.col("status") != "ok").over(every), F.count(F.lit(1)).over(every)
+    return after.join(outcome.withColumn("run_status", windows.overall(failed, all_)), "key").select("key", "last_ok", "status", "run_status")
 
 
 @query("a14_freshness", f"""SELECT source, count(*) AS n, max(registered) AS latest FROM ({L.FILINGS}) f

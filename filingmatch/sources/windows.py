@@ -64,8 +64,11 @@ def advance(source_state: DataFrame, outcome: DataFrame, today: date) -> DataFra
 def run_outcome(outcome: DataFrame) -> DataFrame:
     """ok | partial | failed over the sources of a run."""
     failed = F.count_if(F.col("status") != "ok")
-    return outcome.agg(F.count(F.lit(1)).alias("sources"), failed.alias("failed_sources"),
-                       F.when((failed > 0) & (failed == F.count(F.lit(1))), "failed").when(failed > 0, "partial").otherwise("ok").alias("status"))
+    return outcome.agg(F.count(F.lit(1)).alias("sources"), failed.alias("failed_sources"), overall(failed, F.count(F.lit(1))).alias("status"))
+
+
+def overall(failed: Column, sources: Column) -> Column:
+    return F.when((failed > 0) & (failed == sources), "failed").when(failed > 0, "partial").otherwise("ok")
 
 
 def freshness(filings: DataFrame, today: date, days: int = 7) -> DataFrame:

@@ -28,3 +28,21 @@ def test_a_domain_has_one_owner(spark):
     listed = spark.createDataFrame([("q", "y.com"), ("f", "z.com")], "id string, domain string")
     got = {r.id: r.domain_taken for r in state.claim_domains(rows, listed, ["seen", "id"]).collect()}
     assert got == {"a": True, "b": False, "c": True, "d": False, "e": False, "f": False}
+
+
+def test_a_source_that_fails_does_not_stop_the_others(spark):
+    from filingmatch.sources import registries, windows  # noqa: F401
+    from filingmatch.sources.spec import build
+
+    specs = build({"tx": True, "ct": True, "la": True})
+
+    def job(spec):
+        if spec.key == "ct":
+            raise RuntimeError("no answer")
+        return 3
+
+    got = windows.guarded(specs, job)
+    assert [(k, s, n) for k, s, _, n in got] == [(x.key, "failed" if x.key == "ct" else "ok", 0 if x.key == "ct" else 3) for x in specs]
+    outcome = spark.createDataFrame([(k, s) for k, s, _, _ in got], "key string, status string")
+    assert windows.run_outcome(outcome).first().status == "partial"
+    assert windows.run_outcome(outcome.withColumn("status", F.lit("failed"))).first().status == "failed"
