@@ -39,8 +39,12 @@ BLOCK = 4096
 DOCUMENTS = 512
 CACHED = 300_000
 LONG = 100
+PROBES = ["Two  words, it's 12.\nÉté naïve... (x) A. b", "STRASSE straße 3.4 a,b"]
 #: A character that is no Latin letter and not printed ASCII or usual white space.
 _ODD = re.compile("[^\t\n\r -~\xa1-\xac\xae-\u024f]")
+_LATIN = re.compile("[a-z\xdf-\u024f]+")
+#: Byte-level form: bytes that print stand for themselves, the others, in order, for the characters from 256 on.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 _GAPS = re.compile("[ \t\n\r\x0b\x0c]+")
 #: A dot or comma beside another mark.
 _MARKS = re.compile(r"[^\w\s][.,]|[.,](?=[^\w\s])|_[.,]")
@@ -109,15 +113,27 @@ class WordEncoder:
     up when it comes again. Every distinct piece is encoded by the tokenizer; at most two generations of `CACHED` pieces are held.
 
     In a plain text (Latin letters and ASCII, no two marks side by side) the tokenizer lowers every letter by itself and a dot or
-    comma before white space is a match of its own, so both are done for the whole text and fewer pieces differ."""
+    comma before white space is a match of its own, so both are done for the whole text and fewer pieces differ. A tokenizer that does not
+    encode `PROBES` that way is given whole texts."""
 
     def __init__(self, model: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
+        self.model = self.tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.by_piece = True            # any other tokenizer gets whole texts
+        self.by_piece = [x.tolist() for x in self.encode(PROBES)] == [e.ids for e in self._whole(PROBES)]
+
+    def _whole(self, texts: list[str | None]) -> list:
+        return self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+
+    def word(self, p: str) -> bytes:
+        """A word of small Latin letters is in normal form and one match of the tokenizer's pattern, so its bytes, as the characters that
+        stand for them, go to the tokenizer's model directly."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_SHOWN))])
 
     def split(self, text: str | None) -> list[str]:
         if not text:
@@ -130,6 +146,8 @@ class WordEncoder:
         return text.split()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_piece:
+            return [np.array(e.ids, np.uint32) for e in self._whole(texts)]
         split = [self.split(t) for t in texts]
         need = set().union(*split)
         if len(self.young) + len(need) > CACHED:
@@ -142,7 +160,13 @@ class WordEncoder:
                     young[p] = old[p]
                 else:
                     new.append(p)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        whole = []
+        for p in new:
+            if _LATIN.fullmatch(p) and p.isalpha() and p == p.lower():
+                young[p] = self.word(p)
+            else:
+                whole.append(p)
+        for p, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             young[p] = np.array(e.ids, "<u4").tobytes()
         out = [np.frombuffer(b"".join(map(young.__getitem__, pieces)), "<u4") for pieces in split]
         for p in new:

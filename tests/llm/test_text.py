@@ -123,6 +123,17 @@ def test_token_files(spark):
     assert token_files.written_and_read(documents(spark, []), WORDS).count() == 0
 
 
+def test_word_encoder_equals_the_tokenizer():
+    texts = ["", " ", "It's we'LL 'S", "a  b\n\nc", "<|endoftext|> x <|ENDOFTEXT|>", "İı ΑΣ ΑΣΑ Σ", "é é̀ x", "日本語 12abc! ?", "a\x1cb \x1c c\x85d\xa0e\u3000f", "x" * 300,
+             "a. b, c. d.", "a... b., c.\nD. \"E.\" F_. G", "no.1, x", "x .,y", "İstanbul ǅ ĳ ŉ ß ſ ªº Ŀ ĸ É ÿ Ÿ", "ñéüçà ǿ ȟɏ"]
+    for path in (WORDS, public_tokenizers.path("byte_bpe_50k.json")):
+        with open(path, encoding="utf-8") as f:
+            encoder = token_files.WordEncoder(f.read())
+        tok = Tokenizer.from_file(path)
+        assert encoder.by_piece == (path == WORDS)
+        assert [x.tolist() for x in encoder.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_round_trip():
     for bits in (1, 3, 8, 11, 16, 17, 31, 32):
         x = np.random.default_rng(bits).integers(0, 2**bits, 5003, dtype=np.uint64).astype(np.uint32)
