@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -18,6 +19,7 @@ SKIP_WORDS = frozenset(("ad ads advert advertisement adverts sponsor sponsored p
 CLOSES_P = BLOCK - {"html", "head", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+_PARTS = re.compile(r"[\W_]+")
 DEEPEST = 120
 MOST_PAIRS = 250_000
 
@@ -32,6 +34,20 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
+def roles(attrs: list[tuple[str, str | None]]) -> list[str]:
+    """Words of class, id and role. What follows has, with or no ("page has-sidebar") tells of something else and is left out."""
+    out = []
+    for k, v in attrs:
+        if v and k in ("class", "id", "role"):
+            for token in v.lower().split():
+                for word in _PARTS.split(token):
+                    if word in ("has", "with", "without", "no"):
+                        break
+                    if word:
+                        out.append(word)
+    return out
+
+
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -76,7 +92,7 @@ class _Reader(HTMLParser):
                 if self.open[i][0] in WALLS[tag]:
                     break
         _, above, skipped = self.open[-1]
-        names = "".join(c if c.isalnum() else " " for k, v in attrs if k in ("class", "id", "role") and v for c in v + " ").lower().split()
+        names = roles(attrs) if attrs else []
         skip = skipped or tag in SKIP or (tag != "body" and tag != "html" and tag != "article" and tag != "main" and not SKIP_WORDS.isdisjoint(names)) or (tag == "header" and not above.main)
         node = above
         if tag in BLOCK:

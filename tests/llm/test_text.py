@@ -178,6 +178,12 @@ def test_main_text(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_roles_of_elements():
+    html = "<div class='page has-sidebar content_with_menu'><p>In</p><div class='post-comments'>c</div><div id=ad_12>x</div><span class='share'>s</span></div>"
+    assert html_text.extract(html, None) == "In"
+    assert html_text.extract("<body class='no-ads'><header>h</header><article><header><h1>T</h1></header><p>x<footer>f</footer></article></body>", None) == "T\nx"
+
+
 def test_tree_matching():
     a = page_tree.read("<div class=x><p>1</p></div><div class=y><ul><li>2</ul></div>")
     b = page_tree.read("<div class=y><ul><li>3<li>4</ul></div><section></section>")
