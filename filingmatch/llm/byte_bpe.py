@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .caches import Cache
 from .common import arrow_map, held
 
-CACHED = 400_000
+CACHED = 150_000
 LONG = 64
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")

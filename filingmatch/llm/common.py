@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 #: A key counts as hot when it owns at least this share of all rows, so there are at most this many hot keys.
 HOT_SHARE = 1000
+#: Rows that a Python function is given at a time, so that the objects made of them stay few.
+ROWS = 2000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,7 +32,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], sch
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in fn({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches):
+        parts = (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+        for got in fn({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in parts):
             yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)

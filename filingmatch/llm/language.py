@@ -30,8 +30,8 @@ from .common import arrow_map, held
 
 SIZES = (4, 3, 2, 1)
 MIN_SHARE = 2e-5
-PIECES = 300_000
-CACHED = 600_000
+PIECES = 200_000
+CACHED = 250_000
 CHUNK = 65_536
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
