@@ -1,16 +1,17 @@
-"""One run: new filings matched to websites, contacts chosen, qualified, recorded in the next version of the state table."""
+"""One run: all filings, new and known, matched to websites, contacts chosen, qualified, recorded in the next version of the state table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..functions.cells import scrub
 from ..functions.names import core_tokens
 from ..functions.links import plain_web_address
 from ..operators import choose, classify, match, rules, sites, state
 from ..operators import pages as P
-from ..schemas import FILING, LOOKUP
+from ..schemas import COMPANY, FILING, LOOKUP
 from ..session import durable
 from ..sources import crawl
 from . import landed as L
@@ -46,25 +47,35 @@ def lookups(filings: DataFrame, pages: DataFrame, domain_created: DataFrame, tod
     return filings.join(clean, "id", "left")
 
 
-def next_version(spark: SparkSession, sf_dir: str, conditions: rules.Rules | None = None) -> DataFrame:
-    """The state rows of all filings seen for the first time, after their first lookup: intake, lookup, judgement, one owner per
-    domain, and the attempt recorded."""
+def next_version(spark: SparkSession, sf_dir: str, conditions: rules.Rules | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The state table after one run over all filings. `known` is the whole table before it (an empty one on the first run): filings
+    whose id it lacks are taken in, and every company of the table, whatever its state or attempts, is looked up and judged again by
+    the filing landed now (the stored one where none landed). One company owns a domain: a listed one that still qualifies with the
+    domain it had keeps it, then the first seen gets it. A sent company that still qualifies stays sent."""
     conditions, today = conditions or rules.Rules(), F.lit(L.TODAY).cast("date")
-    known, filings = companies(spark, sf_dir).where("attempts < 2"), durable(all_filings(spark, sf_dir))    # the others were not seen yet
-    fresh = state.intake(filings, known, today)
-    looked = lookups(filings.join(fresh.select("id"), "id", "left_semi"), L.landed(spark, sf_dir, L.SITE_PAGES), L.landed(spark, sf_dir, L.DOMAIN_CREATED), today)
+    known, filings = spark.createDataFrame([], COMPANY) if known is None else known, durable(all_filings(spark, sf_dir))
+    filed = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FILING.fields])
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in COMPANY.fields if f.name in ("enrich", "domain", "pushed_hash", "pushed_at", "ready_at")}
     raw = F.struct(*[F.col(f"raw.{f.name}").cast(f.dataType).alias(f.name) for f in FILING.fields])
-    rows = fresh.withColumn("raw", raw).join(looked.select("id", F.col("enrich").alias("new_enrich")), "id").withColumn("q", rules.qualify(F.col("raw"), F.col("new_enrich"), conditions))
+    fresh = state.intake(filings, known, today).withColumn("raw", raw).withColumns(blank)
+    seen = known.join(filings.select("id", filed.alias("_filed")), "id", "left").withColumn("raw", F.coalesce("_filed", "raw")).drop("_filed")
+    table = durable(seen.unionByName(fresh))
+    facts = table.select("id", *[F.col(f"raw.{f.name}").alias(f.name) for f in FILING.fields if f.name != "id"])
+    looked = lookups(facts, L.landed(spark, sf_dir, L.SITE_PAGES), L.landed(spark, sf_dir, L.DOMAIN_CREATED), today)
+    rows = table.join(looked.select("id", F.col("enrich").alias("new_enrich")), "id").withColumn("q", rules.qualify(F.col("raw"), F.col("new_enrich"), conditions))
     why = F.when(F.col("q.state") == "dropped", F.col("q.missing"))
     told = F.when(F.col("new_enrich").isNotNull(), F.col("new_enrich").withField("missing", F.col("q.missing")).withField("dropped_because", why))
-    judged = durable(rows.withColumn("new_state", F.col("q.state")).withColumn("new_enrich", told).drop("q"))
-    listed = known.where(F.col("state").isin("ready", "pushed")).select("id", "domain")
-    blank = {"pushed_hash": "string", "pushed_at": "date", "ready_at": "date", "enrich": LOOKUP}
-    owned = state.owned_once(judged, listed, ["first_seen", "id"]).withColumns({c: F.lit(None).cast(t) for c, t in blank.items()})
-    return state.recorded(owned, today).select(*known.columns)
+    good = F.col("q.state") == "ready"
+    keeps = F.coalesce(F.col("state").isin(V.LISTED) & good & (F.col("domain") == F.col("new_enrich.domain")), F.lit(False))
+    judged = durable(rows.withColumn("new_state", F.when(good & (F.col("state") == "pushed"), "pushed").otherwise(F.col("q.state")))
+                     .withColumn("_other", ~keeps).withColumn("new_enrich", told).drop("q"))
+    owners = judged.where(~F.col("_other")).groupBy("domain").agg(F.min_by("id", F.struct("first_seen", "id")).alias("id"))
+    owned = state.owned_once(judged, owners, ["_other", "first_seen", "id"])
+    return state.recorded(owned, today).select(*[f.name for f in COMPANY.fields])
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The new companies by state and by what is missing."""
-    return (next_version(spark, sf_dir).groupBy("state", F.coalesce(F.array_join("enrich.missing", ", "), F.lit("website")).alias("missing"))
+    """All companies of the next version by state and by what is missing."""
+    version = next_version(spark, sf_dir, known=companies(spark, sf_dir))
+    return (version.groupBy("state", F.coalesce(F.array_join("enrich.missing", ", "), F.lit("website")).alias("missing"))
             .agg(F.count(F.lit(1)).alias("n"), F.count("enrich").alias("with_website")))

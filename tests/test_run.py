@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from filingmatch.operators import rules, state
 from filingmatch.plans import flagship
+from filingmatch.plans.companies import companies
+from filingmatch.plans.section_a import all_filings
 from filingmatch.schemas import COMPANY
 from filingmatch.session import durable
 
@@ -23,6 +25,20 @@ def test_the_run_feeds_the_second_judgement(spark):
     assert state.change_log(again).count() == 0
 
 
+def test_a_run_looks_at_every_company(spark):
+    known = durable(companies(spark, SF))
+    first = F.col("source") == "tx"                       # ids the table lacks are taken in, the others are looked up again
+    version = durable(flagship.next_version(spark, SF, known=known.where(~first)))
+    was = known.select("id", F.when(~first, F.col("attempts")).otherwise(0).alias("before"), F.when(~first, F.col("state")).alias("was"))
+    both = durable(version.join(was, "id"))
+    assert version.count() == both.count() == known.count() == all_filings(spark, SF).count()
+    assert both.where("attempts <> before + 1 OR (state = 'pushed' AND was <> 'pushed')").count() == 0
+    assert both.where("before >= 2 AND enrich IS NOT NULL").count() > 0
+    listed = version.where("state IN ('ready', 'pushed')")
+    assert listed.count() == listed.select("domain").distinct().count() > 0
+    assert flagship.run(spark, SF).agg(F.sum("n")).first()[0] == known.count()
+
+
 def test_a_domain_has_one_owner(spark):
     rows = spark.createDataFrame([("a", "x.com", 2), ("b", "x.com", 1), ("c", "y.com", 1), ("d", "", 1), ("e", None, 1), ("f", "z.com", 1)], "id string, domain string, seen int")
     listed = spark.createDataFrame([("q", "y.com"), ("f", "z.com")], "id string, domain string")
