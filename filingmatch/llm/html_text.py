@@ -1,15 +1,15 @@
-"""Main text of pages by wrapper induction.
+"""Main text of pages by wrapper induction over all pages of a host.
 
-For each host a few reference pages are aligned one after the other by simple tree matching. A node that holds the same text in
-every reference is constant and belongs to the host's template; a node whose text varies is a slot. Every page of the host is then
-aligned with the template: slots and nodes that the template lacks are its content, constants go. Menus, headers, footers,
-sidebars, notices, adverts, forms and comments vary too, so elements with such a role, by tag, class or id, are no slots.
-If a page has an `article` or `main` element with text, only slots inside it count.
+A page is read as a tree of blocks. The path of a node is the chain of labels (tag, class, id, role) from the root to it, so pages of
+one layout meet in the same paths and layouts that differ do not. Spark counts, over all pages of a host, how many different pages have
+a node and how many have a text at it. A text that `LEAST` different pages or more, and at least `SHARE` of those that have the node,
+show there is constant: several languages or layouts that use the same node each keep their own constants. Constants go, everything
+else stays. Menus, headers, footers, sidebars, notices, adverts, forms and comments vary too, so elements with such a role, by tag,
+class or id, are left out. If a page has an `article` or `main` element with text, only text inside it counts.
 
-References: the page of least hash in each of `REFERENCES` hash classes of a host (pages of over `LARGE` characters only where there
-is no other), a bounded sample, chosen alike at every size; it is combined within tasks, so a hot host sends a few pages per task.
-References with the same text count once, and fewer than `LEAST` of them make no constants. Templates hold labels and text hashes.
-Templates of hosts with a thousandth of the pages or more are broadcast, a thousand at most; other pages meet theirs in a shuffle.
+Every page is counted, whatever its size; pages of a host with the same blocks of text count once. Hosts, paths and texts are compared by
+64-bit hashes. Constants of hosts with a thousandth of the pages or more are broadcast, a thousand at most; other pages meet theirs in a
+shuffle. The constants of a host travel with each of its pages.
 
 A null or empty page has an empty text; a null url, or one without host, belongs to the host ''. Broken markup is read as HTML reads it.
 Repeated rows come out repeated, an empty table gives no rows, null ids stay null, other columns do not matter.
@@ -17,69 +17,50 @@ Repeated rows come out repeated, an empty table gives no rows, null ids stay nul
 
 from __future__ import annotations
 
-import pickle
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .common import arrow_map, join_back
-from .page_tree import Node, align, digest, read
+from .page_tree import Node, digest, read
 from .url_filter import host_and_path
 
-REFERENCES = 8
 LEAST = 4
-LARGE = 200_000
-
-
-@dataclass(slots=True)
-class Slot:
-    label: str
-    seen: int = 0
-    texts: Counter = field(default_factory=Counter)
-    children: list[Slot] = field(default_factory=list)
-    constant: frozenset = frozenset()
-
-
-def _add(slot: Slot, node: Node) -> None:
-    """Aligns a reference with the template and adds what the template lacks, next to its matched neighbour."""
-    for s, n in align(slot, node):
-        s.seen += 1
-        s.texts.update({digest(t) for _, t in n.texts})
-        known = {id(y): x for x, y in align(s, n)[1:]} if n.children else {}
-        at = 0
-        for c in n.children:
-            if id(c) in known and known[id(c)] in s.children:
-                at = s.children.index(known[id(c)]) + 1
-            elif id(c) not in known:
-                new = Slot(c.label)
-                s.children.insert(at, new)
-                at += 1
-                _add(new, c)
-
-
-def induce(pages: list[str]) -> Slot:
-    """The template of reference pages of one host."""
-    trees, seen = [], set()
-    for html in sorted(pages):
-        tree = read(html)
-        words = tuple(t for _, t in blocks(tree))
-        if words not in seen:
-            seen.add(words)
-            trees.append(tree)
-    top = Slot("#root")
-    for t in trees:
-        _add(top, t)
-    todo = [top]
+SHARE = 0.1
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
+
+
+def placed(tree: Node) -> Iterator[tuple[int, Node]]:
+    """(path, node) of all nodes."""
+    todo = [(digest(tree.label), tree)]
     while todo:
-        s = todo.pop()
-        s.constant = frozenset(t for t, n in s.texts.items() if n == s.seen >= LEAST)
-        s.texts = Counter()
-        todo += s.children
-    return top
+        path, n = todo.pop()
+        yield path, n
+        todo += [(xxhash.xxh64_intdigest(c.label.encode("utf-8", "surrogatepass"), path), c) for c in n.children]
+
+
+def at(path: int, text: str) -> int:
+    """The hash of a text at a path."""
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), path))
+
+
+def facts(html: str | None) -> tuple[int, list[int], list[int]]:
+    """What is counted of a page: a hash of its blocks, and pairs (path, text at it) once each. A node itself is the pair of its path twice."""
+    tree = read(html)
+    pairs, words = set(), xxhash.xxh64()
+    for _, t in blocks(tree):
+        words.update(t.encode("utf-8", "surrogatepass") + b"\n")
+    for path, n in placed(tree):
+        p = _signed(path)
+        pairs.add((p, p))
+        pairs.update((p, at(path, t)) for _, t in n.texts)
+    return _signed(words.intdigest()), [p for p, _ in pairs], [t for _, t in pairs]
 
 
 def blocks(tree: Node) -> list[tuple[bool, str]]:
@@ -92,45 +73,51 @@ def blocks(tree: Node) -> list[tuple[bool, str]]:
     return [(m, t) for _, m, t in sorted(out)]
 
 
-def extract(html: str | None, template: Slot | None) -> str:
+def extract(html: str | None, constants: frozenset[int] | None) -> str:
     tree = read(html)
-    if template is not None:
-        for slot, node in align(template, tree):
-            if slot.constant:
-                node.texts = [(i, t) for i, t in node.texts if digest(t) not in slot.constant]
+    if constants:
+        for path, n in placed(tree):
+            n.texts = [(i, t) for i, t in n.texts if at(path, t) not in constants]
     found = blocks(tree)
     inside = [t for m, t in found if m]
     return "\n".join(inside or [t for _, t in found])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, n, template): one row per host, the template pickled."""
-    row = pages.select("host", F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("html", "url").alias("h"))
-    order = F.struct((F.char_length("html") > LARGE).alias("large"), "h")
-    some = row.groupBy("host", F.pmod("h", F.lit(REFERENCES)).alias("class")).agg(F.min_by("html", order).alias("html"), F.count(F.lit(1)).alias("n"))
-    refs = some.groupBy("host").agg(F.collect_list("html").alias("refs"), F.sum("n").alias("n"))
+def constant_texts(pages: DataFrame) -> DataFrame:
+    """(host, n, constants): one row per host (its hash), its number of pages and the hashes of its constants, null if it has none."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"host": b["host"], "n": b["n"], "template": [pickle.dumps(induce(r)) for r in b["refs"].to_pylist()]}
+            got = [facts(html) for html in b["html"].to_pylist()]
+            yield {"host": b["host"], "page": [x[0] for x in got], "paths": [x[1] for x in got], "texts": [x[2] for x in got]}
 
-    return arrow_map(refs, run, "host string, n long, template binary")
+    read_ = arrow_map(pages.select("host", "html"), run, "host long, page long, paths array<long>, texts array<long>")
+    once = read_.groupBy("host", "page").agg(F.any_value(F.arrays_zip("paths", "texts")).alias("pairs"))
+    counts, _ = stored(once.select("host", F.explode("pairs").alias("x")).groupBy("host", F.col("x.paths").alias("path"), F.col("x.texts").alias("text"))
+                       .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST), "counts")
+    nodes = counts.where("path = text").select("host", "path", F.col("n").alias("seen"))
+    common = counts.where("path <> text").join(nodes, ["host", "path"]).where(F.col("n") >= SHARE * F.col("seen"))
+    sets = common.groupBy("host").agg(F.array_sort(F.collect_set("text")).alias("constants"))
+    return pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(sets, "host", "left")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of `pages` (page_id, url, html)."""
-    rows = pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host"))
-    found, _ = stored(templates(rows), "templates")
+    rows = pages.select("page_id", "url", "html", F.xxhash64(host_and_path(F.col("url"))[0]).alias("host"))
+    found, _ = stored(constant_texts(rows), "constants")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        last, template = None, None
+        last, constants = None, None
         for b in batches:
-            texts = []
-            for html, packed in zip(b["html"].to_pylist(), b["template"].to_pylist(), strict=True):
-                if packed != last:
-                    last, template = packed, pickle.loads(packed) if packed is not None else None
-                texts.append(extract(html, template))
+            texts, sets = [], b["constants"]
+            for i, html in enumerate(b["html"].to_pylist()):
+                own = sets[i].values if sets[i].is_valid else None
+                if own is None:
+                    last, constants = None, None
+                elif last is None or not own.equals(last):
+                    last, constants = own, frozenset(own.to_pylist())
+                texts.append(extract(html, constants))
             yield {"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    met = join_back(rows, found, "host", "n").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "template")
+    met = join_back(rows, found, "host", "n").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "constants")
     return arrow_map(met, run, "page_id long, url string, text string, n_chars long")

@@ -178,6 +178,20 @@ def test_main_text(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_constants_of_every_layout_and_language(spark):
+    """English and German pages show their own line in the same node; one in twelve has another layout with a line of its own."""
+    def html(n):
+        line = f"{'Rights reserved' if n % 2 else 'Rechte vorbehalten'}"
+        body = f"<div class=content><h2>Title {n}</h2><p>Body {n}</div>"
+        return f"<body><div class=wide><div class=low>Other line</div>{body}</div></body>" if n % 12 == 0 else f"<body>{body}<div class=low>{line}</div></body>"
+
+    rows = [(n, f"https://a.example.com/{n}", html(n)) for n in range(96)]
+    rows += [(100 + n, "https://b.example.com/", "<body><p>One text, copied</p></body>") for n in range(9)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"Title {n}\nBody {n}" for n in range(96))
+    assert all(got[100 + n] == "One text, copied" for n in range(9))
+
+
 def test_roles_of_elements():
     html = "<div class='page has-sidebar content_with_menu'><p>In</p><div class='post-comments'>c</div><div id=ad_12>x</div><span class='share'>s</span></div>"
     assert html_text.extract(html, None) == "In"
