@@ -21,7 +21,6 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 _PARTS = re.compile(r"[\W_]+")
 DEEPEST = 120
-MOST_PAIRS = 250_000
 
 
 @dataclass(slots=True)
@@ -134,55 +133,65 @@ def read(html: str | None) -> Node:
     return r.root
 
 
-def _table(a: list, b: list, memo: dict) -> list[list[int]]:
-    rows = [[0] * (len(b) + 1)]
+def _sums(a: list, b: list, memo: dict) -> list[int]:
+    """Nodes of the largest match of the list `a` with every beginning of the list `b`."""
+    row = [0] * (len(b) + 1)
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y.label, []).append(j)
     for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(max(last[j + 1], row[j], last[j] + weight(x, y, memo)))
-        rows.append(row)
-    return rows
+        last, best, at = row, 0, 0
+        gains = [(j, last[j] + weight(x, b[j], memo)) for j in places.get(x.label, ())]
+        if gains:
+            row = last[:]
+            for k, (j, gain) in enumerate(gains):
+                best = max(best, gain)
+                at, end = j + 1, gains[k + 1][0] + 1 if k + 1 < len(gains) else len(row)
+                while at < end and row[at] < best:
+                    row[at] = best
+                    at += 1
+    return row
 
 
 def weight(a, b, memo: dict) -> int:
     """Nodes of the largest match of two trees that keeps order and levels."""
     if a.label != b.label:
         return 0
-    if not a.children or not b.children or len(a.children) * len(b.children) > MOST_PAIRS:
+    if not a.children or not b.children:
         return 1
     key = (id(a), id(b))
     if key not in memo:
-        memo[key] = 1 + _table(a.children, b.children, memo)[-1][-1]
+        memo[key] = 1 + _sums(a.children, b.children, memo)[-1]
     return memo[key]
 
 
+def _pairs(a: list, b: list, memo: dict) -> list[tuple]:
+    """The pairs of the largest match of two lists, in memory linear in them (Hirschberg's halving)."""
+    out, todo = [], [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if not a or not b:
+            continue
+        if len(a) == 1:
+            best = max(b, key=lambda y: weight(a[0], y, memo))
+            if best.label == a[0].label:
+                out.append((a[0], best))
+            continue
+        half = len(a) // 2
+        left, right = _sums(a[:half], b, memo), _sums(a[half:][::-1], b[::-1], memo)
+        cut = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
+        todo += [(a[:half], b[:cut]), (a[half:], b[cut:])]
+    return out
+
+
 def align(a, b, memo: dict | None = None) -> list[tuple]:
-    """Matched pairs (node of a, node of b) of the largest match, parents first. Children lists too long for it are paired by
-    label, in order."""
+    """Matched pairs (node of a, node of b) of the largest match, parents first, however long the lists of children are."""
     memo = {} if memo is None else memo
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        if len(x.children) * len(y.children) > MOST_PAIRS:
-            at = 0
-            for c in x.children:
-                for j in range(at, min(at + 50, len(y.children))):
-                    if y.children[j].label == c.label:
-                        todo.append((c, y.children[j]))
-                        at = j + 1
-                        break
-        elif x.children and y.children:
-            rows = _table(x.children, y.children, memo)
-            i, j = len(x.children), len(y.children)
-            while i and j:
-                if rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                elif rows[i][j] == rows[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    todo.append((x.children[i], y.children[j]))
+        todo += _pairs(x.children, y.children, memo)
     return out
 
 

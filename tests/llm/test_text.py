@@ -205,6 +205,40 @@ def test_tree_matching():
     assert [x.label for x, _ in page_tree.align(a, b)] == ["#root", "div y", "ul", "li"]
 
 
+def test_long_lists_are_matched_exactly(spark):
+    def doc(n, name):
+        return "<body>" + "".join(f"<div id=p{i}>{name} {i}</div>" for i in range(1, n + 1)) + "<div class=low>Low</div></body>"
+
+    short, long_ = page_tree.read(doc(60, "a")), page_tree.read(doc(5000, "b"))
+    assert page_tree.weight(short, long_, {}) == 63
+    assert [x.label for x, _ in page_tree.align(short, long_)].count("div low") == 1
+    rows = [(n, f"https://a.example.com/{n}", doc(5000 if n == 7 else 60, f"page {n}")) for n in range(8)]
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 8 and all("Low" not in r.text and r.text.count("\n") == (4999 if r.page_id == 7 else 59) for r in got)
+
+
+def test_tree_matching_equals_brute_force():
+    def best(a, b):
+        if a.label != b.label:
+            return 0
+        rows = [[0] * (len(b.children) + 1)]
+        for x in a.children:
+            rows.append([0])
+            for j, y in enumerate(b.children):
+                rows[-1].append(max(rows[-2][j + 1], rows[-1][j], rows[-2][j] + best(x, y)))
+        return 1 + rows[-1][-1]
+
+    draw = np.random.default_rng(5)
+
+    def tree(deep):
+        return page_tree.Node("abc"[draw.integers(3)], False, [], [tree(deep - 1) for _ in range(draw.integers(6))] if deep else [])
+
+    for _ in range(200):
+        a, b = page_tree.Node("r", False, [], [tree(2) for _ in range(4)]), page_tree.Node("r", False, [], [tree(2) for _ in range(5)])
+        pairs = page_tree.align(a, b)
+        assert page_tree.weight(a, b, {}) == best(a, b) == len(pairs) and all(x.label == y.label for x, y in pairs)
+
+
 def urls():
     rows = [(i, f"https://Good.example.com/fr/{i}") for i in range(60)] + [(100 + i, f"http://www.example.com/en/{i}?x") for i in range(20)]
     rows += [(200 + i, f"https://bad.example.com/en/{i}") for i in range(60)] + [(300 + i, f"https://z{i % 7}.example.net/es/{i}") for i in range(60)]
