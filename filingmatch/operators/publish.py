@@ -48,7 +48,7 @@ def listed(companies: DataFrame) -> DataFrame:
     return companies.where(F.col("state").isin(V.LISTED) & F.col("enrich").isNotNull())
 
 
-def upsert(sheet: DataFrame, incoming: DataFrame, today: Column, cells: list[str] | None = None, order: str = "seq") -> DataFrame:
+def upsert(sheet: DataFrame, incoming: DataFrame, today: Column, cells: list[str] | None = None, order: str | Column = "seq") -> DataFrame:
     """The next version of the sheet with the `action` per row (inserted, updated, kept). Incoming rows without id or company, and
     later rows of one id, are skipped. An existing row only has its empty cells filled; what a person typed stays."""
     cells = cells or FILLABLE

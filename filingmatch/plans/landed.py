@@ -225,8 +225,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def landed(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """One landed table, over the driver tables its text names."""
+def landed(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    """One landed table, over the driver tables its text names; `given` stands for tables of that name."""
     marked = _TABLE_REF.sub(r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
-    named = {m.group(2): table(spark, sf_dir, m.group(2)) for m in _TABLE_REF.finditer(sql)}
+    named = {m.group(2): given[m.group(2)] if m.group(2) in given else table(spark, sf_dir, m.group(2)) for m in _TABLE_REF.finditer(sql)}
     return spark.sql(marked, **named)

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..operators import state
+from ..sources import REGISTRY
 from ..streaming import jobs
 from . import landed as L
 from .catalog import query
+from .companies import companies
+from .section_a import CHECK_TX, SINCE, UNTIL
 
 
 @query("i1_incremental_intake", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1")
@@ -18,6 +22,15 @@ def i1(spark, sf):
     return spark.read.parquet(out).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("i1_registry_intake", f"SELECT count(*) AS n, count(DISTINCT id) AS ids FROM ({CHECK_TX}) t")
+def i1_registry(spark, sf):
+    """The rows of one registry as they land, through scan, window, first per id and intake."""
+    out, check = jobs.work_folder(spark) + "/t", jobs.work_folder(spark)
+    write = jobs.taking_in(out, REGISTRY["tx"], SINCE, UNTIL, F.lit(L.TODAY).cast("date"), lambda b: L.landed(b.sparkSession, sf, L.RAW["tx"], customer=b))
+    jobs.run_available(jobs.landing(spark, sf, "customer"), write, check)
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
 @query("i2_late_data", "SELECT count(DISTINCT user_id || event_type) AS n FROM events")
 def i2(spark, sf):
     out, check = jobs.work_folder(spark) + "/t", jobs.work_folder(spark)
@@ -28,10 +41,14 @@ def i2(spark, sf):
 
 @query("i3_timed_recheck", f"SELECT id, attempts + k AS attempt, first_seen + CAST([{', '.join(map(str, V.RETRY_DAYS))}][attempts + k + 1] AS INTEGER) AS due FROM ({L.COMPANIES}) c, (VALUES (1), (2), (3)) t(k) WHERE state = 'held' AND attempts + k < 4")
 def i3(spark, sf):
-    c = L.landed(spark, sf, L.COMPANIES).where("state = 'held'")
-    ladder = F.array(*[F.lit(d) for d in V.RETRY_DAYS])
-    steps = c.select("id", "first_seen", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.col("attempts") + k), lambda a: a < 4)).alias("attempt"))
-    return steps.select("id", "attempt", F.date_add("first_seen", F.get(ladder, F.col("attempt"))).alias("due"))
+    """Held companies whose next looks, each on the day it is due, leave them held."""
+    rows, ladder, seen = companies(spark, sf).where("state = 'held'"), F.array(*[F.lit(d) for d in V.RETRY_DAYS]), []
+    for _ in range(3):
+        day = F.date_add("first_seen", F.get(ladder, F.col("attempts")))
+        judged = rows.withColumn("new_state", F.col("state")).withColumn("new_enrich", F.col("enrich"))
+        rows = state.recorded(judged, day).where("state = 'held'")
+        seen.append(rows.select("id", F.col("attempts").alias("attempt"), F.col("next_due").alias("due")))
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
 
 
 @query("i4_sliding_rate", """SELECT event_type, w AS window_start, count(*) AS n FROM (SELECT event_type, unnest(generate_series(date_trunc('minute', ts) - INTERVAL 14 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS w FROM events) q
@@ -46,10 +63,15 @@ def i4(spark, sf):
 
 @query("i5_repeat_safe_publish", "SELECT count(*) AS n, count(DISTINCT c_custkey) AS ids FROM customer")
 def i5(spark, sf):
-    """The same batch delivered twice leaves one row per id."""
-    out = jobs.work_folder(spark) + "/t"
-    rows = L.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name")
-    write = jobs.append_new(out)
-    for batch_id in (0, 0, 1):
-        write(rows, batch_id)
-    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+    """Batches as they land, each delivered twice, and all rows once more in a later batch, leave one row per id."""
+    out, check = jobs.work_folder(spark) + "/t", jobs.work_folder(spark)
+    write = jobs.upserting(out, F.lit(L.TODAY).cast("date"), ["company"])
+    row = [F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("company"), F.col("c_custkey").alias("seq")]
+
+    def twice(batch, batch_id):
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    jobs.run_available(jobs.landing(spark, sf, "customer").select(*row), twice, check)
+    write(L.table(spark, sf, "customer").select(*row), jobs.last_written(spark, out) + 1)
+    return spark.read.parquet(f"{out}/batch={jobs.last_written(spark, out)}").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import publish, state
 from ..session import shared_folder
+from ..sources.spec import SourceSpec
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -34,6 +37,42 @@ def any_written(spark: SparkSession, out: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def last_written(spark: SparkSession, out: str, before: int | None = None) -> int | None:
+    """The number of the last batch (before `before`) that has been finished below `out`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    done = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
+    return max((n for n in done if before is None or n < before), default=None)
+
+
+def upserting(out: str, today: Column, cells: list[str], order: str = "seq") -> Callable[[DataFrame, int], None]:
+    """A batch writer that upserts (`publish.upsert`: new ids inserted, empty cells of known ones filled) the newest row of each id, by
+    `order`, into the sheet as the batch before left it. Every batch writes the next version of the sheet to its own folder, so a
+    repeated batch starts from the same sheet again and replaces its own version."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, earlier = batch.sparkSession, last_written(batch.sparkSession, out, batch_id)
+        empty = spark.createDataFrame([], ", ".join(["id string", *[f"{c} string" for c in cells], "added date"]))
+        sheet = empty if earlier is None else spark.read.parquet(f"{out}/batch={earlier}")
+        publish.upsert(sheet, batch, today, cells, F.desc(order)).drop("action").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return write
+
+
+def taking_in(out: str, spec: SourceSpec, since: date, until: date, today: Column, raw: Callable[[DataFrame], DataFrame] = lambda b: b) -> Callable[[DataFrame, int], None]:
+    """A batch writer that takes in registry rows: scan and window, normalized, the first per id, and of those the ids that no
+    other batch took in. Every batch owns one folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        filings, spark = spec.filings(raw(batch), since, until), batch.sparkSession
+        known = spark.createDataFrame([], "id string")
+        if any_written(spark, out):
+            known = spark.read.option("basePath", out).parquet(out).where(F.col("batch") != batch_id).select("id")
+        state.intake(filings, known, today).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return write
+
+
 def keep_latest(out: str) -> Callable[[DataFrame, int], None]:
     """A batch writer for results that a later batch may replace: one folder per batch, a repeated batch replaces its own."""
 
