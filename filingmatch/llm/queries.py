@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, exact_dedup, html_text, language, sharding, simhash, substrings, token_files, url_filter
+from . import byte_bpe, chat, decontaminate, exact_dedup, html_text, language, sharding, simhash, substrings, token_files, turn_repair, url_filter
 from .common import registry, table
 
 QUERIES, CHECKS, query = registry()
@@ -106,3 +106,55 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(PLANTED).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted.withColumn("turn", F.col("turn").cast("long")))
     return chat.digests(chat.conversations(*chat.from_turns(rows)))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """`conversations` with rows dropped, emptied, cut short, repeated or given to the user by the crc32 of `conv_id:turn`; a null is one space."""
+    deal = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary")) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    dealt = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), deal.alias("deal")).where("deal <> 0")
+    return dealt.select("conv_id", "turn", F.when(F.col("deal") == 4, "user").otherwise(F.col("role")).alias("role"),
+                        F.when(F.col("deal") == 1, "").when(F.col("deal") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+                        F.explode(F.when(F.col("deal") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+@query("op12_turn_repair", r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT conv_id, turn, role, text, xor(list_reduce(flatten(list_transform(string_split(key, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS deal FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN deal = 4 THEN 'user' ELSE role END AS role,
+        CASE deal WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM k, unnest(CASE WHEN deal = 3 THEN [0, 1] ELSE [0] END) WHERE deal <> 0),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+r0 AS (SELECT c, turn, role, text, left(role, 1) AS x, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d JOIN ids ON d.conv_id IS NOT DISTINCT FROM ids.conv_id),
+r AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd'
+                     WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'f' END AS fault, lag(x) OVER (PARTITION BY c ORDER BY i) || x AS pair FROM r0),
+ins(p, q, l) AS (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (2, 2, 'II'), (3, 3, ''), (3, 2, 'I'), (3, 3, 'II')),
+use(q, x, l, e, cost) AS (
+    SELECT q, x, 'D', q, 2 FROM unnest([0, 1, 2, 3]) AS a(q), unnest(['s', 'u', 'a', 'o']) AS b(x)
+    UNION ALL SELECT q, x, 'R', CASE WHEN q = 2 THEN 3 ELSE 2 END, 1 FROM unnest([0, 1, 2, 3]) AS a(q), unnest(['s', 'u', 'a', 'o']) AS b(x)
+    UNION ALL VALUES (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (3, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0)),
+best(c, i, q, s) AS (
+    SELECT c, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': ''} FROM ids
+    UNION ALL
+    SELECT best.c, r.i, use.e, min({'cost': (best.s.cost + 5 * length(ins.l) + use.cost + CASE WHEN use.l <> 'D' AND r.fault = 't' THEN 5 ELSE 0 END)::BIGINT, 'audit': best.s.audit || ins.l || use.l})
+    FROM best JOIN r ON r.c = best.c AND r.i = best.i + 1 JOIN ins ON ins.p = best.q
+         JOIN use ON use.q = ins.q AND use.x = CASE WHEN r.x IN ('s', 'u', 'a') THEN r.x ELSE 'o' END AND (use.l = 'D' OR r.fault IN ('f', 't'))
+    GROUP BY best.c, r.i, use.e),
+n AS (SELECT c, max(i) AS n FROM best GROUP BY c),
+fin AS (SELECT c, min({'cost': s.cost + CASE q WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, 'audit': s.audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}) AS s
+        FROM best JOIN n USING (c) WHERE best.i = n.n GROUP BY c),
+l AS (SELECT c, p, s.audit[p] AS l, length(replace(s.audit[1:p], 'I', '')) AS i, length(replace(s.audit[1:p], 'D', '')) - 1 AS k FROM fin, unnest(range(1, length(s.audit) + 1)) AS u(p)),
+t AS (SELECT l.c, p, l.l, k, role, text, bool_or(l.l = 'K' AND k = 0 AND x = 's') OVER (PARTITION BY l.c) AS lead FROM l LEFT JOIN r ON l.c = r.c AND l.i = r.i AND l.l <> 'I' WHERE l.l <> 'D'),
+h AS (SELECT c, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (k + lead::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS h
+      FROM t GROUP BY c),
+g AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, s.cost AS cost, s.audit AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM ids JOIN fin USING (c) LEFT JOIN g USING (c) LEFT JOIN h USING (c)""")
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.report(rows, damaged(rows))

@@ -106,3 +106,119 @@ def test_formatted_turns(spark, tmp_path):
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[c].formatted_chars == len(template(turns))
+
+
+ROLE = re.compile("(s?(ua)+)?")
+
+
+def cheapest(rows):
+    """Cost and ASCII-least edits of rows (initial, fault), over all suffixes, one letter at a time."""
+    best = {}
+    ends = {"": (0, ""), "s": (10, "II"), "u": (5, "I"), "a": (0, "")}
+    for i in range(len(rows), -1, -1):
+        for s in ends:
+            if i == len(rows):
+                best[i, s] = ends[s]
+                continue
+            ways, state, cost, letters = [], s, 0, ""
+            for _ in range(3):
+                x, fault = rows[i]
+                turn = "a" if state == "u" else "u"
+                extra = 5 if fault == "t" else 0
+                moves = [("D", 2, state)]
+                if fault in "ft":
+                    moves.append(("R", 1 + extra, turn))
+                    if x == turn or (x == "s" and state == ""):
+                        moves.append(("K", extra, x))
+                ways += [(cost + c + best[i + 1, to][0], letters + m + best[i + 1, to][1]) for m, c, to in moves]
+                state, cost, letters = turn, cost + 5, letters + "I"
+            best[i, s] = min(ways)
+    return best[0, ""]
+
+
+def every_edit(rows, most):
+    """The same by trying all edits with at most `most` insertions in a row."""
+    found = []
+
+    def go(i, roles, cost, letters, row_of):
+        if i == len(rows):
+            if ROLE.fullmatch(roles):
+                found.append((cost, letters))
+        else:
+            x, fault = rows[i]
+            go(i + 1, roles, cost + 2, letters + "D", 0)
+            if fault in "ft":
+                extra = 5 if fault == "t" else 0
+                go(i + 1, roles + x, cost + extra, letters + "K", 0)
+                for y in "ua":
+                    go(i + 1, roles + y, cost + 1 + extra, letters + "R", 0)
+        if row_of < most:
+            for y in "ua":
+                go(i, roles + y, cost + 5, letters + "I", row_of + 1)
+
+    go(0, "", 0, "", 0)
+    return min(found)
+
+
+def test_edits_are_the_cheapest_then_least():
+    from filingmatch.llm import turn_edits as T
+    rng = random.Random(2)
+    for n in list(range(0, 4)) * 40 + [rng.randint(4, 60) for _ in range(150)]:
+        rows = [(rng.choice("suax"), rng.choice("fffbdt")) for _ in range(n)]
+        want = cheapest(rows)
+        if n <= 3:
+            assert every_edit(rows, 2) == want
+        chain = [T.ROWS["suax".index(x) * 4 + "fbdt".index(f)] for x, f in rows]
+        end, cost = T.best_end(chain)
+        states = [0, *T.crossings(chain, 0, end)]
+        letters = "".join(T.LETTERS["suax".index(x) * 4 + "fbdt".index(f)][states[i] * 4 + states[i + 1]] for i, (x, f) in enumerate(rows)) + T.CLOSING[end][1]
+        assert (cost, letters) == want
+        cuts = sorted({0, n, *(rng.randint(0, n) for _ in range(4))})
+        whole = [T.combined(chain[a:b]) for a, b in zip(cuts, cuts[1:])]
+        assert T.best_end(whole) == (end, cost) and [0, *T.crossings(whole, 0, end)] == [states[c] for c in cuts]
+
+
+def brute_repair(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    seen, coded = set(), []
+    for _, role, text in rows:
+        bare = text.rstrip("\x20\x09\x0a\x0b\x0c\x0d")
+        fault = "b" if not bare else "d" if (role, text) in seen else "f" if bare[-1] in ".!?" else "t"
+        seen.add((role, text))
+        coded.append((role[:1] if role[:1] in ("s", "u", "a") else "x", fault))
+    cost, audit = cheapest(coded)
+    out, i = [], 0
+    for m in audit:
+        now = "" if not out else "a" if out[-1][2] == "a" else out[-1][2]
+        turn = "assistant" if now == "u" else "user"
+        if m == "K":
+            out.append((rows[i][1], rows[i][2], coded[i][0]))
+        elif m in "RI":
+            out.append((turn, rows[i][2] if m == "R" else "", turn[0]))
+        i += m != "I"
+    turns = [r[0] for r in rows if r[0] is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    pairs = [a[0] + b[0] for a, b in zip(coded, coded[1:])]
+    counts = [sum(f == k for _, f in coded) for k in "bdt"]
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t, _ in out).encode()).hexdigest()
+    return (gaps, *counts, sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, digest)
+
+
+def test_repaired_conversations(spark, tmp_path):
+    from filingmatch.llm import turn_repair
+    rng = random.Random(9)
+    texts = ["Fine.", "Fine. ", "cut", "", " \n\t", None, "What? ", "ü!\n", "a.\x0b"]
+    rows = [(c, rng.choice([None, k, k, k + 3]), rng.choice(["user", "assistant", "system", "tool", "", None]), rng.choice(texts) if rng.random() < 0.4 else f"Text {k}.") for c in range(40) for k in range(rng.randint(0, 14))]
+    rows += [(100, k, rng.choice(["user", "assistant"]), f"long {k}" + rng.choice([".", ""])) for k in range(700)]
+    rows += [(None, 1, "user", "null id."), (None, 2, "assistant", "yes."), (101, None, "user", "x."), (102, 5, "user", "word " * 100000 + ".")] + [(103, 0, "user", "same.")] * 30
+    schema = "conv_id long, turn long, role string, text string, nth string, first string, codes string"
+    table = spark.createDataFrame([(*r, "x", "x", "x") for r in rows], schema).repartition(3)
+    convs = defaultdict(list)
+    for c, k, r, t in rows:
+        convs[c].append((k, r or "", t or ""))
+    for block in (4096, 16):
+        got = {r.conv_id: tuple(r)[1:] for r in turn_repair.report(table, table, block).collect()}
+        assert got == {c: brute_repair(v) for c, v in convs.items()}
+    gone = turn_repair.report(table, table.limit(0)).where("audit = '' and cost = 0 and gaps = 0")
+    assert gone.count() == len(convs)
+    assert turn_repair.report(table.limit(0), table.limit(0)).count() == 0
