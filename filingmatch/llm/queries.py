@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, exact_dedup, html_text, language, sharding, simhash, substrings, token_files, turn_repair, url_filter
+from . import byte_bpe, chat, decontaminate, exact_dedup, html_text, language, negatives, sharding, simhash, substrings, token_files, turn_repair, url_filter
 from .common import registry, table
 
 QUERIES, CHECKS, query = registry()
@@ -158,3 +158,21 @@ FROM ids JOIN fin USING (c) LEFT JOIN g USING (c) LEFT JOIN h USING (c)""")
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return turn_repair.report(rows, damaged(rows))
+
+
+@query("op13_hard_negatives", """
+WITH r AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k AS ak, a.vec_id AS anchor_id, b.k AS bk, b.vec_id AS other, a.label = b.label AS same,
+             coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0)::BIGINT AS score
+      FROM r AS a JOIN r AS b ON a.k <> b.k AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ak ORDER BY score DESC, other NULLS LAST) AS n FROM s WHERE same) WHERE n <= 5),
+m AS (SELECT p.ak, p.bk, p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.ak, p.bk ORDER BY s.score DESC, s.other NULLS LAST) AS rank
+      FROM p JOIN s ON p.ak = s.ak AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 3""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return negatives.hard_negatives(moved, F.col("vec_id") % 50 == 0)
