@@ -13,17 +13,15 @@ is under the loss.
 A null role or text is empty, a null score is 0. A null or unknown parent makes a root; a message whose id is null is answered by nobody;
 of several messages with one id the first in order (tree, id, parent, role, text, score) is answered and the others are leaves; messages
 that reach no root, as their answers go in a circle, are on no path. An empty table gives no rows. Columns beside the named ones do not
-matter. One path is one row at the end, since its conversation is one string; nothing else is held in one place.
+matter. Joins look up rows by a key that is unique on one side and end in a written table or another exchange, so a message with very many
+answers is a skewed partition that Spark splits at run time. One path is one row at the end, since its conversation is one string; nothing else is held in one place.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import salted_join
 from ..session import stored
 from .ordering import numbered
 
@@ -56,7 +54,7 @@ def from_replies(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = numbered(plain, ["tree", "id", "parent", "role", "text", "score"], "node")
     owners = nodes.where("id is not null").groupBy("id").agg(F.min("node").alias("up")).withColumnRenamed("id", "parent")
     asking = nodes.where("parent is not null").select("node", "parent", "score")
-    links = salted_join(asking, owners, "parent", "node", "left").select("node", "up", "score").unionByName(
+    links = asking.join(owners, "parent", "left").select("node", "up", "score").unionByName(
         nodes.where("parent is null").select("node", F.lit(None).cast("long").alias("up"), "score"))
     return nodes.select("node", "tree", "role", "text"), links
 
@@ -70,7 +68,7 @@ def _reach(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     while left:
         levels.append(going.select("node", "at"))
         above = settled.unionByName(going).select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"), F.col("gain").alias("extra"))
-        met = salted_join(going, above, "at", "node").select("node", F.col("to").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("gain") + F.col("extra")).alias("gain"))
+        met = going.join(above, "at").select("node", F.col("to").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("gain") + F.col("extra")).alias("gain"))
         met, _ = stored(met, "reach")
         step *= 2
         settled, going = settled.unionByName(met.where(F.col("steps") < step)), met.where(F.col("steps") == step)
@@ -89,13 +87,13 @@ def paths(links: DataFrame, best: int = 1) -> DataFrame:
     answered = links.where("up is not null").select(F.col("up").alias("node")).distinct()
     own = links.select("node", F.col("score").alias("own"))
     leaves = settled.join(answered, "node", "left_anti")
-    scored = salted_join(leaves, own.withColumnRenamed("node", "at"), "at", "node").select(
+    scored = leaves.join(own.withColumnRenamed("node", "at"), "at").select(
         F.col("node").alias("path"), F.col("at").alias("root"), "steps", (F.col("gain") + F.col("own")).alias("score"))
     order = Window.partitionBy("root").orderBy(F.desc("score"), F.desc("steps"), "path")
     chosen = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     found, _ = stored(chosen.select("path", F.col("path").alias("node"), F.lit(0).cast("long").alias("back"), "rank", "score"), "leaves")
     for k, level in enumerate(levels):
-        further = salted_join(found, level, "node", "path").select("path", F.col("at").alias("node"), (F.col("back") + (1 << k)).alias("back"), "rank", "score")
+        further = found.join(level, "node").select("path", F.col("at").alias("node"), (F.col("back") + (1 << k)).alias("back"), "rank", "score")
         found = found.unionByName(stored(further, "paths")[0])
     return found
 
@@ -104,7 +102,7 @@ def conversations(nodes: DataFrame, links: DataFrame, best: int = 1) -> DataFram
     """tree, rank, score, formatted and marks (array of piece_at, text_at, n_chars, loss) of each chosen path."""
     role = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit(LINE))
     head, body = F.concat(F.lit(START), role, F.lit("\n")), escaped(F.col("text"))
-    turns = salted_join(paths(links, best), nodes, "node", "path").select(
+    turns = paths(links, best).join(nodes, "node").select(
         "path", "back", "rank", "score", "tree", F.concat(head, body, F.lit(END + "\n")).alias("piece"), F.length(head).alias("head"), F.length(body).alias("n_chars"),
         (F.col("role") == LOSS_ROLE).alias("loss"))
     before = Window.partitionBy("path").orderBy(F.desc("back")).rowsBetween(Window.unboundedPreceding, -1)
