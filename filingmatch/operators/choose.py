@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -11,7 +11,7 @@ from ..functions.mail import email_kind, local_part, mail_domain, not_a_contact,
 from ..functions.names import flat
 from ..functions.people import clean_title, is_lead, person_name
 from ..functions.phones import usable_phone
-from .pages import matched_profile
+from .profiles import with_profiles
 
 _LEADERS = "array<struct<name:string,title:string,email:string,linkedin:string>>"
 
@@ -90,18 +90,21 @@ def rank_people(people: Column) -> Column:
     return F.slice(F.transform(F.array_sort(keyed), lambda x: x["p"]), 1, 4)
 
 
-def people_of_site(leaders: Column, company_tokens: Column, page_emails: Column, profiles: Column, domain: Column) -> Column:
-    """The ranked people of a site for one filing: array of (name, title, email, linkedin)."""
-    own = own_people(leaders, company_tokens)
+def with_linked(rows: DataFrame, leaders: Column, company_tokens: Column, profiles: Column) -> DataFrame:
+    """`rows` with `linked`: the profiles of a site's people in the order of `own_people`. `profiles`: the site's pages that link profiles."""
+    return with_profiles(rows, F.transform(own_people(leaders, company_tokens), lambda p: p["name"]), profiles)
+
+
+def people_of_site(leaders: Column, company_tokens: Column, page_emails: Column, linked: Column, domain: Column) -> Column:
+    """The ranked people of a site for one filing: array of (name, title, email, linkedin). `linked`: what `with_linked` adds."""
 
     def dressed(people: Column) -> Column:
-        names = F.transform(people, lambda p: p["name"])
-        return rank_people(F.transform(people, lambda p: F.struct(
+        return rank_people(F.transform(people, lambda p, i: F.struct(
             p["name"].alias("name"), p["title"].alias("title"),
             F.when(p["email"] != "", p["email"]).otherwise(person_email(p["name"], page_emails, domain)).alias("email"),
-            matched_profile(p["name"], names, profiles).alias("linkedin"))))
+            F.coalesce(F.get(linked, i), F.lit("")).alias("linkedin"))))
 
-    return F.coalesce(let(own, dressed), F.array().cast(_LEADERS))
+    return F.coalesce(let(own_people(leaders, company_tokens), dressed), F.array().cast(_LEADERS))
 
 
 def registry_contact(people: Column) -> Column:

@@ -1,5 +1,8 @@
 """The few page facts that need element nesting: quoted passages, blocks around profile links, JSON-LD nodes.
 
+A page is read into one list of texts and an interval-coded element tree: an element is the range of texts it spans, so the block around
+a link is two numbers into the page's text (`told`) and never a copy. What is kept grows with the page, however its elements nest.
+
 Only pages that hold one of those reach Python: the caller passes null for the others, and the reader below is a small helper
 around the standard parser.
 """
@@ -7,6 +10,7 @@ around the standard parser.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,8 +26,10 @@ _FOUNDER = T.StructType([T.StructField("name", _STR), T.StructField("email", _ST
 LD_NODE = T.StructType([
     T.StructField("types", _STR), T.StructField("name", _STR), T.StructField("job_title", _STR), T.StructField("email", _STR),
     T.StructField("telephone", _STR), T.StructField("phone", _STR), T.StructField("founders", T.ArrayType(_FOUNDER))])
-PROFILE = T.StructType([T.StructField("url", _STR), T.StructField("own", _STR), T.StructField("around", T.ArrayType(_STR))])
-DOM = T.StructType([T.StructField("said", _STR), T.StructField("profiles", T.ArrayType(PROFILE)), T.StructField("nodes", T.ArrayType(LD_NODE))])
+BLOCK = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())])
+PROFILE = T.StructType([T.StructField("url", _STR), T.StructField("own", _STR), T.StructField("blocks", T.ArrayType(BLOCK))])
+PROFILES = T.StructType([T.StructField("told", _STR), T.StructField("links", T.ArrayType(PROFILE))])
+DOM = T.StructType([T.StructField("said", _STR), T.StructField("profiles", PROFILES), T.StructField("nodes", T.ArrayType(LD_NODE))])
 
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _CLOSED_BY_BLOCK = set("p".split())
@@ -39,6 +45,8 @@ class _Reader(HTMLParser):
         self.texts: list[tuple[str, bool]] = []                # (text, inside a quote)
         self.elements: list[list] = []                         # [tag, attributes, parent, first text, end text]
         self.open: list[int] = []
+        self.tags: Counter[str] = Counter()                    # of the open elements
+        self.anchor: int | None = None                         # the link whose text is being read
         self.quotes = self.hidden = 0
         self.ld: list[str] = []
 
@@ -51,23 +59,38 @@ class _Reader(HTMLParser):
             self._close()
         if tag == "li" and self.open and self.elements[self.open[-1]][0] == "li":
             self._close()
+        if tag == "a":
+            self._end_anchor()
         a = dict(attrs)
         self.elements.append([tag, a, self.open[-1] if self.open else None, len(self.texts), None])
         if tag in _VOID:
             self.elements[-1][4] = len(self.texts)
             return
         self.open.append(len(self.elements) - 1)
+        self.tags[tag] += 1
+        if tag == "a":
+            self.anchor = self.open[-1]
         self.quotes += self._quoting(tag, a)
         self.hidden += tag in V.HIDDEN_TAGS
 
+    def _end_anchor(self) -> None:
+        """A link ends where the next one starts, closed or not, so the texts of links never overlap."""
+        if self.anchor is not None:
+            e = self.elements[self.anchor]
+            e[4] = len(self.texts) if e[4] is None else e[4]
+            if self.open and self.open[-1] == self.anchor:
+                self._close()
+            self.anchor = None
+
     def _close(self) -> None:
         e = self.elements[self.open.pop()]
-        e[4] = len(self.texts)
+        e[4] = len(self.texts) if e[4] is None else e[4]
+        self.tags[e[0]] -= 1
         self.quotes -= self._quoting(e[0], e[1])
         self.hidden -= e[0] in V.HIDDEN_TAGS
 
     def handle_endtag(self, tag):
-        if any(self.elements[i][0] == tag for i in self.open):
+        if self.tags[tag]:
             while self.elements[self.open[-1]][0] != tag:
                 self._close()
             self._close()
@@ -80,22 +103,29 @@ class _Reader(HTMLParser):
         elif data.strip():
             self.texts.append((data.strip(), self.quotes > 0))
 
-    def span(self, e: list) -> str:
-        return " ".join(t for t, _ in self.texts[e[3]:len(self.texts) if e[4] is None else e[4]])
+    def profiles(self) -> dict:
+        """The page's texts as one, and its links to people's profiles with their own text and the ranges of the four elements around
+        them, nearest first. Ranges count characters of the text."""
+        links = [e for e in self.elements if e[0] == "a" and "linkedin.com/in/" in (e[1].get("href") or "") and "linkedin.com/company/" not in e[1]["href"]]
+        if not links:
+            return {"told": "", "links": []}
+        starts = [0]
+        for t, _ in self.texts:
+            starts.append(starts[-1] + len(t) + 1)
+
+        def block(e: list) -> dict:
+            end = len(self.texts) if e[4] is None else e[4]
+            return {"at": starts[e[3]], "n": max(0, starts[end] - 1 - starts[e[3]])}
 
-    def profiles(self) -> list[dict]:
         out = []
-        anchors = [e for e in self.elements if e[0] == "a" and e[1].get("href") is not None]
-        for e in anchors:
-            href = e[1]["href"]
-            if "linkedin.com/company/" not in href and "linkedin.com/in/" in href:
-                around, up = [], e[2]
-                while up is not None and len(around) < 4:
-                    around.append(self.span(self.elements[up]))
-                    up = self.elements[up][2]
-                own = " ".join([self.span(e), e[1].get("aria-label") or "", e[1].get("title") or ""])
-                out.append({"url": href, "own": own, "around": around})
-        return out
+        for e in links:
+            around, up = [], e[2]
+            while up is not None and len(around) < 4:
+                around.append(block(self.elements[up]))
+                up = self.elements[up][2]
+            texts = " ".join(t for t, _ in self.texts[e[3]:len(self.texts) if e[4] is None else e[4]])
+            out.append({"url": e[1]["href"], "own": " ".join([texts, e[1].get("aria-label") or "", e[1].get("title") or ""]), "blocks": around})
+        return {"told": " ".join(t for t, _ in self.texts), "links": out}
 
 
 def _nodes(x) -> Iterator[dict]:
@@ -129,7 +159,7 @@ def _node(o: dict) -> dict:
 
 def read_page(html: str | None) -> dict:
     if html is None:
-        return {"said": None, "profiles": [], "nodes": []}
+        return {"said": None, "profiles": {"told": "", "links": []}, "nodes": []}
     r = _Reader()
     r.feed(html)
     r.close()

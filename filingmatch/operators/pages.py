@@ -170,27 +170,10 @@ def company_profile(page_links: Column) -> Column:
 
 
 def person_profiles(profiles: Column, most: int | None = None) -> Column:
-    """Profile links in plain form with their own text and the blocks around them; the first `most` where that is given."""
-    plain = F.transform(profiles, lambda p: F.struct(profile_url(p["url"]).alias("url"), p["own"].alias("own"), p["around"].alias("around")))
-    return first_items(F.filter(plain, lambda p: p["url"] != ""), most)
-
-
-def matched_profile(person: Column, others: Column, profiles: Column) -> Column:
-    """The profile of a person: the address or its own label names them, else the nearest block that names them names
-    nobody else."""
-    low = F.lower(person)
-    words = F.split(low, " +")
-    first, last = F.get(words, F.lit(0)), F.element_at(words, -1)
-
-    def direct(p: Column) -> Column:
-        slug = F.lower(p["url"])
-        return (F.contains(slug, first) & F.contains(slug, last)) | F.contains(F.lower(p["own"]), low)
-
-    def nearby(p: Column) -> Column:
-        block = F.lower(F.get(F.filter(p["around"], lambda b: F.contains(F.lower(b), low)), F.lit(0)))
-        return block.isNotNull() & ~F.exists(others, lambda o: (F.lower(o) != low) & F.contains(block, F.lower(o)))
-
-    return F.coalesce(F.get(F.filter(profiles, direct), F.lit(0))["url"], F.get(F.filter(profiles, nearby), F.lit(0))["url"], F.lit(""))
+    """struct(told, links) of a page with its profile links in plain form, the first `most` where that is given; told is '' and links empty
+    where there are none."""
+    plain = F.transform(profiles["links"], lambda p: F.struct(profile_url(p["url"]).alias("url"), p["own"].alias("own"), p["blocks"].alias("blocks")))
+    return F.struct(profiles["told"].alias("told"), first_items(F.filter(plain, lambda p: p["url"] != ""), most).alias("links"))
 
 
 def page_index(pages: DataFrame) -> DataFrame:

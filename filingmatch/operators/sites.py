@@ -73,14 +73,14 @@ def leaders(people: Column) -> Column:
 
 
 def fold_sites(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
-    """One row per site: head, body, emails, phones (each with the values only legal pages show), leaders, profiles, company
+    """One row per site: head, body, emails, phones (each with the values only legal pages show), leaders, pages with profile links, company
     profile, page count. At most nine pages per site reach the fold, so no host is ever one large group."""
     homes = home_pages(pages) if homes is None else homes
     chosen = durable(site_pages(pages, homes))
     facts = page_facts(pages.join(chosen.select("page_id").distinct(), "page_id", "left_semi"))
     placed = facts.join(chosen, "page_id")
     page = F.struct("rank", "page_id", "url", "is_legal", "head", "body", "emails", "phones", "ld_emails", "ld_phones", "company_profile", "people",
-                    F.when(~F.col("is_legal"), F.col("profiles")).otherwise(F.slice("profiles", 1, 0)).alias("profiles"))
+                    F.when(~F.col("is_legal") & (F.size("profiles.links") > 0), F.col("profiles")).alias("profiles"))
     site = placed.groupBy("site").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     real = F.filter("pages", lambda p: ~p["is_legal"])
     emails = F.array_distinct(F.flatten(F.transform("pages", lambda p: F.concat(p["ld_emails"], p["emails"]))))
@@ -95,6 +95,6 @@ def fold_sites(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
         F.array_join(F.transform("pages", lambda p: p["body"]), "\n").alias("body"),
         "page_emails", "emails", F.filter("emails", lambda e: ~F.array_contains(F.col("_real_mail"), e)).alias("legal_only_emails"),
         "phones", F.filter("phones", lambda p: ~F.array_contains(F.col("_real_phones"), p)).alias("legal_only_phones"),
-        F.flatten(F.transform("pages", lambda p: p["profiles"])).alias("profiles"),
+        F.array_compact(F.transform("pages", lambda p: p["profiles"])).alias("profiles"),
         F.coalesce(F.get(company, F.lit(0)), F.lit("")).alias("company_profile"), F.size("pages").alias("pages"),
         leaders(F.flatten(F.transform(F.filter("pages", lambda p: p["people"].isNotNull()), lambda p: p["people"]))).alias("leaders"))

@@ -30,8 +30,9 @@ def lookups(filings: DataFrame, pages: DataFrame, domain_created: DataFrame, tod
     site = folded.withColumn("it", classify.classify(F.col("head"), F.col("body"))).drop("head", "body")
     pairs = (found.select("id", "domain", F.col("url").alias("site_url"), "why", "created").join(site, "domain")
              .join(filings.select("id", F.col("name").alias("_name"), "city", F.col("emails").alias("filed_emails"), "people"), "id"))
-    people = choose.people_of_site(F.col("leaders"), core_tokens("_name"), F.col("page_emails"), F.col("profiles"), F.col("domain"))
-    picked = (pairs.withColumn("mail", choose.pick_email(F.col("emails"), F.col("filed_emails"), F.col("domain"), F.col("city")))
+    people = choose.people_of_site(F.col("leaders"), core_tokens("_name"), F.col("page_emails"), F.col("linked"), F.col("domain"))
+    linked = choose.with_linked(pairs, F.col("leaders"), core_tokens("_name"), F.col("profiles")).drop("profiles")
+    picked = (linked.withColumn("mail", choose.pick_email(F.col("emails"), F.col("filed_emails"), F.col("domain"), F.col("city")))
               .withColumn("tel", choose.pick_phone(F.col("phones"), F.col("legal_only_phones")))
               .withColumn("contact", choose.pick_contact(people, F.col("people"))))
     legal_mail = (F.col("mail.came_from") == "company website") & F.array_contains("legal_only_emails", F.col("mail.email"))

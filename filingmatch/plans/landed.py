@@ -165,6 +165,24 @@ FROM (SELECT h.*, r.legal, r.p_name, r.street, r.city, r.zip5, r.area, r.exch, r
       FROM ({PAGE_HOSTS}) h JOIN ({REG}) r ON r.k = h.page_id) q
 """
 
+_PERSON3 = _picks("page_id", "Martha", "Henry", "Diana", "Oscar", "Julia") + " || ' ' || " + _picks("page_id", "Vance", "Abbott", "Quigley")
+_PERSON4 = _picks("page_id", "Laura", "Peter", "Rosa") + " || ' ' || " + _picks("page_id", "Winter", "Castle", "Barlow", "Imhof")
+_PERSON5 = _picks("page_id", "Simon", "Nora", "Felix", "Clara") + " || ' ' || " + _picks("page_id", "Tanner", "Doyle", "Ferro", "Lund", "Mercer")
+_CARD = "https://www.linkedin.com/in/card-' || CAST(page_id AS STRING) || '"
+
+# what a team page shows: titles of five people, then cards that link profiles, and the text of each card
+TEAM_CARDS = [
+    ("a", f"'<div><p>' || {_PERSON3} || '</p><a href=\"{_CARD}-a\">Profile</a></div>'", f"{_PERSON3} || ' Profile'"),
+    ("b", f"'<div><span>' || {_PERSON4} || ' and ' || {_PERSON5} || '</span><a href=\"{_CARD}-b\">Both</a></div>'", f"{_PERSON4} || ' and ' || {_PERSON5} || ' Both'"),
+    ("c", f"'<div><p>Our office</p><a href=\"{_CARD}-c\" aria-label=\"' || {_PERSON5} || '\">in</a></div>'", "'Our office in'"),
+    ("d", f"'<ul><li><b>' || {_PERSON4} || '</b><ul><li><a href=\"{_CARD}-d\">in</a></li></ul></li></ul>'", "'in'")]
+TEAM_PAGES = f"""
+SELECT page_id + 1000000000 AS page_id, url, CASE WHEN page_id % 5 = 4 THEN '<html><body><h1>Us</h1><p>' || {_PERSON3} || ' - CEO</p><div><a href="{_CARD}-e">Profile</a></div></body></html>'
+  ELSE replace(html, '</body>', '<p>' || {_PERSON3} || ' - CEO</p><p>' || {_PERSON4} || ' - President</p><p>' || {_PERSON5} || ', Owner</p><section><h2>Faces</h2>' ||
+  {" || ".join(c for _, c, _ in TEAM_CARDS)} || '</section></body>') END AS html, {", ".join(f"{t} AS card_{n}" for n, _, t in TEAM_CARDS)}, {_PERSON4} AS person4
+FROM ({SITE_PAGES}) sp0
+"""
+
 DOMAIN_CREATED = f"""
 SELECT CASE WHEN site_host LIKE 'www.%' THEN substr(site_host, 5) ELSE site_host END AS host,
        DATE '2023-09-01' + CAST((min(page_id) * 37) % 400 AS INT) AS created

@@ -9,6 +9,7 @@ from .. import fixed_values as V
 from ..functions import markup as M
 from ..operators import pages as P
 from ..operators.dom import dom_facts
+from ..operators.profiles import with_profiles
 from ..sources.crawl import located
 from . import check_sql as C
 from . import landed as L
@@ -265,23 +266,54 @@ def c15(spark, sf):
     p = texts(spark, sf).withColumn("dom", dom_facts(F.col("html")))
     company = P.company_profile(F.col("links"))
     company = F.when(company == "", F.lit("https://www.linkedin.com/company/")).otherwise(company)
-    return (p.select("page_id", company.alias("company"), F.explode(P.person_profiles(F.col("dom.profiles"))).alias("p"))
+    return (p.select("page_id", company.alias("company"), F.explode(P.person_profiles(F.col("dom.profiles"))["links"]).alias("p"))
             .select("page_id", "p.url", "p.own", "company"))
 
 
-@query("c15_profile_blocks")
+# pages whose profile links stand in cards: the blocks of each link by depth, worded from how the cards are built
+TEAM = f"""
+tg AS ({L.TEAM_PAGES}),
+tx AS (SELECT page_id, regexp_replace(html, {C.lit(_HIDDEN)}, chr(1), 'g') AS m, html, card_a, card_b, card_c, card_d, person4 FROM tg),
+ty AS (SELECT *, array_to_string({sql_nodes("m")}, ' ') AS whole, array_to_string({sql_nodes("regexp_extract(m, '(?is)<body[^>]*>(.*)</body>', 1)")}, ' ') AS body_text,
+  array_to_string({sql_nodes("regexp_extract(m, '(?is)<section><h2>Faces</h2>.*?</section>')")}, ' ') AS faces, contains(html, '<h2>Faces</h2>') AS cards FROM tx),
+lk AS (SELECT page_id, 'https://www.linkedin.com/in/' || regexp_extract(html, 'linkedin.com/in/([a-z0-9-]+)/[?]x=1', 1) AS url, 0 AS n, regexp_extract(html, '<div><p>([^<]*)</p><a href="https://www.linkedin.com/in/[a-z0-9-]+/[?]x=1', 1) || ' Profile' AS own_block,
+    'Profile' AS own, ['body', 'html'] AS rings FROM ty WHERE contains(html, '/?x=1')
+  UNION ALL SELECT page_id, 'https://www.linkedin.com/in/card-' || (page_id - 1000000000) || '-' || k.k, k.n, CASE k.k WHEN 'a' THEN card_a WHEN 'b' THEN card_b WHEN 'c' THEN card_c WHEN 'd' THEN card_d ELSE 'Profile' END,
+    CASE k.k WHEN 'a' THEN 'Profile' WHEN 'b' THEN 'Both' WHEN 'c' THEN 'in ' || regexp_extract(html, 'aria-label="([^"]*)"', 1) WHEN 'd' THEN 'in' ELSE 'Profile' END,
+    CASE k.k WHEN 'e' THEN ['body', 'html'] WHEN 'd' THEN ['own', 'card', 'list'] ELSE ['section', 'body', 'html'] END FROM ty JOIN (VALUES ('a', 1), ('b', 2), ('c', 3), ('d', 4), ('e', 1)) k(k, n) ON (k.k <> 'e' AND cards) OR (k.k = 'e' AND contains(html, '-e">Profile<'))),
+bl AS (SELECT page_id, url, n, own, 0 AS depth, own_block AS block FROM lk
+  UNION ALL SELECT lk.page_id, url, n, own, i, CASE rings[i] WHEN 'section' THEN faces WHEN 'body' THEN body_text WHEN 'html' THEN whole WHEN 'own' THEN 'in' ELSE person4 || ' in' END
+    FROM lk JOIN ty ON ty.page_id = lk.page_id, generate_series(1, 3) g(i) WHERE i <= len(rings))
+"""
+
+
+def team_facts(spark, sf):
+    """Facts of the team pages, with the profile links in plain form."""
+    t = P.page_texts(L.landed(spark, sf, L.TEAM_PAGES)).withColumn("dom", dom_facts(F.col("html")))
+    return t.select("page_id", F.coalesce("dom.said", "body").alias("said"), F.col("dom.nodes").alias("nodes"), P.person_profiles(F.col("dom.profiles")).alias("profiles"))
+
+
+@query("c15_profile_blocks", "WITH " + TEAM.strip().rstrip(",") + "SELECT page_id, url, depth, md5(block) AS block FROM bl")
 def c15_blocks(spark, sf):
-    p = said_facts(spark, sf)
-    return (p.select("page_id", F.explode(P.person_profiles(F.col("profiles"))).alias("p"))
-            .select("page_id", "p.url", F.posexplode("p.around").alias("depth", "block")).select("page_id", "url", "depth", F.md5("block").alias("block")))
+    links = team_facts(spark, sf).select("page_id", F.col("profiles.told").alias("told"), F.explode("profiles.links").alias("p"))
+    return (links.select("page_id", "told", "p.url", F.posexplode("p.blocks").alias("depth", "b"))
+            .select("page_id", "url", "depth", F.md5(F.substr("told", F.col("b.at") + 1, F.col("b.n"))).alias("block")))
+
+
+_TEAM_AS_PAGES = PF.replace(f"sp AS ({L.SITE_PAGES})", f"sp AS (SELECT page_id, url, html FROM ({L.TEAM_PAGES}) tp0)")
 
 
-@query("c16_person_profile")
+@query("c16_person_profile", "WITH " + ",".join([_TEAM_AS_PAGES, NODES, LD_PEOPLE, TEXT_PEOPLE, TEAM]) + """,
+nm AS (SELECT DISTINCT page_id, name FROM (SELECT page_id, name FROM lp WHERE name IS NOT NULL UNION ALL SELECT page_id, name FROM tp WHERE name IS NOT NULL AND title <> '')),
+dr AS (SELECT nm.page_id, nm.name, arg_min(url, n) AS url FROM nm JOIN lk ON lk.page_id = nm.page_id
+  WHERE (contains(lower(url), split_part(lower(name), ' ', 1)) AND contains(lower(url), split_part(lower(name), ' ', -1))) OR contains(lower(own), lower(name)) GROUP BY ALL),
+nr AS (SELECT nm.page_id, nm.name, bl.url, bl.n, arg_min(block, depth) AS block FROM nm JOIN bl ON bl.page_id = nm.page_id WHERE contains(lower(block), lower(name)) GROUP BY ALL),
+nb2 AS (SELECT nr.page_id, nr.name, arg_min(url, n) AS url FROM nr WHERE NOT EXISTS (SELECT 1 FROM nm o WHERE o.page_id = nr.page_id AND lower(o.name) <> lower(nr.name) AND contains(lower(nr.block), lower(o.name)))
+  GROUP BY nr.page_id, nr.name)
+SELECT nm.page_id, nm.name, coalesce(dr.url, nb2.url, '') AS profile FROM nm LEFT JOIN dr ON dr.page_id = nm.page_id AND dr.name = nm.name LEFT JOIN nb2 ON nb2.page_id = nm.page_id AND nb2.name = nm.name""")
 def c16(spark, sf):
     """Every person of a page with the profile that is theirs."""
-    facts = said_facts(spark, sf).where(~F.col("is_legal"))
-    people = P.people_of_page(F.col("said"), F.col("nodes"))
-    joined = (facts.select("page_id", P.person_profiles(F.col("profiles")).alias("profiles"), people.alias("people"))
-              .withColumn("names", F.array_distinct(F.transform("people", lambda p: p["name"]))))
-    return (joined.select("page_id", "names", "profiles", F.explode("names").alias("name"))
-            .select("page_id", "name", P.matched_profile(F.col("name"), F.col("names"), F.col("profiles")).alias("profile")))
+    named = team_facts(spark, sf).select("page_id", "profiles", F.array_distinct(F.transform(P.people_of_page(F.col("said"), F.col("nodes")), lambda p: p["name"])).alias("names"))
+    found = with_profiles(named, F.col("names"), F.array("profiles"), "urls")
+    return (found.select("page_id", F.explode(F.arrays_zip("names", F.coalesce("urls", F.array().cast("array<string>")).alias("urls"))).alias("p"))
+            .select("page_id", F.col("p.names").alias("name"), F.coalesce("p.urls", F.lit("")).alias("profile")))
