@@ -47,3 +47,22 @@ def test_zip_lookup_is_a_hash_join(spark):
     assert sorted(r["s"] for r in out.collect()) == ["", "DC", "UT"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_signs_equal_their_patterns():
+    """Texts made of phrases, halves of phrases and odd letters: the automaton against each pattern by itself."""
+    import random
+    import re
+
+    from filingmatch import fixed_values as V
+    from filingmatch.operators import classify
+    lists = (V.STRONG_SIGNS, V.WEAK_SIGNS, V.OTHER_TRADE_SIGNS)
+    signs = classify.Signs(*lists)
+    rng = random.Random(3)
+    words = [p for ps in lists for x in ps for p in classify.phrases(x)]
+    assert {"managed it", "managed services"} <= set(words) and "a.i.-native" in words and "café" in words
+    assert all(re.fullmatch(x.replace("\\b", ""), p) for ps in lists for x in ps for p in classify.phrases(x))
+    for _ in range(2000):
+        said = "".join(rng.choice([w, w.upper(), w.title(), w[:-1], "é", "_", "9", "x"]) + rng.choice([" ", "-", ".", "", "\n", "s ", "é", "_"]) for w in rng.choices(words, k=rng.randint(0, 8)))
+        assert signs.counts(said) == [sum(bool(re.search(x, said, re.I)) for x in ps) for ps in lists], said
+    assert signs.counts("PLATFORMſ") == [1, 0, 0] and signs.counts("datá") == [0, 0, 0]
