@@ -127,18 +127,16 @@ def numbers_in_text(body: Column | str) -> Column:
     """Every phone-shaped number of a text with the 80 characters before it, lower case: array of (number, before)."""
     s = col(body)
 
-    def pair(found: Column) -> Column:
-        between = F.split(s, _PHONE, -1)
-
+    def pair(cut: Column) -> Column:
         def one(m: Column, i: Column) -> Column:
             start = F.greatest(i - 8, F.lit(0))                 # a number is ten characters or more: eight back fill the 80
             earlier = F.transform(F.sequence(start, i), lambda j: F.concat(
-                F.get(between, j), F.when(j < i, F.get(found, j)).otherwise(F.lit(""))))
+                F.get(cut["between"], j), F.when(j < i, F.get(cut["found"], j)).otherwise(F.lit(""))))
             return F.struct(m.alias("number"), F.lower(F.right(F.array_join(earlier, ""), F.lit(80))).alias("before"))
 
-        return F.transform(found, one)
+        return F.transform(cut["found"], one)
 
-    return let(F.regexp_extract_all(s, F.lit(_PHONE), F.lit(0)), pair)
+    return let(F.struct(F.regexp_extract_all(s, F.lit(_PHONE), F.lit(0)).alias("found"), F.split(s, _PHONE, -1).alias("between")), pair)
 
 
 def _belongs_to_others(before: Column) -> Column:

@@ -12,26 +12,27 @@ from ..functions.core import first_items, let, strip, text
 from ..functions.links import absolute_url, page_key, profile_url
 from ..functions.mail import bare_host, same_site, valid_email
 from ..functions.people import clean_title, is_lead, person_name
+from ..session import evaluated
 from ..sources.crawl import located
 from .dom import dom_facts
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """Adds `markup`, `body`, `head` and `links`: expressions only."""
-    return (located(pages).withColumn("markup", M.shown_markup("html"))
-            .withColumn("body", M.visible_text(F.col("markup")))
-            .withColumn("head", M.head_text(F.col("markup"))).withColumn("links", M.links(F.col("markup"))))
+    """Adds `markup`, `body`, `head` and `links`: expressions only, each worked out once per page."""
+    shown = evaluated(located(pages).withColumn("markup", M.shown_markup("html")))
+    return evaluated(shown.withColumns({"body": M.visible_text(F.col("markup")), "head": M.head_text(F.col("markup")), "links": M.links(F.col("markup"))}))
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """One row per page: url, host, path, whether it is a legal page, head, body, links, emails, phones, people, profiles.
     The HTML itself is dropped, so what is stored and shuffled later is a fraction of the crawl."""
-    return (page_texts(pages).withColumn("dom", dom_facts(F.col("html")))
+    facts = (page_texts(pages).withColumn("dom", dom_facts(F.col("html")))
             .select("page_id", "url", "host", "path", F.col("path").rlike(V.LEGAL_PATH).alias("is_legal"), "head", "body", "links",
                     M.emails(F.col("markup"), F.col("links"), F.col("body")).alias("emails"),
                     M.phones(F.col("links"), F.col("body")).alias("phones"),
                     ld_emails(F.col("dom.nodes")).alias("ld_emails"), ld_phones(F.col("dom.nodes")).alias("ld_phones"),
                     F.coalesce(F.col("dom.said"), F.col("body")).alias("said"), F.col("dom.nodes").alias("nodes"),
-                    company_profile(F.col("links")).alias("company_profile"), person_profiles(F.col("dom.profiles")).alias("profiles"))
+                    company_profile(F.col("links")).alias("company_profile"), person_profiles(F.col("dom.profiles")).alias("profiles")))
+    return (evaluated(facts)
             .withColumn("people", F.when(~F.col("is_legal"), people_of_page(F.col("said"), F.col("nodes")))).drop("said", "nodes"))
 
 

@@ -11,7 +11,7 @@ from ..functions.core import among, let, no_strings
 from ..functions.links import page_key
 from ..functions.mail import local_part, mail_domain, same_site
 from ..functions.people import is_lead
-from ..session import durable
+from ..session import durable, evaluated
 from .pages import home_pages, legal_targets, page_facts, page_index, page_texts, role_targets
 
 
@@ -87,8 +87,8 @@ def fold_sites(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
     real_mail = F.flatten(F.transform(real, lambda p: F.concat(p["ld_emails"], p["emails"])))
     real_phones = F.flatten(F.transform(real, lambda p: F.concat(p["ld_phones"], p["phones"])))
     company = F.filter(F.transform("pages", lambda p: p["company_profile"]), lambda u: u != "")
-    folded = (site.withColumn("_real_phones", real_phones).withColumn("_real_mail", real_mail)
-              .withColumn("page_emails", emails).withColumn("phones", order_phones(fold_phones(F.col("pages")), F.col("_real_phones")))
+    gathered = evaluated(site.withColumns({"_real_phones": real_phones, "_real_mail": real_mail, "page_emails": emails}))
+    folded = evaluated(gathered.withColumn("phones", order_phones(fold_phones(F.col("pages")), F.col("_real_phones")))
               .withColumn("emails", order_emails(F.col("page_emails"), F.col("site"))))
     return folded.select(
         "site", F.get(F.col("pages"), F.lit(0))["head"].alias("head"), F.get(F.col("pages"), F.lit(0))["url"].alias("url"),

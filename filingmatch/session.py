@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -73,3 +74,10 @@ def stored(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
 def durable(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut at a Parquet table on shared storage, removed when the program ends."""
     return stored(df)[0]
+
+
+def evaluated(df: DataFrame) -> DataFrame:
+    """The same rows, every column worked out here and once. Adjacent projections are merged by the optimizer, which copies an expression
+    into each of its uses, filters included: a page text used six times is parsed six times, and more where uses are nested. Columns that come
+    out of a generator are not merged; nothing is written or shuffled."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
