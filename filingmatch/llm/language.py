@@ -4,10 +4,11 @@ Every known word of a text adds its log frequency in each language. An unseen wo
 the longest known n-gram of at most four characters counts, then three, two and one, and the word adds their mean. The language with
 the highest sum wins; the score is its softmax share.
 
-Frequencies are counted over all training rows: a Spark task counts what stands between white space, splits each distinct
-piece once, and Spark sums the counts. Units (words, or n-grams of one length) with less than `min_share` of their language's
-count are left out of the model, which bounds it, and so the broadcast, to 1 / min_share units for each language and length
-(50,000 by default); a left-out unit counts as half the bound. Nothing but the text is read for a prediction.
+Frequencies are counted over all training rows. Runs of letters are cut and counted by Arrow, batch by batch; Spark sums the counts of the
+distinct runs, and only those become small-letter words and n-grams. Units (words, or n-grams of one length) with less than `min_share` of
+their language's count are left out of the model, which bounds it, and so the broadcast, to 1 / min_share units for each language and length
+(50,000 by default); a left-out unit counts as half the bound. With a `min_share` of 0 the model holds every unit. A prediction cuts its texts
+the same way, scores each distinct run of a batch once and adds up by document; nothing but the text is read for it.
 
 A null text, or one without a letter, is `und` with score 0, as is every text when nothing was learned. Texts of any length
 are read whole. A null doc_id is neither held out nor learned from. Repeated rows count as often as they occur and come out
@@ -21,6 +22,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,24 +33,22 @@ from .common import arrow_map, held
 
 SIZES = (4, 3, 2, 1)
 MIN_SHARE = 2e-5
+#: Distinct runs that a counting task holds, and runs whose scores a worker remembers.
 PIECES = 200_000
 CACHED = 250_000
-CHUNK = 65_536
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
+_BETWEEN = r"[^\p{L}]+"
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def words(piece: str) -> list[str]:
-    return [piece] if piece.isalpha() else _LETTERS.findall(piece)
-
-
-def split(text: str) -> list[str]:
-    """What stands between white space, in small letters. No word spans a dot or comma, and without them fewer pieces differ."""
-    return text.lower().replace(".", " ").replace(",", " ").split()
+def words(run: str) -> list[str]:
+    """The words of a run of letters, in small letters (a letter may become several, marks among them)."""
+    low = run.lower()
+    return [low] if low.isalpha() else _LETTERS.findall(low)
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -55,40 +56,56 @@ def grams(word: str, size: int) -> list[str]:
     return [w[i:i + size] for i in range(len(w) - size + 1)]
 
 
-def _count(batches: Iterator[dict]) -> Iterator[dict]:
-    """(lang, size, unit, n): words have size 0. What was counted is sent on whenever many different pieces are held."""
-    held: dict[str, Counter] = defaultdict(Counter)
+def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The runs of letters of some texts: for each its text's place and its number in the list of distinct runs. Empty runs, at the ends of
+    a text, are among them."""
+    cut = pc.split_pattern_regex(texts, _BETWEEN)
+    coded = cut.flatten().dictionary_encode()
+    return pc.list_parent_indices(cut).to_numpy(), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+
+def _count_runs(batches: Iterator[dict]) -> Iterator[dict]:
+    """(lang, run, n). What was counted is sent on whenever many different runs are held."""
+    counts: dict[str, Counter] = defaultdict(Counter)
 
     def flush() -> dict:
-        out = {"lang": [], "size": [], "unit": [], "n": []}
-        for lang, pieces in held.items():
-            known: Counter = Counter()
-            for p, n in pieces.items():
-                for w in words(p):
-                    known[w] += n
-            sized = [(0, known)]
-            for size in SIZES:
-                c: Counter = Counter()
-                for w, n in known.items():
-                    for g in grams(w, size):
-                        c[g] += n
-                sized.append((size, c))
-            for size, c in sized:
-                out["lang"] += [lang] * len(c)
-                out["size"] += [size] * len(c)
-                out["unit"] += c.keys()
-                out["n"] += c.values()
-        held.clear()
+        out = {"lang": [], "run": [], "n": []}
+        for lang, c in counts.items():
+            out["lang"] += [lang] * len(c)
+            out["run"] += c.keys()
+            out["n"] += c.values()
+        counts.clear()
         return out
 
     for b in batches:
-        for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-            held[lang].update(split(text))
-        if sum(map(len, held.values())) > PIECES:
+        langs = b["lang"].dictionary_encode()
+        of, code, distinct = runs(b["text"])
+        both = langs.indices.to_numpy(zero_copy_only=False)[of].astype(np.int64) * max(1, len(distinct)) + code
+        keys, n = np.unique(both, return_counts=True)
+        names = langs.dictionary.to_pylist()
+        for key, times in zip(keys.tolist(), n.tolist(), strict=True):
+            at, run = divmod(key, len(distinct))
+            if distinct[run]:
+                counts[names[at]][distinct[run]] += times
+        if sum(map(len, counts.values())) > PIECES:
             yield flush()
     yield flush()
 
 
+def _count_units(batches: Iterator[dict]) -> Iterator[dict]:
+    """(lang, size, unit, n) of counted runs: words have size 0."""
+    for b in batches:
+        units: Counter = Counter()
+        for lang, run, n in zip(b["lang"].to_pylist(), b["run"].to_pylist(), b["n"].to_pylist(), strict=True):
+            for w in words(run):
+                units[lang, 0, w] += n
+                for size in SIZES:
+                    for g in grams(w, size):
+                        units[lang, size, g] += n
+        langs, sizes, names = zip(*units) if units else ((), (), ())
+        yield {"lang": list(langs), "size": list(sizes), "unit": list(names), "n": list(units.values())}
+
+
 class Model:
     """Log frequencies by unit: `words[w]` and `grams[g]` are rows of `logs`, one column per language."""
 
@@ -104,7 +121,7 @@ class Model:
         self._start()
 
     def _start(self) -> None:
-        self.place: dict[str, int] = {}                                 # piece to row of `sums`
+        self.place: dict[str, int] = {}                                 # run to row of `sums`
         self.sums = np.zeros((CACHED, len(self.langs) + 1))
 
     def __getstate__(self):
@@ -132,61 +149,67 @@ class Model:
             found.append(at)
         return found
 
-    def score(self, pieces: list[str]) -> np.ndarray:
-        """Sums of pieces between white space, one row each, the last column being their number of words."""
+    def score(self, some: list[str]) -> np.ndarray:
+        """Sums of runs, one row each, the last column being their number of words."""
         rows, owner, size, n_words = [], [], [], []
-        for k, p in enumerate(pieces):
-            known = words(p)
+        for k, run in enumerate(some):
+            known = words(run) if run else []
             n_words.append(len(known))
             for w in known:
                 found = self.units(w)
                 rows += found
                 owner.append(k)
                 size.append(len(found))
-        out = np.zeros((len(pieces), len(self.langs) + 1))
+        out = np.zeros((len(some), len(self.langs) + 1))
         out[:, -1] = n_words
         if rows:
             n = np.array(size)
             owners, shares = np.repeat(owner, n), np.repeat(1 / np.maximum(n, 1), n)
             for j in range(len(self.langs)):
-                out[:, j] = np.bincount(owners, weights=self.logs[rows, j] * shares, minlength=len(pieces))
+                out[:, j] = np.bincount(owners, weights=self.logs[rows, j] * shares, minlength=len(some))
         return out
 
-    def total(self, pieces: list[str]) -> np.ndarray:
-        """The sum over some pieces; those not seen lately are scored together, and the memory of pieces starts anew when full."""
+    def scores(self, distinct: list[str]) -> np.ndarray:
+        """`score` of distinct runs; those not seen lately are scored together, and the memory of runs starts anew when full."""
         place = self.place
-        new = list({p for p in pieces if p not in place})
+        new = [r for r in distinct if r not in place]
         if len(place) + len(new) > CACHED:
             place.clear()
-            new = list(set(pieces))
+            new = distinct
+            if len(new) > CACHED:
+                return self.score(new)
         self.sums[len(place):len(place) + len(new)] = self.score(new)
         place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-        return self.sums[[place[p] for p in pieces]].sum(axis=0)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs:
-            return UNKNOWN, 0.0
-        pieces = split(text)
-        total = sum((self.total(pieces[i:i + CHUNK]) for i in range(0, len(pieces), CHUNK)), np.zeros(len(self.langs) + 1))
-        if not total[-1]:
-            return UNKNOWN, 0.0
-        logs = total[:-1] - total[:-1].max()
-        share = np.exp(logs) / np.exp(logs).sum()
-        best = int(share.argmax())
-        return self.langs[best], float(share[best])
+        return self.sums[[place[r] for r in distinct]]
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        out, share = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if not self.langs or not len(texts):
+            return out, share
+        of, code, distinct = runs(texts)
+        sums = self.scores(distinct)
+        totals = np.stack([np.bincount(of, weights=sums[code, j], minlength=len(texts)) for j in range(sums.shape[1])], axis=1)
+        logs = totals[:, :-1] - totals[:, :-1].max(axis=1, keepdims=True)
+        shares = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)
+        best = shares.argmax(axis=1)
+        for k in np.flatnonzero(totals[:, -1]).tolist():
+            out[k], share[k] = self.langs[best[k]], float(shares[k, best[k]])
+        return out, share
 
 
 def train(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
     """The model of `labelled` (lang, text; rows with a null in either are passed over)."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
-    counted = arrow_map(rows, _count, "lang string, size int, unit string, n long").groupBy("lang", "size", "unit").agg(F.sum("n").alias("n"))
-    counts, _ = stored(counted, "units")
+    counted, _ = stored(arrow_map(rows, _count_runs, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")), "runs")
+    counts, _ = stored(arrow_map(counted, _count_units, "lang string, size int, unit string, n long").groupBy("lang", "size", "unit").agg(F.sum("n").alias("n")), "units")
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     kept = counts.join(totals, ["lang", "size"]).where(F.col("n") >= min_share * F.col("total")).select("size", "unit", "lang", (F.col("n") / F.col("total")).alias("share"))
     by_unit: dict[tuple[int, str], dict[str, float]] = defaultdict(dict)
     for r in kept.toLocalIterator():
         by_unit[r.size, r.unit][r.lang] = r.share
-    return Model(sorted({lang for share in by_unit.values() for lang in share}), [(s, u, x) for (s, u), x in sorted(by_unit.items())], min_share / 2)
+    floor = (min_share or min((x for share in by_unit.values() for x in share.values()), default=1.0)) / 2
+    return Model(sorted({lang for share in by_unit.values() for lang in share}), [(s, u, x) for (s, u), x in sorted(by_unit.items())], floor)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,16 +218,16 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            got = [held(shared).predict(t) for t in b["text"].to_pylist()]
-            yield {"doc_id": b["doc_id"], "lang_pred": [x for x, _ in got], "score": [x for _, x in got]}
+            langs, scores = held(shared).predict(b["text"])
+            yield {"doc_id": b["doc_id"], "lang_pred": langs, "score": scores}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of `docs` (doc_id, text, lang), learned from the rows that are not held
     out."""
-    model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("lang", "text"))
+    model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("lang", "text"), min_share)
     return predicted(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -216,7 +239,7 @@ def keep_readable(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     @F.pandas_udf("boolean")
     def readable(text):
         import pandas as pd
-        got = [held(shared).predict(None if t is None else t) for t in text]
-        return pd.Series([x != UNKNOWN and s >= min_score for x, s in got], dtype=bool)
+        langs, scores = held(shared).predict(pa.array(text, pa.string(), from_pandas=True))
+        return pd.Series([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores, strict=True)], dtype=bool)
 
     return docs.where(readable("text"))

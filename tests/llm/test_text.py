@@ -1,12 +1,16 @@
 """Decontamination, language, tokens, shards, pages and URLs against brute force."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -75,6 +79,51 @@ def test_languages(spark):
     assert [tuple(r)[2:] for r in language.identify(unlearned).collect()] == [("und", 0.0)] and language.identify(unlearned.limit(0)).count() == 0
 
 
+def brute_language(train, texts):
+    """Counts, backoff and softmax word by word, with a model of all units."""
+    units = defaultdict(lambda: defaultdict(Counter))
+    for t, lang in train:
+        for w in regex.findall(r"\p{L}+", (t or "").lower()):
+            units[lang][0][w] += 1
+            for n in (1, 2, 3, 4):
+                units[lang][n].update(f"_{w}_"[i:i + n] for i in range(len(w) + 3 - n))
+    langs = sorted(units)
+    share = {k: {n: {u: x / sum(c.values()) for u, x in c.items()} for n, c in units[k].items()} for k in langs}
+    floor = min(x for k in langs for c in share[k].values() for x in c.values()) / 2
+    known = lambda n, u: any(u in share[k][n] for k in langs)                                   # noqa: E731
+    out = []
+    for t in texts:
+        found = regex.findall(r"\p{L}+", (t or "").lower())
+        total = dict.fromkeys(langs, 0.0)
+        for w in found:
+            if known(0, w):
+                parts = [(0, w)]
+            else:
+                parts = [next(((n, f"_{w}_"[i:i + n]) for n in (4, 3, 2, 1) if known(n, f"_{w}_"[i:i + n])), None) for i in range(len(w) + 2)]
+                parts = [x for x in parts if x]
+            for k in langs:
+                total[k] += sum(math.log(share[k][n].get(u, floor)) for n, u in parts) / max(1, len(parts))
+        top = max(total.values())
+        size = {k: math.exp(v - top) for k, v in total.items()}
+        best = max(langs, key=lambda k: size[k])
+        out.append((best, size[best] / sum(size.values())) if found else ("und", 0.0))
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    letters = {"aa": "abcdeé", "bb": "cdefgü", "cc": "xyzaİß"}
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randint(1, 7)))          # noqa: E731
+    rows = [(i, rng.choice([" ", ", ", "-", "'"]).join(rng.choice([word(k), word(k).upper(), "12", "日本"]) for _ in range(rng.randint(0, 12))), k) for i in range(150) for k in [rng.choice(sorted(letters))]]
+    rows += [(900, "x" * 300000, None), (901, "Straße ΟΔΟΣ e\u0301a", None), (902, None, "aa"), (903, "a " * 50000, "bb")]
+    train = [(t, k) for i, t, k in rows if k is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = brute_language(train, [t for _, t, _ in rows])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(documents(spark, rows), min_share=0).collect()}
+    for (i, _, _), (lang, score) in zip(rows, want):
+        assert abs(got[i][1] - score) < 1e-6 and (got[i][0] == lang or score < 0.51), i
+    assert language.runs(pa.array(["a1b", None, "", "b"]))[2] == ["a", "b", ""]
+
+
 def test_prediction_reads_text_only(spark):
     rows = [(i, "pat pit pot" if i % 2 else "zum zam muz", "aa" if i % 2 else "bb") for i in range(40)]
     docs = documents(spark, rows)
