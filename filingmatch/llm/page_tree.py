@@ -12,10 +12,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(("html head body article main section div header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
                    "blockquote pre figure figcaption address fieldset details summary hgroup center dialog menu search").split())
 SKIP = frozenset("head title script style noscript template svg math iframe object canvas nav footer aside form button select textarea label menu dialog search".split())
-#: An element whose class or id has one of these words is no part of an article.
+#: An element outside article and main is left out if a token of its class, id or role is one of these words or a compound that ends in one.
 SKIP_WORDS = frozenset(("ad ads advert advertisement adverts sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar "
                         "cookie cookies consent notice banner popup modal newsletter subscribe signup share sharing social related comment comments respond reply "
                         "disqus widget toolbar pagination").split())
+#: The same inside article and main, for whole tokens only: what readers and advertisers add to an article.
+SKIP_INSIDE = frozenset("ad ads advert advertisement adverts sponsored comments comment-list comments-area comment-section".split())
 CLOSES_P = BLOCK - {"html", "head", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -47,6 +49,20 @@ def roles(attrs: list[tuple[str, str | None]]) -> list[str]:
     return out
 
 
+def left_out(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    """Do class, id or role say that an element is no part of an article? Numbers at the end of a token do not count."""
+    for k, v in attrs:
+        if v and k in ("class", "id", "role"):
+            for token in v.lower().split():
+                parts = [w for w in _PARTS.split(token) if w and not w.isdigit()]
+                if inside:
+                    if token in SKIP_INSIDE:
+                        return True
+                elif parts and parts[-1] in SKIP_WORDS and {"has", "with", "without", "no"}.isdisjoint(parts):
+                    return True
+    return False
+
+
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -92,7 +108,7 @@ class _Reader(HTMLParser):
                     break
         _, above, skipped = self.open[-1]
         names = roles(attrs) if attrs else []
-        skip = skipped or tag in SKIP or (tag != "body" and tag != "html" and tag != "article" and tag != "main" and not SKIP_WORDS.isdisjoint(names)) or (tag == "header" and not above.main)
+        skip = skipped or tag in SKIP or (tag == "header" and not above.main) or (bool(names) and tag not in ("html", "body", "article", "main") and left_out(attrs, above.main))
         node = above
         if tag in BLOCK:
             self.flush()
@@ -195,5 +211,59 @@ def align(a, b, memo: dict | None = None) -> list[tuple]:
     return out
 
 
+def written(tree: Node) -> str:
+    """The labels of a tree, one line per node with its depth, parents first."""
+    out, todo = [], [(0, tree)]
+    while todo:
+        depth, n = todo.pop()
+        out.append(f"{depth}\t{n.label}")
+        todo += [(depth + 1, c) for c in reversed(n.children)]
+    return "\n".join(out)
+
+
+def parsed(text: str) -> tuple[Node, list[Node]]:
+    """The tree of `written` labels, and its nodes in that order."""
+    path: list[Node] = []
+    nodes = []
+    for line in text.split("\n"):
+        depth, label = line.split("\t", 1)
+        n = Node(label, False)
+        del path[int(depth):]
+        if path:
+            path[-1].children.append(n)
+        path.append(n)
+        nodes.append(n)
+    return nodes[0], nodes
+
+
+def merge(template: Node, other: Node) -> None:
+    """Adds to `template` the nodes of `other` that its largest match with it leaves over, each at its place."""
+    own = {id(y): x for x, y in align(template, other)}
+    todo = [(template, other)]
+    while todo:
+        x, y = todo.pop()
+        place = {id(c): i for i, c in enumerate(x.children)}
+        children, at = [], 0
+        for c in y.children:
+            met = own.get(id(c))
+            if met is None:
+                children.append(c)
+            else:
+                end = place[id(met)] + 1
+                children += x.children[at:end]
+                at = end
+                todo.append((met, c))
+        x.children = children + x.children[at:]
+
+
+def slots(template: str, tree: str) -> list[int]:
+    """For each node of `tree` the number of the template's node it matches, -1 where none."""
+    top, nodes = parsed(template)
+    other, rest = parsed(tree)
+    number = {id(n): i for i, n in enumerate(nodes)}
+    own = {id(y): number[id(x)] for x, y in align(top, other)}
+    return [own.get(id(n), -1) for n in rest]
+
+
 def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))

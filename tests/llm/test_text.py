@@ -243,8 +243,8 @@ def test_constants_of_every_layout_and_language(spark):
 
 def test_roles_of_elements():
     html = "<div class='page has-sidebar content_with_menu'><p>In</p><div class='post-comments'>c</div><div id=ad_12>x</div><span class='share'>s</span></div>"
-    assert html_text.extract(html, None) == "In"
-    assert html_text.extract("<body class='no-ads'><header>h</header><article><header><h1>T</h1></header><p>x<footer>f</footer></article></body>", None) == "T\nx"
+    assert html_text.extract(html, None, None) == "In"
+    assert html_text.extract("<body class='no-ads'><header>h</header><article><header><h1>T</h1></header><p>x<footer>f</footer></article></body>", None, None) == "T\nx"
 
 
 def test_tree_matching():
@@ -325,3 +325,70 @@ def test_url_model_equals_a_plain_one(spark):
 
     assert set(got) == {g for g, _, _ in events}
     assert all(abs(got[g] - np.log(p(g, "allow") / p(g, "block"))) < 1e-9 for g in got)
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"https://a.example.com/{i}", html) for i, html in enumerate(pages)]
+    return [r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_a_varying_slot_keeps_all_its_values(spark):
+    """A byline that a fifth of the pages share is content; a line in two languages is not; a line nearly all pages show goes from a list that varies."""
+    pages = [f"<body><article><h1>Title {i}</h1><p class=by>{'By Staff' if i % 5 == 0 else f'By Writer {i}'}</p><p>Body {i}</p><div class=low>{'Imprint' if i % 2 else 'Impressum'}</div></article></body>" for i in range(40)]
+    assert texts_of(spark, pages) == [f"Title {i}\n{'By Staff' if i % 5 == 0 else f'By Writer {i}'}\nBody {i}" for i in range(40)]
+    pages = [f"<body><div class=text><p>One {i}</p><p>Read more</p><p>Two {i}</p></div></body>" for i in range(20)]
+    assert texts_of(spark, pages) == [f"One {i}\nTwo {i}" for i in range(20)]
+
+
+def test_roles_do_not_cut_articles():
+    inside = ("<article><div class='article-header'><h1>Title</h1></div><p>Body</p><section id='related-work'><p>Prior</p></section><p class='notice'>Mind this</p>"
+              "<div class='comments'>c</div><div class=ad>x</div></article>")
+    assert html_text.extract(inside, None, None) == "Title\nBody\nPrior\nMind this"
+    assert html_text.extract("<div class='social-science'><p>Study</p></div><div class='cookie-notice'>c</div><div class='site-header'>h</div>", None, None) == "Study"
+
+
+def test_templates_equal_a_brute_force_inducer(spark):
+    """Generated sites whose siblings all differ in label, so that a slot is a path: constants by counting over paths."""
+    rng = random.Random(6)
+
+    def site(seed):
+        r = random.Random(seed)
+        layouts = [[(f"b{k}", r.choice(["fixed", "own", "lang", "rare", "mixed"])) for k in r.sample(range(12), r.randint(3, 8))] for _ in range(3)]
+        for lay in layouts:
+            lay.sort()
+        pages = []
+        for i in range(60):
+            lay = layouts[r.choices(range(3), [6, 3, 1])[0]]
+            value = {"fixed": lambda b: f"fixed {b}", "own": lambda b: f"text {b} {i}", "lang": lambda b: f"{r.choice(['de', 'en', 'fr'])} {b}",
+                     "rare": lambda b: f"fixed {b}" if r.random() < 0.3 else f"rare {b} {i}", "mixed": lambda b: f"fixed {b}" if r.random() < 0.95 else f"odd {b} {i}"}
+            pages.append([(b, value[kind](b)) for b, kind in lay])
+        return pages
+
+    def expected(pages):
+        distinct = {tuple(p) for p in pages}
+        count, seen = Counter(x for p in distinct for x in p), Counter(b for p in distinct for b, _ in p)
+        gone = set()
+        for b in seen:
+            common = {v: n for (s, v), n in count.items() if s == b and n >= 4 and n >= 0.1 * seen[b]}
+            fixed = sum(common.values()) >= 0.9 * seen[b]
+            gone |= {(b, v) for v, n in common.items() if fixed or n >= 0.9 * seen[b]}
+        return ["\n".join(v for b, v in p if (b, v) not in gone) for p in pages]
+
+    sites = [site(rng.random()) for _ in range(4)]
+    rows = [(100 * s + i, f"https://s{s}.example.com/{i}", "<body>" + "".join(f"<div class={b}><section><p>{v}</p></section></div>" for b, v in p) + "</body>") for s, pages in enumerate(sites) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for s, pages in enumerate(sites):
+        assert [got[100 * s + i] for i in range(len(pages))] == expected(pages)
+
+
+def test_merged_templates_hold_every_tree():
+    rng = random.Random(4)
+    trees = ["\n".join(["0\t#root"] + [f"{d}\t{rng.choice('abcd')}" for d in [1, 2, 2, 1, 2, 3][:rng.randint(1, 6)]]) for _ in range(60)]
+    top = page_tree.parsed(trees[0])[0]
+    for t in trees[1:]:
+        page_tree.merge(top, page_tree.parsed(t)[0])
+    whole = page_tree.written(top)
+    assert page_tree.written(page_tree.parsed(whole)[0]) == whole
+    for t in trees:
+        found = page_tree.slots(whole, t)
+        assert -1 not in found and found == sorted(found) and found[0] == 0
