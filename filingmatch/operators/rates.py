@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ..session import durable
 from .skew import salted_join
 
 WINDOW_SECONDS = 900
 KEEP_SECONDS = 86_400
+#: Rows of a slice of time that one task folds.
+SLICE_ROWS = 100_000
 
 
 def micros(ts: str) -> Column:
@@ -52,75 +57,105 @@ def _bursts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     return counted.withColumn("_inside", F.sum("_start").over(inside)).join(shift, [key, "_b"]).withColumn("_burst", F.col("_shift") + F.col("_inside"))
 
 
-def admitted(events: DataFrame, key: str, ts: str, event_id: str, limit: int, seconds: int = WINDOW_SECONDS) -> DataFrame:
+def admitted(events: DataFrame, key: str, ts: str, event_id: str, limit: int, seconds: int = WINDOW_SECONDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds `admitted`: an event passes while fewer than `limit` admitted events of its key lie in the window before it; a refused
     one leaves no trace. Events of one key at one instant are taken in id order.
 
-    Bursts that never exceed the limit pass as a whole without any fold. The others are folded in time order, burst by burst, by
-    tasks that read sorted batches and hold at most `limit` instants.
+    Bursts that never exceed the limit pass as a whole without any fold. The others are folded in slices of time (`_folded`), so a burst of
+    one hot key is many tasks.
     """
     marked = (_bursts(events, key, ts, seconds)
               .withColumn("_group", F.concat_ws("|", F.col(key).cast("string"), F.col("_burst").cast("string"))))
     tight = marked.groupBy("_group").agg(F.max("n").alias("_most")).where(F.col("_most") > limit).select("_group", F.lit(True).alias("_tight"))
-    flagged = salted_join(marked, tight, "_group", event_id, how="left")
+    flagged = durable(salted_join(marked, tight, "_group", event_id, how="left"))
     columns = events.columns
     free = flagged.where(F.col("_tight").isNull()).select(*columns, F.lit(True).alias("admitted"))
-    span = seconds * 1_000_000
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, passed = None, deque()
-        for batch in batches:
-            verdicts = []
-            for g, t in zip(batch["_group"], batch["_us"]):
-                if g != group:
-                    group, passed = g, deque()
-                while passed and passed[0] <= t - span:
-                    passed.popleft()
-                verdicts.append(len(passed) < limit)
-                if verdicts[-1]:
-                    passed.append(t)
-            yield batch[[event_id]].assign(admitted=verdicts)
-
     contested = flagged.where(F.col("_tight"))
-    ordered = contested.select(event_id, "_group", "_us").repartition("_group").sortWithinPartitions("_group", "_us", event_id)
-    kind = events.schema[event_id].dataType.simpleString()
-    verdicts = ordered.mapInPandas(fold, f"{event_id} {kind}, admitted boolean")
-    return free.unionByName(contested.select(*columns).join(verdicts, event_id))
+    verdicts = _folded(contested.select(F.col(event_id).alias("_id"), F.array("_group").alias("_keys"), "_us"), lambda k: limit, seconds, slice_rows)
+    return free.unionByName(contested.select(*columns).join(verdicts.withColumnRenamed("_id", event_id), event_id))
 
 
-def released(events: DataFrame, returned: DataFrame, event_id: str) -> DataFrame:
-    """The log without reservations that were given back; judged again, they leave room for others."""
-    return events.join(returned.select(event_id), event_id, "left_anti")
-
+def _folded(rows: DataFrame, limit_of: Callable[[str], int], seconds: int, slice_rows: int) -> DataFrame:
+    """(_id, admitted) of rows (_id, _keys, _us): in order of time, then id, a row passes while each of its keys is under its limit
+    among the passed rows of the window before it.
 
-def reserved(events: DataFrame, keys: str, ts: str, event_id: str, limits: dict[str, int], seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Admission against several keys at once: an event passes only while every one of its keys (array of `kind:value`) is under the
-    limit of its kind, and then counts against all of them. Keys meet in events, so order decides among all of them; only where
-    nothing happened at all for a whole window is the past forgotten. Each such burst is folded in time order, with at most `limit`
-    instants per key in memory, and a burst may be as long as the log."""
+    The log is cut into slices of time, each folded by itself from the state that the slice before it leaves: the instants still in
+    the window, at most the limit per key. That state is not known at first, so rounds repeat: all slices start from nothing, then every slice
+    whose incoming state turns out to be another one is folded again, until none is. The first k slices are final after k rounds at the
+    latest; as a state forgets what is older than a window, the rounds are few in practice. No task sees more than one slice.
+    """
     span = seconds * 1_000_000
-    placed = _bursts(events.withColumn("_all", F.lit(0)), "_all", ts, seconds).withColumn("_g", F.col("_burst").cast("string"))
+    parts = max(1, -(-rows.count() // slice_rows))
+    dealt = durable(rows.repartitionByRange(parts, "_us", "_id").withColumn("_slice", F.spark_partition_id()))
+    kind = dealt.schema["_id"].dataType.simpleString()
+    state = "array<struct<key: string, us: long>>"
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, passed = None, {}
-        for batch in batches:
-            verdicts = []
-            for g, ks, t in zip(batch["_g"], batch["_keys"], batch["_us"]):
-                if g != current:
-                    current, passed = g, {}
+
+        def left(last: int) -> list[dict]:
+            return [{"key": k, "us": t} for k in sorted(passed) for t in passed[k] if t > last - span]
+
+        last = 0
+        for b in batches:
+            ids, keys, us, slices, start = (b.column(n).to_pylist() for n in ("_id", "_keys", "_us", "_slice", "_start"))
+            out_id, out_slice, verdicts, ends = [], [], [], []
+            for i, ks, t, s, first in zip(ids, keys, us, slices, start):
+                if s != current:
+                    if current is not None:
+                        out_id.append(None), out_slice.append(current), verdicts.append(None), ends.append(left(last))
+                    current, passed = s, {}
+                    for x in first or []:
+                        passed.setdefault(x["key"], deque()).append(x["us"])
+                last = t
                 queues = [passed.setdefault(k, deque()) for k in ks]
                 for q in queues:
                     while q and q[0] <= t - span:
                         q.popleft()
-                ok = all(len(q) < limits[k.split(":", 1)[0]] for k, q in zip(ks, queues))
-                verdicts.append(ok)
+                ok = all(len(q) < limit_of(k) for k, q in zip(ks, queues))
                 if ok:
                     for q in queues:
                         q.append(t)
-                passed = {k: q for k, q in passed.items() if q} if len(passed) > 10_000 else passed
-            yield batch[[event_id]].assign(admitted=verdicts)
+                out_id.append(i), out_slice.append(s), verdicts.append(ok), ends.append(None)
+                if len(passed) > 10_000:
+                    passed = {k: q for k, q in passed.items() if q and q[-1] > t - span}
+            yield table(out_id, out_slice, verdicts, ends)
+        if current is not None:
+            yield table([None], [current], [None], [left(last)])
+
+    def table(out_id, out_slice, verdicts, ends) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out_id, arrow[0].type), pa.array(out_slice, pa.int32()), pa.array(verdicts, pa.bool_()), pa.array(ends, arrow[3].type)], schema=arrow)
+
+    schema = f"_id {kind}, _slice int, admitted boolean, _end {state}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    starts = durable(dealt.select("_slice").distinct().select("_slice", F.lit(None).cast(state).alias("_start")))
+    done, ends = None, None
+    while True:
+        todo = dealt.join(F.broadcast(starts), "_slice") if parts > 1 else dealt.withColumn("_start", F.lit(None).cast(state))
+        ordered = todo.repartition("_slice").sortWithinPartitions("_slice", "_us", "_id")
+        made = durable(ordered.select("_id", "_keys", "_us", "_slice", "_start").mapInArrow(fold, schema))
+        again = made.select("_slice").distinct()
+        verdicts = made.where("_id is not null").select("_id", "_slice", "admitted")
+        new_ends = made.where("_end is not null").join(starts, "_slice").select("_slice", "_start", "_end")
+        done = verdicts if done is None else durable(done.join(F.broadcast(again), "_slice", "left_anti").unionByName(verdicts))
+        ends = durable(new_ends if ends is None else ends.join(F.broadcast(again), "_slice", "left_anti").unionByName(new_ends))
+        order = Window.orderBy("_slice")
+        changed = ends.select("_slice", "_start", F.lag("_end").over(order).alias("_given")).where(
+            F.coalesce("_start", F.array().cast(state)) != F.coalesce("_given", F.array().cast(state)))
+        starts = durable(changed.select("_slice", F.col("_given").alias("_start")))
+        if parts == 1 or starts.isEmpty():
+            return done.select("_id", "admitted")
+
+
+def released(events: DataFrame, returned: DataFrame, event_id: str) -> DataFrame:
+    """The log without reservations that were given back; judged again, they leave room for others."""
+    return events.join(returned.select(event_id), event_id, "left_anti")
 
-    kind = events.schema[event_id].dataType.simpleString()
-    ordered = (placed.select(event_id, "_g", F.col(keys).alias("_keys"), "_us")
-               .repartition("_g").sortWithinPartitions("_g", "_us", event_id))
-    return events.join(ordered.mapInPandas(fold, f"{event_id} {kind}, admitted boolean"), event_id)
+
+def reserved(events: DataFrame, keys: str, ts: str, event_id: str, limits: dict[str, int], seconds: int = WINDOW_SECONDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Admission against several keys at once: an event passes only while every one of its keys (array of `kind:value`) is under the
+    limit of its kind, and then counts against all of them. Keys meet in events, so order decides among all of them: the log is folded in
+    slices of time until their states agree (`_folded`)."""
+    rows = events.select(F.col(event_id).alias("_id"), F.col(keys).alias("_keys"), micros(ts).alias("_us"))
+    verdicts = _folded(rows, lambda k: limits[k.split(":", 1)[0]], seconds, slice_rows)
+    return events.join(verdicts.withColumnRenamed("_id", event_id), event_id)
