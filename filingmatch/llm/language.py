@@ -51,11 +51,6 @@ def words(run: str) -> list[str]:
     return [low] if low.isalpha() else _LETTERS.findall(low)
 
 
-def grams(word: str, size: int) -> list[str]:
-    w = f"_{word}_"
-    return [w[i:i + size] for i in range(len(w) - size + 1)]
-
-
 def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The runs of letters of some texts: for each its text's place and its number in the list of distinct runs. Empty runs, at the ends of
     a text, are among them."""
@@ -93,17 +88,32 @@ def _count_runs(batches: Iterator[dict]) -> Iterator[dict]:
 
 
 def _count_units(batches: Iterator[dict]) -> Iterator[dict]:
-    """(lang, size, unit, n) of counted runs: words have size 0."""
+    """(lang, size, unit, n) of counted runs: words have size 0. What was counted is sent on whenever many units are held."""
+    counts: dict[str, list[Counter]] = defaultdict(lambda: [Counter() for _ in range(1 + len(SIZES))])
+
+    def flush() -> dict:
+        out = {"lang": [], "size": [], "unit": [], "n": []}
+        for lang, sized in counts.items():
+            for size, c in zip((0, *SIZES), sized, strict=True):
+                out["lang"] += [lang] * len(c)
+                out["size"] += [size] * len(c)
+                out["unit"] += c.keys()
+                out["n"] += c.values()
+        counts.clear()
+        return out
+
     for b in batches:
-        units: Counter = Counter()
         for lang, run, n in zip(b["lang"].to_pylist(), b["run"].to_pylist(), b["n"].to_pylist(), strict=True):
-            for w in words(run):
-                units[lang, 0, w] += n
-                for size in SIZES:
-                    for g in grams(w, size):
-                        units[lang, size, g] += n
-        langs, sizes, names = zip(*units) if units else ((), (), ())
-        yield {"lang": list(langs), "size": list(sizes), "unit": list(names), "n": list(units.values())}
+            known, *sized = counts[lang]
+            for word in words(run):
+                known[word] += n
+                w = f"_{word}_"
+                for size, c in zip(SIZES, sized):
+                    for i in range(len(w) - size + 1):
+                        c[w[i:i + size]] += n
+        if sum(len(c) for sized in counts.values() for c in sized) > PIECES:
+            yield flush()
+    yield flush()
 
 
 class Model:
