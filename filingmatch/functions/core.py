@@ -39,20 +39,25 @@ def strings(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-_LITERALS: dict[tuple[str, ...], list[Column]] = {}
+_LISTS: dict[tuple[str, ...], object] = {}
 _OWNER: list = [None]
 
 
 def among(c: Column | str, words: Iterable[str]) -> Column:
-    """Membership in a list of words: Catalyst makes one hashed set of it. The constants of a list are made once."""
-    gateway = SparkContext._gateway
-    if _OWNER[0] is not gateway:
-        _OWNER[0] = gateway
-        _LITERALS.clear()
+    """Membership in a list of words: Catalyst makes one hashed set of it. A list goes to the JVM once and is handed over as a whole after that;
+    `isin` would send every word anew with each use, which took longer than the queries."""
+    context = SparkContext._active_spark_context
+    if _OWNER[0] is not context:
+        _OWNER[0] = context
+        _LISTS.clear()
     key = tuple(words)
-    if key not in _LITERALS:
-        _LITERALS[key] = [F.lit(w) for w in key]
-    return F.coalesce(col(c).isin(_LITERALS[key]), F.lit(False))
+    if key not in _LISTS:
+        held = context._jvm.java.util.ArrayList()
+        for w in key:
+            held.add(w)
+        _LISTS[key] = held
+    own = col(c)
+    return F.coalesce(type(own)(own._jc.isInCollection(_LISTS[key])), F.lit(False))
 
 
 def first_chars(c: Column, n: int | None) -> Column:

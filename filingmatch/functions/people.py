@@ -79,28 +79,32 @@ def _is_particle(t: Column, inside: Column) -> Column:
 
 
 def _word_ok(t: Column, i: Column, toks: Column, last: Column, lead: Column, given: Column) -> Column:
-    """Does the word at place `i` fit a person's name?"""
+    """Does the word at place `i` fit a person's name? Its forms are worked out once, whatever asks for them."""
     inside = (i > 0) & (i < last)
-    bare = _no_dots(t)
-    letters = F.regexp_replace(bare, "['-]", "")
-    low = F.lower(letters)
-    n = F.length(letters)
     dotted = t.endswith(".")
-    shaped = bare.rlike(rf"^[\p{{Lu}}&&[{_LATIN}]](?:[\p{{L}}&&[{_LATIN}]]|['-])*$")
-    first = F.get(toks, F.lit(0))
-    lone_surname = ((i == last) & (F.size(toks) == 2) & (lead == 0) & (F.length(_no_dots(first)) >= 2) & ~letters.isin("A", "I")
-                    & ~among(F.lower(first), V.LABEL_WORDS) & ~dotted)
-    surname = (i == last) & ((among(low, V.LAST_OK) & ~dotted) | (given & among(low, V.SURNAMEABLE)))
-    return (F.when(_is_particle(t, inside) | (i < lead) | (inside & _is_initial(t)), True)
-            .when(~shaped | (F.length(bare) > 24) | (n == 0), False)
-            .when(dotted & (n > 4), False)
-            .when(n == 1, lone_surname)
-            .when(among(low, V.NAME_SUFFIX) & (i == last), True)
-            .when((n >= 3) & is_upper(letters), False)
-            .when(bare.rlike("[a-z][A-Z]{2,}"), False)
-            .when(surname, True)
-            .when(among(low, _NEVER), False)
-            .otherwise(~F.exists(F.split(F.lower(bare), "-"), lambda p: among(p, _JUNK))))
+
+    def judged(w: Column) -> Column:
+        bare, letters, low, n = w["bare"], w["letters"], w["low"], w["n"]
+        shaped = bare.rlike(rf"^[\p{{Lu}}&&[{_LATIN}]](?:[\p{{L}}&&[{_LATIN}]]|['-])*$")
+        first = F.get(toks, F.lit(0))
+        lone_surname = ((i == last) & (F.size(toks) == 2) & (lead == 0) & (F.length(_no_dots(first)) >= 2) & ~letters.isin("A", "I")
+                        & ~among(F.lower(first), V.LABEL_WORDS) & ~dotted)
+        surname = (i == last) & ((among(low, V.LAST_OK) & ~dotted) | (given & among(low, V.SURNAMEABLE)))
+        return (F.when(~shaped | (F.length(bare) > 24) | (n == 0), False)
+                .when(dotted & (n > 4), False)
+                .when(n == 1, lone_surname)
+                .when(among(low, V.NAME_SUFFIX) & (i == last), True)
+                .when((n >= 3) & is_upper(letters), False)
+                .when(bare.rlike("[a-z][A-Z]{2,}"), False)
+                .when(surname, True)
+                .when(among(low, _NEVER), False)
+                .otherwise(~F.exists(F.split(F.lower(bare), "-"), lambda p: among(p, _JUNK))))
+
+    def counted(w: Column) -> Column:
+        return let(F.struct(w["bare"].alias("bare"), w["letters"].alias("letters"), F.lower(w["letters"]).alias("low"), F.length(w["letters"]).alias("n")), judged)
+
+    forms = F.struct(_no_dots(t).alias("bare"), F.regexp_replace(_no_dots(t), "['-]", "").alias("letters"))
+    return F.when(_is_particle(t, inside) | (i < lead) | (inside & _is_initial(t)), True).otherwise(let(forms, counted))
 
 
 def person_name(c: Column | str, registry: Column | bool = False, company_tokens: Column | None = None,
@@ -132,10 +136,10 @@ def person_name(c: Column | str, registry: Column | bool = False, company_tokens
         before_last = F.slice(toks, 1, F.greatest(last, F.lit(0)))
         broken = F.array_position(F.transform(before_last, _is_initial), False).cast("int")
         lead_of = F.when(broken > 0, broken - 1).otherwise(last)
-        given = among(F.get(words, F.lit(0)), lexicon.given_names)
         final = F.element_at(words, -1)
 
-        def verdict(lead: Column) -> Column:
+        def verdict(known: Column) -> Column:
+            lead, given = known["lead"], known["given"]
             lead_letters = F.length(F.replace(F.array_join(F.slice(toks, 1, F.greatest(lead, F.lit(0))), ""), F.lit("."), F.lit("")))
             names = F.size(F.filter(toks, lambda t, i: ~_is_particle(t, (i > 0) & (i < last))))
             fits = F.forall(F.transform(toks, lambda t, i: _word_ok(t, i, toks, last, lead, given)), lambda ok: ok)
@@ -143,9 +147,10 @@ def person_name(c: Column | str, registry: Column | bool = False, company_tokens
 
         place = ((n == 2) & among(F.get(words, F.lit(1)), V.STATES)
                  & (among(F.get(words, F.lit(0)), V.CITIES) | among(F.get(words, F.lit(0)), V.STATES)))
+        given = among(F.get(words, F.lit(0)), lexicon.given_names)
         listed = (among(F.array_join(words, " "), V.PHRASES) | (among(final, V.STREET_WORDS) & ~given)
                   | F.forall(words, lambda w: among(w, V.SCENERY)) | place)
-        ok = n.between(2, V.NAME_TOKENS_MAX) & ~listed & let(lead_of, verdict)
+        ok = n.between(2, V.NAME_TOKENS_MAX) & ~listed & let(F.struct(lead_of.alias("lead"), given.alias("given")), verdict)
         if company_tokens is not None:
             own = F.coalesce(company_tokens, F.array().cast("array<string>"))
             said = F.filter(words, lambda w: ~among(w, V.LEGAL_SUFFIX))
