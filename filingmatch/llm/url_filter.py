@@ -3,7 +3,7 @@
 URLs that a rule allows and URLs that a rule blocks train one model each: a variable-order Markov model over characters. The
 probability of a character mixes the counts under its longest context with the estimate under the context one shorter, down
 to a uniform one, so a context that was never seen passes the question on. A URL's score is the log-likelihood difference of the
-two models over its length. The threshold is calibrated on a quarter of the ruled URLs that the models have not seen: of all cuts
+two models over its length; the whole URL is read, scheme, query and fragment too. The threshold is calibrated on a quarter of the ruled URLs that the models have not seen: of all cuts
 of the scores' range it has the best balanced accuracy. Built-in functions only.
 
 Counts are over all rows of the other three quarters. Everything is counted and scored once for each distinct URL and joined back;
@@ -97,7 +97,7 @@ def threshold(scored: DataFrame) -> float:
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of `pages` (page_id, url)."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("s", F.concat("host", "path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("s"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows, _ = stored(rows.select("page_id", "host", "path", "s", rule.alias("rule"), verdict.alias("ruled")), "rows")
     held = F.pmod(F.xxhash64("s"), F.lit(4)) == 3

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -309,6 +311,33 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in url_filter.judged(only).collect()} == {"allow"} and url_filter.judged(only.limit(0)).count() == 0
 
 
+def test_verdicts_equal_brute_force_scores_and_cut(spark):
+    """Scores from the ratios character by character, the cut by trying all, verdicts by both; query and fragment count."""
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("abcdef") for _ in range(4))                              # noqa: E731
+    found = [f"https://{name()}.com/{name()}?ref=news" for _ in range(60)] + [f"http://{name()}.net/fr/{name()}?session={rng.randint(100, 999)}#spam" for _ in range(60)]
+    found += [page + end for page in [f"https://{name()}.org/{name()}" for _ in range(20)] for end in ("?ref=news", "?session=417#spam")] + [f"https://www.{'x' * 3000}.org/", "no marks at all"]
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in url_filter.judged(pages).collect()}
+    held = {r.url: r.h for r in pages.select("url", (F.pmod(F.xxhash64("url"), F.lit(4)) == 3).alias("h")).collect()}
+    ruled = {u: {"com": "allow", "net": "block"}.get(u.split("/")[2].rsplit(".", 1)[-1]) if "://" in u else None for u in found}
+    rows = [(u, found.count(u), ruled[u] if not held[u] else None) for u in set(found)]
+    ratio = {r.g: r.ratio for r in url_filter.gram_ratios(spark.createDataFrame(rows, "s string, n long, learn string")).collect()}
+    score = {u: sum(ratio[("\x02" * 4 + u + "\x03")[i:i + 5]] for i in range(len(u) + 1)) / (len(u) + 1) for u in found}
+    own = [(score[u], ruled[u]) for u in set(found) if held[u] and ruled[u]]
+    cuts = [k * 2 * url_filter.SPAN / url_filter.CUTS - url_filter.SPAN for k in range(url_filter.CUTS + 1)]
+    share = lambda c, v: sum(s >= c for s, k in own if k == v) / max(1, sum(k == v for _, k in own))     # noqa: E731
+    accuracy = [share(c, "allow") - share(c, "block") for c in cuts]
+    judged = {i: u for i, u in enumerate(found) if ruled[u] is None}
+    assert all(abs(got[i].score - score[u]) < 1e-9 for i, u in judged.items())
+    least = max((score[u] for i, u in judged.items() if got[i].verdict == "block"), default=-9)
+    most = min((score[u] for i, u in judged.items() if got[i].verdict == "allow"), default=9)
+    best = [c for c, a in zip(cuts, accuracy) if a >= max(accuracy) - 1e-12]
+    assert least < most and any(least < c <= most + 1e-9 for c in best)
+    pairs = [(score[u], score[u.replace("?ref=news", "?session=417#spam")]) for u in found if ".org/" in u and "?ref=news" in u]
+    assert pairs and all(a > b for a, b in pairs)
+
+
 def test_url_model_equals_a_plain_one(spark):
     """The n-gram ratios are those of the recursive definition."""
     rows = [("ab/a", 3, "allow"), ("ab/b", 1, "block"), ("ba", 2, "block"), ("ca", 1, None)]
@@ -327,6 +356,21 @@ def test_url_model_equals_a_plain_one(spark):
     assert all(abs(got[g] - np.log(p(g, "allow") / p(g, "block"))) < 1e-9 for g in got)
 
 
+def test_files_are_read_by_number(spark, tmp_path):
+    rows = [(i, f"text number {i}", "en") for i in range(12)]
+    with open(WORDS, encoding="utf-8") as f:
+        model = f.read()
+    token_files.write(documents(spark, rows[:5]).coalesce(1), model, 2, f"{tmp_path}/a")
+    token_files.write(documents(spark, rows[5:]).coalesce(1), model, 2, f"{tmp_path}/b")
+    os.makedirs(f"{tmp_path}/c")
+    for folder, number in (("a", 99990), ("b", 100000)):
+        parts = sorted(p for p in os.listdir(f"{tmp_path}/{folder}") if p.startswith("part-") and os.path.getsize(f"{tmp_path}/{folder}/{p}"))
+        for k, p in enumerate(parts):
+            shutil.copy(f"{tmp_path}/{folder}/{p}", f"{tmp_path}/c/part-{number + k}-x.txt")
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read(spark, f"{tmp_path}/c").collect())
+    assert [d for _, d, _ in got] == list(range(12)) and all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:])) and got[0][0] == 0
+
+
 def texts_of(spark, pages):
     rows = [(i, f"https://a.example.com/{i}", html) for i, html in enumerate(pages)]
     return [r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
