@@ -197,9 +197,14 @@ def write(docs: DataFrame, model: str, end_id: int, folder: str) -> None:
     arrow_map(placed, run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(folder)
 
 
+def file_number(path: str) -> int:
+    """The number of the partition that wrote a file. Names are no order: part-100000 sorts before part-99999."""
+    return int(path.rsplit("/", 1)[-1].split("-", 2)[1].split(".")[0])
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files of `folder`. Files are whole rows of one reader; the
-    ids before each file come from the files' totals, one row each."""
+    ids before each file come from the files' totals, one row each, in the order of their numbers."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -207,12 +212,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 before = 0
                 for r in records(data):
                     docs = [r.document(i) for i in range(len(r.doc_ids))]
-                    yield {"file": [path.rsplit("/", 1)[-1]] * len(docs), "doc_id": r.doc_ids, "local": np.r_[0, r.ends[:-1]] + before, "n_tokens": [len(x) for x in docs],
+                    yield {"file": [file_number(path)] * len(docs), "doc_id": r.doc_ids, "local": np.r_[0, r.ends[:-1]] + before, "n_tokens": [len(x) for x in docs],
                            "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in docs]}
                     before += r.n_ids
 
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
-    rows, _ = stored(arrow_map(files, run, "file string, doc_id long, local long, n_tokens long, ids_crc32 long"), "documents")
+    rows, _ = stored(arrow_map(files, run, "file long, doc_id long, local long, n_tokens long, ids_crc32 long"), "documents")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)     # one row per file
     offsets, _ = stored(totals.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before")), "offsets")
