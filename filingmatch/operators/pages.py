@@ -178,9 +178,12 @@ def person_profiles(profiles: Column, most: int | None = None) -> Column:
 
 
 def page_index(pages: DataFrame) -> DataFrame:
-    """(url_key, page_id) of every address, the lowest page id when an address was crawled more than once. Reads two columns
-    and combines on the map side."""
-    return pages.groupBy(page_key("url").alias("url_key")).agg(F.min("page_id").alias("page_id"))
+    """(url_key, page_id, page_host) of every address, the lowest page id when an address was crawled more than once, and the host that
+    answered. A crawl that follows redirects lands the address it asked for as `asked` beside the `url` that answered; the key is what was asked.
+    Reads the address columns only and combines on the map side."""
+    asked = F.coalesce("asked", "url") if "asked" in pages.columns else F.col("url")
+    keyed = located(pages.select("page_id", "url", asked.alias("_asked"))).groupBy(page_key("_asked").alias("url_key"))
+    return keyed.agg(F.min_by(F.struct("page_id", F.col("host").alias("page_host")), "page_id").alias("p")).select("url_key", "p.*")
 
 
 def home_pages(pages: DataFrame) -> DataFrame:

@@ -144,3 +144,13 @@ def write_version(table: DataFrame, folder: str, version: str) -> str:
     path = f"{folder.rstrip('/')}/version={version}"
     table.write.mode("errorifexists").parquet(path)
     return path
+
+
+def backed_up(table: DataFrame, folder: str, version: str) -> str:
+    """A copy of the state table as it is before a repair, written beside the versions and read back: same rows by count and by the sum of
+    their hashes, else an error. Returns its path; a copy of that name is never overwritten."""
+    path = write_version(table, folder, version)
+    told = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[F.to_json(F.struct(c)) for c in table.columns]).cast("decimal(38,0)"))).first()
+    if told(table) != told(table.sparkSession.read.schema(table.schema).parquet(path)):
+        raise ValueError(f"the copy in {path} is not the table")
+    return path

@@ -12,14 +12,14 @@ from ..functions.links import page_key
 from ..functions.mail import local_part, mail_domain, same_site
 from ..functions.people import is_lead
 from ..session import durable, evaluated
-from .pages import home_pages, legal_targets, page_facts, page_index, page_texts, role_targets
+from .pages import home_pages, legal_targets, page_facts, page_index, page_texts, role_targets, stays_on_site
 
 
 def site_pages(pages: DataFrame, homes: DataFrame) -> DataFrame:
     """(site, rank, page_id): the home page of every site (rank 0), up to six role pages (1..6), up to two legal pages (7, 8).
 
     Only home pages are parsed here; the others are found by joining wanted addresses to the address index, so no page text
-    moves. A page reached by two ranks keeps the first.
+    moves. A page that a redirect took to another company's site is none of this site's. A page reached by two ranks keeps the first.
     """
     front = page_texts(pages.join(homes.select("page_id", F.col("host").alias("site")), "page_id", "left_semi"))
     plan = (front.select("page_id", "url", F.col("host").alias("site"), "links")
@@ -28,7 +28,7 @@ def site_pages(pages: DataFrame, homes: DataFrame) -> DataFrame:
     wanted = plan.select("site", F.explode(F.concat(
         F.transform("roles", lambda u, i: F.struct((i + 1).alias("rank"), u.alias("url_key"))),
         F.transform("legal", lambda u, i: F.struct((i + 7).alias("rank"), u.alias("url_key"))))).alias("w")).select("site", "w.*")
-    found = wanted.join(page_index(pages), "url_key").select("site", "rank", "page_id")
+    found = wanted.join(page_index(pages), "url_key").where(stays_on_site(F.col("page_host"), F.col("site"))).select("site", "rank", "page_id")
     chosen = homes.select(F.col("host").alias("site"), F.lit(0).alias("rank"), "page_id").unionByName(found)
     w = Window.partitionBy("site", "page_id").orderBy("rank")
     return chosen.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -14,6 +14,7 @@ from ..functions import names as N
 from ..sources import REGISTRY, build, crawl, page_scan, windows
 from ..sources.registries import officers, with_people
 from ..sources.spec import FILING_COLUMNS
+from ..functions.people import person_name
 from . import check_sql as C
 from . import landed as L
 from .catalog import query
@@ -141,11 +142,22 @@ def a5(spark, sf):
             .select("id", "company", "create_dt", "name", "title"))
 
 
-@query("a5_first_officer")
+_WITH_BID = f"(SELECT t.id, t.name, x.id AS bid FROM ({CHECK_CT}) t JOIN ({L.RAW_CT}) x ON t.id = 'ct:' || coalesce(nullif(x.accountnumber, ''), x.id) AND t.registered = CAST(x.date_registration[1:10] AS DATE) AND t.name = {C.tidy_name('x.name')})"
+
+
+@query("a5_filing_people", f"""SELECT f.id, f.name, coalesce(string_agg(o.name || ' / ' || o.title, '; ' ORDER BY o.create_dt, o.name__c, o.name, o.title), '') AS people
+FROM {_WITH_BID} f LEFT JOIN ({CHECK_OFFICERS}) o ON o.business_id = f.bid GROUP BY f.id, f.name""")
+def a5_people(spark, sf):
+    kids = L.landed(spark, sf, L.RAW_CT_OFFICERS)
+    return with_people(filings(spark, sf, "ct"), kids).select("id", "name", F.array_join(F.transform("people", lambda p: F.concat(p["name"], F.lit(" / "), p["title"])), "; ").alias("people"))
+
+
+@query("a5_first_officer", f"""SELECT f.id, f.name, first(o.name ORDER BY o.create_dt, o.name__c, o.name, o.title) AS officer, first(o.title ORDER BY o.create_dt, o.name__c, o.name, o.title) AS title
+FROM {_WITH_BID} f LEFT JOIN (SELECT * FROM ({CHECK_OFFICERS}) o0 WHERE {C.person_name('o0.name', 'true')} IS NOT NULL) o ON o.business_id = f.bid GROUP BY f.id, f.name""")
 def a5_first(spark, sf):
     kids = L.landed(spark, sf, L.RAW_CT_OFFICERS)
-    return with_people(filings(spark, sf, "ct"), kids).select("id", "name", F.get("people", F.lit(0))["name"].alias("officer"),
-                                                              F.get("people", F.lit(0))["title"].alias("title"))
+    persons = F.filter("people", lambda p: person_name(p["name"], registry=True).isNotNull())
+    return with_people(filings(spark, sf, "ct"), kids).select("id", "name", F.get(persons, F.lit(0))["name"].alias("officer"), F.get(persons, F.lit(0))["title"].alias("title"))
 
 
 @query("a9_source_union", " UNION ALL BY NAME ".join(f"({CHECK_SOURCES[k]})" for k in ("tx", "seattle", "la")))

@@ -68,6 +68,18 @@ def g8(spark, sf):
     return metrics.list_version(companies(spark, sf)).select("n", "newest")
 
 
+@query("g8_version_moves", f"SELECT count(*) > 0 AS differs, count(*) > 0 AS same_again FROM {_ALL}")
+def g8_moves(spark, sf):
+    """One address more on the listed rows is another version of the list, reading the same rows again is not."""
+    rows = companies(spark, sf)
+    more = rows.withColumn("enrich", F.col("enrich").withField("email", F.concat(F.coalesce("enrich.email", F.lit("")), F.lit("x"))))
+    was, now, again = (metrics.list_version(x).select(F.struct("n", "newest", "size").alias(k)) for x, k in ((rows, "was"), (more, "now"), (rows, "again")))
+    each = was.select("was", F.lit(None).cast("struct<n: long, newest: date, size: long>").alias("now"), F.lit(None).cast("struct<n: long, newest: date, size: long>").alias("again"))
+    every = each.unionByName(now, allowMissingColumns=True).unionByName(again, allowMissingColumns=True)
+    one = every.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("was", "now", "again")])
+    return one.select((F.col("was") != F.col("now")).alias("differs"), (F.col("was") == F.col("again")).alias("same_again"))
+
+
 @query("g9_listed_in_order", f"SELECT id, registered FROM {_LISTED} ORDER BY registered DESC, id DESC")
 def g9(spark, sf):
     return metrics.in_order(publish.listed(companies(spark, sf))).select("id", "raw.registered")

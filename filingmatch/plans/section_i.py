@@ -56,9 +56,9 @@ def i3(spark, sf):
 def i4(spark, sf):
     out, check = jobs.work_folder(spark) + "/t", jobs.work_folder(spark)
     rows = jobs.landing(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    counted = jobs.sliding_counts(rows, "event_type", "ts")
-    jobs.run_available(counted, jobs.keep_latest(out), check, mode="update")
-    return jobs.latest(spark, out, ["window", "event_type"]).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
+    jobs.run_available(jobs.pane_counts(rows, "event_type", "ts"), jobs.keep_latest(out), check, mode="update")
+    panes = jobs.latest(spark, out, ["pane", "event_type"])
+    return jobs.window_counts(panes, "event_type").select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @query("i5_repeat_safe_publish", "SELECT count(*) AS n, count(DISTINCT c_custkey) AS ids FROM customer")

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import fixed_values as V
 from .. import schemas as S
@@ -99,12 +100,22 @@ def first_officers(children: DataFrame) -> DataFrame:
     return named.groupBy("business_id").agg(first.alias("person"))
 
 
-def with_people(filings: DataFrame, children: DataFrame) -> DataFrame:
-    """Connecticut filings with the officer they name first."""
-    joined = filings.withColumn("_bid", F.try_element_at("extra", F.lit("business_id"))).join(
-        first_officers(children), F.col("_bid") == F.col("business_id"), "left")
-    people = F.when(F.col("person").isNotNull(), F.array("person")).otherwise(F.array().cast("array<struct<name:string,title:string>>"))
-    return joined.select(*filings.columns, people.alias("people"))
+#: Officers that a filing lists at most, beside the first one whose name is a person's.
+PEOPLE_LISTED = 50
+
+
+def with_people(filings: DataFrame, children: DataFrame, most: int = PEOPLE_LISTED) -> DataFrame:
+    """Connecticut filings with their officers in the order of appointment (`create_dt, name__c`): the first `most`, and after them the first
+    whose name is a person's if it is not among those, so whatever looks for a person finds the same one as in the whole list. The limit holds
+    before the shuffle too: a business with officers without end sends `most` rows per task."""
+    order = ["create_dt", "name__c", "name", "title"]
+    ranked = officers(children).withColumn("_n", F.row_number().over(Window.partitionBy("business_id").orderBy(*order))).where(F.col("_n") <= most)
+    listed = ranked.groupBy("business_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "name", "title"))), lambda x: F.struct(x["name"].alias("name"), x["title"].alias("title"))).alias("_listed"))
+    both = listed.join(first_officers(children), "business_id", "left")
+    people = F.when(F.col("person").isNull() | F.array_contains("_listed", F.col("person")), F.col("_listed")).otherwise(F.array_append("_listed", F.col("person")))
+    found = both.select(F.col("business_id").alias("_bid"), people.alias("people"))
+    joined = filings.withColumn("_bid", F.try_element_at("extra", F.lit("business_id"))).join(found, "_bid", "left")
+    return joined.select(*filings.columns, F.coalesce("people", F.array().cast("array<struct<name:string,title:string>>")).alias("people"))
 
 
 # ---------------------------------------------------------------------------------------------------------------- Seattle

@@ -109,6 +109,14 @@ def distinct_within(stream: DataFrame, id_col: str, ts: str, horizon: str = "45
     return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([id_col])
 
 
-def sliding_counts(stream: DataFrame, key: str, ts: str, length: str = "15 minutes", step: str = "1 minute", keep: str = "1 day") -> DataFrame:
-    """Events per key and sliding window. In update or append mode the state of windows past the watermark is dropped."""
-    return stream.withWatermark(ts, keep).groupBy(F.window(ts, length, step), key).agg(F.count(F.lit(1)).alias("n"))
+def pane_counts(stream: DataFrame, key: str, ts: str, pane: str = "1 minute", keep: str = "1 day") -> DataFrame:
+    """(pane, key, n): events per key and pane, the time between two starts of a sliding window. An event is one row of one pane; in update or
+    append mode the state of panes past the watermark is dropped."""
+    counted = stream.withWatermark(ts, keep).groupBy(F.window(ts, pane), key).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("window.start").alias("pane"), key, "n")
+
+
+def window_counts(panes: DataFrame, key: str, length: int = 15, pane: str = "1 minute") -> DataFrame:
+    """(window_start, key, n): events per key and sliding window of `length` panes, added up from the panes it covers."""
+    starts = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.col("pane") - k * F.expr(f"INTERVAL '{pane.split()[0]}' {pane.split()[1].upper().rstrip('S')}"))
+    return panes.select(key, F.explode(starts).alias("window_start"), "n").groupBy("window_start", key).agg(F.sum("n").alias("n"))
