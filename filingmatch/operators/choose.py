@@ -9,7 +9,7 @@ from .. import fixed_values as V
 from ..functions.core import among, let, no_strings, text
 from ..functions.mail import email_kind, local_part, mail_domain, not_a_contact, same_site
 from ..functions.names import flat
-from ..functions.people import clean_title, is_lead, person_name
+from ..functions.people import DEFAULT_LEXICON, Lexicon, clean_title, is_lead, person_name
 from ..functions.phones import usable_phone
 from .profiles import with_profiles
 
@@ -107,18 +107,18 @@ def people_of_site(leaders: Column, company_tokens: Column, page_emails: Column,
     return F.coalesce(let(own_people(leaders, company_tokens), dressed), F.array().cast(_LEADERS))
 
 
-def registry_contact(people: Column) -> Column:
+def registry_contact(people: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """The first person a filing names whose name is a person's, as a contact; null when there is none."""
-    named = F.transform(people, lambda p: F.struct(person_name(p["name"], registry=True).alias("name"), clean_title(p["title"]).alias("title")))
+    named = F.transform(people, lambda p: F.struct(person_name(p["name"], registry=True, lexicon=lexicon).alias("name"), clean_title(p["title"]).alias("title")))
     first = F.get(F.filter(named, lambda p: p["name"].isNotNull()), F.lit(0))
     return let(first, lambda p: F.when(p.isNotNull(), F.struct(
         p["name"].alias("name"), p["title"].alias("title"), F.lit("").alias("email"), F.lit("").alias("linkedin"), F.lit(V.IN_FILING).alias("from"))))
 
 
-def pick_contact(site_people: Column, filing_people: Column) -> Column:
+def pick_contact(site_people: Column, filing_people: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """The first leader of the site, else the first officer of the filing; null when neither names a person."""
     leader = F.get(F.filter(site_people, lambda p: is_lead(p["title"])), F.lit(0))
     chosen = F.when(leader.isNotNull(), F.struct(
         leader["name"].alias("name"), leader["title"].alias("title"), text(leader["email"]).alias("email"),
         text(leader["linkedin"]).alias("linkedin"), F.lit(V.ON_SITE).alias("from")))
-    return F.coalesce(chosen, registry_contact(filing_people))
+    return F.coalesce(chosen, registry_contact(filing_people, lexicon))

@@ -11,7 +11,7 @@ from ..functions.cells import clean_text
 from ..functions.core import first_items, let, strip, text
 from ..functions.links import absolute_url, page_key, profile_url
 from ..functions.mail import bare_host, same_site, valid_email
-from ..functions.people import clean_title, is_lead, person_name
+from ..functions.people import DEFAULT_LEXICON, Lexicon, clean_title, is_lead, person_name
 from ..session import evaluated
 from ..sources.crawl import located
 from .dom import dom_facts
@@ -22,7 +22,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return evaluated(shown.withColumns({"body": M.visible_text(F.col("markup")), "head": M.head_text(F.col("markup")), "links": M.links(F.col("markup"))}))
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """One row per page: url, host, path, whether it is a legal page, head, body, links, emails, phones, people, profiles.
     The HTML itself is dropped, so what is stored and shuffled later is a fraction of the crawl."""
     facts = (page_texts(pages).withColumn("dom", dom_facts(F.col("html")))
@@ -33,7 +33,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
                     F.coalesce(F.col("dom.said"), F.col("body")).alias("said"), F.col("dom.nodes").alias("nodes"),
                     company_profile(F.col("links")).alias("company_profile"), person_profiles(F.col("dom.profiles")).alias("profiles")))
     return (evaluated(facts)
-            .withColumn("people", F.when(~F.col("is_legal"), people_of_page(F.col("said"), F.col("nodes")))).drop("said", "nodes"))
+            .withColumn("people", F.when(~F.col("is_legal"), people_of_page(F.col("said"), F.col("nodes"), lexicon))).drop("said", "nodes"))
 
 
 # ------------------------------------------------------------------------------------------------------------- page roles
@@ -131,7 +131,7 @@ def founder_mentions(said: Column) -> Column:
     return F.transform(F.regexp_extract_all(said, F.lit(V.FOUNDED_BY), F.lit(1)), lambda n, i: _mention(2, i, n, F.lit("Founder"), F.lit("")))
 
 
-def recognized(mentions: Column) -> Column:
+def recognized(mentions: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """Mentions whose name is a person's and whose title is a title: array of (part, pos, name, title, email). A title line may
     hold both, before or after a mark; else the name stands on the line above or below."""
 
@@ -145,7 +145,7 @@ def recognized(mentions: Column) -> Column:
         texts = F.array(m["line"], F.when(line & is_lead(h["right"]) & ~is_lead(h["left"]), h["left"]),
                         F.when(line & is_lead(h["left"]) & ~is_lead(h["right"]), h["right"]),
                         F.when(line & ~is_lead(m["above"]), m["above"]), F.when(line & ~is_lead(m["below"]), m["below"]))
-        return let(F.transform(texts, lambda t: person_name(t)), lambda n: decided(m, h, n))
+        return let(F.transform(texts, lambda t: person_name(t, lexicon=lexicon)), lambda n: decided(m, h, n))
 
     def decided(m: Column, h: Column, n: Column) -> Column:
         whole, left, right, above, below = (F.get(n, F.lit(i)) for i in range(5))
@@ -157,9 +157,9 @@ def recognized(mentions: Column) -> Column:
     return F.filter(F.transform(mentions, read), lambda p: p["name"].isNotNull() & ((p["part"] == 0) | (p["title"] != "")))
 
 
-def people_of_page(said: Column, nodes: Column) -> Column:
+def people_of_page(said: Column, nodes: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """Everyone a page names with a title, in reading order."""
-    return recognized(F.concat(ld_mentions(nodes), line_mentions(said), founder_mentions(said)))
+    return recognized(F.concat(ld_mentions(nodes), line_mentions(said), founder_mentions(said)), lexicon)
 
 
 # ------------------------------------------------------------------------------------------------------------ profile links

@@ -10,7 +10,7 @@ from .. import fixed_values as V
 from ..functions.core import among, let, no_strings
 from ..functions.links import page_key
 from ..functions.mail import local_part, mail_domain, same_site
-from ..functions.people import is_lead
+from ..functions.people import DEFAULT_LEXICON, Lexicon, is_lead
 from ..session import durable, evaluated
 from .pages import home_pages, legal_targets, page_facts, page_index, page_texts, role_targets, stays_on_site
 
@@ -72,12 +72,12 @@ def leaders(people: Column) -> Column:
     return let(F.filter(people, plain), once)
 
 
-def fold_sites(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
+def fold_sites(pages: DataFrame, homes: DataFrame | None = None, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """One row per site: head, body, emails, phones (each with the values only legal pages show), leaders, pages with profile links, company
     profile, page count. At most nine pages per site reach the fold, so no host is ever one large group."""
     homes = home_pages(pages) if homes is None else homes
     chosen = durable(site_pages(pages, homes))
-    facts = page_facts(pages.join(chosen.select("page_id").distinct(), "page_id", "left_semi"))
+    facts = page_facts(pages.join(chosen.select("page_id").distinct(), "page_id", "left_semi"), lexicon)
     placed = facts.join(chosen, "page_id")
     page = F.struct("rank", "page_id", "url", "is_legal", "head", "body", "emails", "phones", "ld_emails", "ld_phones", "company_profile", "people",
                     F.when(~F.col("is_legal") & (F.size("profiles.links") > 0), F.col("profiles")).alias("profiles"))

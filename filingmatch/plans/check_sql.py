@@ -204,8 +204,8 @@ def _initial(t: str) -> str:
     return f"regexp_matches({t}, '^((\\p{{Lu}}\\.){{1,3}}|\\p{{Lu}})$')"
 
 
-def person_name(e: str, registry: str = "false", company: str | None = None) -> str:
-    """Null unless the text looks like a person's name. `company` is a list of the company's own words."""
+def person_name(e: str, registry: str = "false", company: str | None = None, names: str | None = None) -> str:
+    """Null unless the text looks like a person's name. `company` is a list of the company's own words, `names` one of given names."""
     n0 = f"trim(nfc_normalize({e}), ' ,.-–—|•:')"
     toks = "list_filter(string_split(replace(n0, '’', ''''), ' '), lambda a1: a1 <> '')"
     polite = let(toks, "k0", f"CASE WHEN len(k0) > 2 AND lower(trim(k0[1], '.')) IN {among(V.HONORIFICS)} THEN k0[2:] ELSE k0 END")
@@ -215,7 +215,7 @@ def person_name(e: str, registry: str = "false", company: str | None = None) ->
               f"ELSE array_to_string(list_transform({pieces}, lambda a4: {capital('a4')}), '') END")
     cased = let(polite, "k1", f"CASE WHEN coalesce({_upper(spoken)} OR ({registry} AND {_lower(spoken)}), false) THEN list_transform(k1, lambda a2, a3: {recase}) ELSE k1 END")
     particle = f"(a6 > 1 AND a6 < len(k2) AND {_lower(_bare('a5'))} AND lower({_bare('a5')}) IN {among(V.PARTICLES)})"
-    given = f"(lower({_bare('k2[1]')}) IN {among(V.DEFAULT_GIVEN_NAMES)})"
+    given = f"(lower({_bare('k2[1]')}) IN {among(V.DEFAULT_GIVEN_NAMES)})" if names is None else f"coalesce(list_contains({names}, lower({_bare('k2[1]')})), false)"
     lead = (f"coalesce(list_position(list_transform(k2[1:len(k2) - 1], lambda a7: {_initial('a7')}), false) - 1, len(k2) - 1)")
     letters = f"replace(replace({_bare('a5')}, '''', ''), '-', '')"
     low = f"lower({letters})"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.cells import scrub
 from ..functions.names import core_tokens
+from ..functions.people import DEFAULT_LEXICON, Lexicon
+from ..operators.lexicon import learned
 from ..functions.links import plain_web_address
 from ..operators import choose, classify, match, rules, sites, state
 from ..operators import pages as P
@@ -19,14 +21,14 @@ from .companies import companies
 from .section_a import all_filings
 
 
-def lookups(filings: DataFrame, pages: DataFrame, domain_created: DataFrame, today: Column) -> DataFrame:
+def lookups(filings: DataFrame, pages: DataFrame, domain_created: DataFrame, today: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """One row per filing: the filing columns and `enrich` in the stored schema, null when no website was found. A website that is
     no plain address counts as none."""
     pages = crawl.admitted(pages)
     homes = P.home_pages(pages)
     found = durable(match.matched(filings, pages, domain_created, homes))
     used = homes.join(found.select(F.col("domain").alias("host")).distinct(), "host", "left_semi")
-    folded = sites.fold_sites(pages, used).withColumnRenamed("site", "domain").drop("url", "pages")
+    folded = sites.fold_sites(pages, used, lexicon).withColumnRenamed("site", "domain").drop("url", "pages")
     site = folded.withColumn("it", classify.classify(F.col("head"), F.col("body"))).drop("head", "body")
     pairs = (found.select("id", "domain", F.col("url").alias("site_url"), "why", "created").join(site, "domain")
              .join(filings.select("id", F.col("name").alias("_name"), "city", F.col("emails").alias("filed_emails"), "people"), "id"))
@@ -34,7 +36,7 @@ def lookups(filings: DataFrame, pages: DataFrame, domain_created: DataFrame, tod
     linked = choose.with_linked(pairs, F.col("leaders"), core_tokens("_name"), F.col("profiles")).drop("profiles")
     picked = (linked.withColumn("mail", choose.pick_email(F.col("emails"), F.col("filed_emails"), F.col("domain"), F.col("city")))
               .withColumn("tel", choose.pick_phone(F.col("phones"), F.col("legal_only_phones")))
-              .withColumn("contact", choose.pick_contact(people, F.col("people"))))
+              .withColumn("contact", choose.pick_contact(people, F.col("people"), lexicon)))
     legal_mail = (F.col("mail.came_from") == "company website") & F.array_contains("legal_only_emails", F.col("mail.email"))
     root = F.regexp_extract("site_url", r"^(https?://[^/?#]+)", 1)
     values = {"checked": today, "website": F.when(plain_web_address(root), root).otherwise(""), "email": F.col("mail.email"),
@@ -61,8 +63,10 @@ def next_version(spark: SparkSession, sf_dir: str, conditions: rules.Rules | Non
     fresh = state.intake(filings, known, today).withColumn("raw", raw).withColumns(blank)
     seen = known.join(filings.select("id", filed.alias("_filed")), "id", "left").withColumn("raw", F.coalesce("_filed", "raw")).drop("_filed")
     table = durable(seen.unionByName(fresh))
+    officers = filings.select(F.explode("people").alias("p")).select("p.name")
+    lexicon = learned(officers, filings.select("name").unionByName(filings.select(F.col("trade_name").alias("name"))))
     facts = table.select("id", *[F.col(f"raw.{f.name}").alias(f.name) for f in FILING.fields if f.name != "id"])
-    looked = lookups(facts, L.landed(spark, sf_dir, L.SITE_PAGES), L.landed(spark, sf_dir, L.DOMAIN_CREATED), today)
+    looked = lookups(facts, L.landed(spark, sf_dir, L.SITE_PAGES), L.landed(spark, sf_dir, L.DOMAIN_CREATED), today, lexicon)
     rows = table.join(looked.select("id", F.col("enrich").alias("new_enrich")), "id").withColumn("q", rules.qualify(F.col("raw"), F.col("new_enrich"), conditions))
     why = F.when(F.col("q.state") == "dropped", F.col("q.missing"))
     told = F.when(F.col("new_enrich").isNotNull(), F.col("new_enrich").withField("missing", F.col("q.missing")).withField("dropped_because", why))

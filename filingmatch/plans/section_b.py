@@ -11,6 +11,7 @@ from ..functions import names as N
 from ..functions import people as H
 from ..functions import phones as P
 from ..functions import places as G
+from ..operators.lexicon import given_names, learned
 from . import check_sql as C
 from . import landed as L
 from .catalog import query
@@ -192,6 +193,45 @@ def b23(spark, sf):
                         H.person_name("person", company_tokens=N.core_tokens(F.concat("person", F.lit(" LLC")))).alias("own_name"))
 
 
+# names of officers and of companies, and the words that begin the former, by counting once more in the check engine
+_OFFICER_NAMES = f"""SELECT CASE WHEN trim(firstname) <> '' AND trim(lastname) <> '' THEN trim(firstname) || ' ' || trim(lastname) ELSE trim(name__c) END AS name FROM ({L.RAW_CT_OFFICERS}) o"""
+_COMPANY_NAMES = f"SELECT legal AS name FROM ({L.REG}) r1 UNION ALL SELECT trade AS name FROM ({L.REG}) r2"
+_FIRST = """SELECT DISTINCT rtrim(split_part(name, ' ', 1), '.') AS word, name, {p} AS person, substr(md5(name), 1, 1) IN ('0', '1', '2', '3') AS held
+ FROM (SELECT lower(regexp_replace(trim(name), '\\s+', ' ', 'g')) AS name FROM ({t}) n0) n1 WHERE contains(name, ' ')"""
+_SCORED = """SELECT word, n, CAST((n * greatest(others, 1) * 1000) // (n * greatest(others, 1) + other * greatest(people, 1)) AS BIGINT) AS score FROM
+ (SELECT word, count(*) FILTER (person) AS n, count(*) FILTER (NOT person) AS other FROM {t} GROUP BY word) w0, (SELECT count(*) FILTER (person) AS people, count(*) FILTER (NOT person) AS others FROM {t}) w1 WHERE n > 0"""
+_GIVEN = f"""nm AS MATERIALIZED ({_FIRST.format(p='true', t=_OFFICER_NAMES)} UNION ALL {_FIRST.format(p='false', t=_COMPANY_NAMES)}),
+tr AS (SELECT * FROM nm WHERE NOT held), kn AS ({_SCORED.format(t='tr')}),
+ak AS (SELECT nm.person, coalesce(kn.score, -1) AS score FROM nm LEFT JOIN kn ON kn.word = nm.word WHERE nm.held),
+rt AS (SELECT cut, count(*) FILTER (person AND score >= cut) * greatest(count(*) FILTER (NOT person), 1) - count(*) FILTER (NOT person AND score >= cut) * greatest(count(*) FILTER (person), 1) AS gain
+  FROM ak, (SELECT unnest(generate_series(100, 900, 100)) AS cut) c0 GROUP BY cut),
+bc AS (SELECT coalesce((SELECT cut FROM rt ORDER BY gain DESC, cut LIMIT 1), 500) AS cut),
+gv AS MATERIALIZED (SELECT word, n, score, CAST(cut AS BIGINT) AS cut FROM ({_SCORED.format(t='nm')}) s0, bc WHERE score >= cut AND n >= 2)"""
+
+
+def officer_names(spark, sf):
+    return L.landed(spark, sf, _OFFICER_NAMES)
+
+
+def company_names(spark, sf):
+    return L.landed(spark, sf, _COMPANY_NAMES)
+
+
+@query("b23_given_names", f"WITH {_GIVEN} SELECT word, n, score, cut FROM gv")
+def b23_given(spark, sf):
+    return given_names(officer_names(spark, sf), company_names(spark, sf)).select("word", "n", F.col("score").cast("bigint").alias("score"), F.col("cut").cast("bigint").alias("cut"))
+
+
+_ANY_NAMES = f"""SELECT k, {L._picks('k', 'Abigail', 'Linda', 'JOBS', 'Ann', 'María', 'Oak', 'Cloud')} || ' ' || {L._picks('k', 'Jobs', 'LANE', 'Pipeline', 'Court', 'Stone')} AS person FROM ({L.REG}) r"""
+
+
+@query("b23_person_name_learned", f"""WITH {_GIVEN}, ls AS (SELECT list_concat(list(word), {C.items(V.DEFAULT_GIVEN_NAMES)}) AS given FROM gv)
+SELECT k, person, {C.person_name('person', names='given')} AS on_page FROM ({_ANY_NAMES}) n, ls""")
+def b23_learned(spark, sf):
+    lexicon = learned(officer_names(spark, sf), company_names(spark, sf))
+    return L.landed(spark, sf, _ANY_NAMES).select("k", "person", H.person_name("person", lexicon=lexicon).alias("on_page"))
+
+
 _BODY = "'we are at ' || lower(street) || ', suite 4 and ' || CAST(k % 900 + 10 AS STRING) || ' - w market street'"
 _TOK = "list_filter(string_split_regex(regexp_replace(lower(street), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '')"
 _PAT = C.let(_TOK, "t", f"""CASE WHEN regexp_matches(t[1], '^[0-9]+$') THEN '\\b' || t[1] || '\\b[\\s,\\.#\\-a-z]{{0,18}}?\\b' ||
