@@ -34,8 +34,10 @@ from .common import arrow_map, held
 SIZES = (4, 3, 2, 1)
 MIN_SHARE = 2e-5
 #: Distinct runs that a counting task holds, and runs whose scores a worker remembers.
-PIECES = 200_000
-CACHED = 250_000
+PIECES = 100_000
+CACHED = 100_000
+#: Bytes of text that are cut into runs at once.
+TOGETHER = 2 << 20
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 _BETWEEN = r"[^\p{L}]+"
@@ -59,6 +61,17 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return pc.list_parent_indices(cut).to_numpy(), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
+def stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices of about `TOGETHER` bytes of text, so that what is made of their runs stays small; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        yield at, to
+        at = to
+
+
 def _count_runs(batches: Iterator[dict]) -> Iterator[dict]:
     """(lang, run, n). What was counted is sent on whenever many different runs are held."""
     counts: dict[str, Counter] = defaultdict(Counter)
@@ -74,16 +87,16 @@ def _count_runs(batches: Iterator[dict]) -> Iterator[dict]:
 
     for b in batches:
         langs = b["lang"].dictionary_encode()
-        of, code, distinct = runs(b["text"])
-        both = langs.indices.to_numpy(zero_copy_only=False)[of].astype(np.int64) * max(1, len(distinct)) + code
-        keys, n = np.unique(both, return_counts=True)
-        names = langs.dictionary.to_pylist()
-        for key, times in zip(keys.tolist(), n.tolist(), strict=True):
-            at, run = divmod(key, len(distinct))
-            if distinct[run]:
-                counts[names[at]][distinct[run]] += times
-        if sum(map(len, counts.values())) > PIECES:
-            yield flush()
+        numbers, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
+        for lo, hi in stretches(b["text"]):
+            of, code, distinct = runs(b["text"].slice(lo, hi - lo))
+            keys, n = np.unique(numbers[lo:hi][of].astype(np.int64) * max(1, len(distinct)) + code, return_counts=True)
+            for key, times in zip(keys.tolist(), n.tolist(), strict=True):
+                at, run = divmod(key, len(distinct))
+                if distinct[run]:
+                    counts[names[at]][distinct[run]] += times
+            if sum(map(len, counts.values())) > PIECES:
+                yield flush()
     yield flush()
 
 
@@ -195,16 +208,15 @@ class Model:
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
         out, share = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.langs or not len(texts):
-            return out, share
-        of, code, distinct = runs(texts)
-        sums = self.scores(distinct)
-        totals = np.stack([np.bincount(of, weights=sums[code, j], minlength=len(texts)) for j in range(sums.shape[1])], axis=1)
-        logs = totals[:, :-1] - totals[:, :-1].max(axis=1, keepdims=True)
-        shares = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)
-        best = shares.argmax(axis=1)
-        for k in np.flatnonzero(totals[:, -1]).tolist():
-            out[k], share[k] = self.langs[best[k]], float(shares[k, best[k]])
+        for lo, hi in stretches(texts) if self.langs else ():
+            of, code, distinct = runs(texts.slice(lo, hi - lo))
+            sums = self.scores(distinct)
+            totals = np.stack([np.bincount(of, weights=sums[code, j], minlength=hi - lo) for j in range(sums.shape[1])], axis=1)
+            logs = totals[:, :-1] - totals[:, :-1].max(axis=1, keepdims=True)
+            shares = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)
+            best = shares.argmax(axis=1)
+            for k in np.flatnonzero(totals[:, -1]).tolist():
+                out[lo + k], share[lo + k] = self.langs[best[k]], float(shares[k, best[k]])
         return out, share
 
 
