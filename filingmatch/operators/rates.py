@@ -31,14 +31,18 @@ def micros(ts: str) -> Column:
 def trailing_counts(events: DataFrame, key: str, ts: str, seconds: int = WINDOW_SECONDS, name: str = "n") -> DataFrame:
     """Adds how many events of the key lie in the window that ends at each event (open at its far end).
 
-    A key is cut into buckets one window long; an event counts in its own bucket and is context in the next one. So a key that owns
-    a third of all events is spread over as many tasks as it has buckets.
+    A key is cut into buckets one window long; an event counts from its instant on and, in the next bucket, until it is a window old. So a
+    key that owns a third of all events is spread over as many tasks as it has buckets, and a count is a running sum, however many events a
+    window holds.
     """
     span = seconds * 1_000_000
     placed = events.withColumn("_us", micros(ts)).withColumn("_own", F.floor(F.col("_us") / span))
-    both = placed.withColumn("_bucket", F.explode(F.array("_own", F.col("_own") + 1)))
-    w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-span + 1, 0)
-    return both.withColumn(name, F.count(F.lit(1)).over(w)).where("_bucket = _own").drop("_us", "_own", "_bucket")
+    steps = [F.struct((F.col("_own") + i).alias("bucket"), (F.col("_us") + i * span).alias("at"), F.lit(1 - 2 * i).alias("step")) for i in (0, 1)]
+    both = placed.withColumn("_s", F.explode(F.array(*steps))).withColumn("_bucket", F.col("_s.bucket"))
+    w = Window.partitionBy(key, "_bucket").orderBy("_s.at")
+    earlier = F.count_if(F.col("_s.step") < 0).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    counted = both.withColumn(name, earlier + F.sum("_s.step").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    return counted.where("_bucket = _own").drop("_us", "_own", "_bucket", "_s")
 
 
 def kept(events: DataFrame, ts: str, now: Column, seconds: int = KEEP_SECONDS) -> DataFrame:
