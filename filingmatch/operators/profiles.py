@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows whose names and texts are Python objects at a time.
+ROWS = 100
+
 
 def lowered(text: str) -> str:
     """Lower case, letter by letter where a letter's lower case is longer, so that places stay the same."""
@@ -100,7 +103,7 @@ def with_profiles(rows: DataFrame, names: Column, pages: Column, out: str = "lin
     keep = len(rows.columns)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             linked = [None if n is None else matched_profiles(n, p) for n, p in zip(b.column(keep).to_pylist(), b.column(keep + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(linked, pa.list_(pa.string()))], [*b.schema.names[:keep], out])
 

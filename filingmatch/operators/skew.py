@@ -1,4 +1,4 @@
-"""Joins and windows that keep one hot key from becoming one hot task."""
+"""Joins, windows and deals that keep one task from doing the work of many."""
 
 from __future__ import annotations
 
@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 SALTS = 64
+#: Rows of a task where a row is short but dear to work out.
+DEAR_ROWS = 5_000
+
+
+def spread(df: DataFrame, rows: int = DEAR_ROWS) -> DataFrame:
+    """The same rows, dealt evenly over tasks of about `rows` rows. Scans and shuffles are cut by bytes, so a table of short rows comes in a few
+    tasks, however long names, titles and addresses in them take to work out; here the number of tasks grows with the rows."""
+    return df.repartition(max(1, -(-df.count() // rows)))
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:

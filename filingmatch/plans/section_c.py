@@ -186,7 +186,7 @@ nd AS (SELECT page_id, is_legal, 0 AS pos, 'None' AS types, '' AS name, '' AS jo
 
 
 def _dom(spark, sf):
-    return located(pages(spark, sf)).withColumn("dom", dom_facts(F.col("html")))
+    return located(pages(spark, sf)).withColumn("dom", dom_facts(F.col("html"), "nodes"))
 
 
 @query("c10_json_ld", _with("SELECT page_id, pos, types, name, job_title, email, telephone FROM nd", NODES))
@@ -235,11 +235,10 @@ tp AS (SELECT page_id, 1 AS part, pos, coalesce(an, bn, CASE WHEN wn IS NULL AND
 """
 
 
-def said_facts(spark, sf):
-    """Page text without quoted passages, the part of the page facts that people are read from."""
-    p = texts(spark, sf).withColumn("dom", dom_facts(F.col("html")))
-    return p.select("page_id", F.col("path").rlike(V.LEGAL_PATH).alias("is_legal"), F.coalesce("dom.said", "body").alias("said"), F.col("dom.nodes").alias("nodes"),
-                    F.col("dom.profiles").alias("profiles"))
+def said_facts(spark, sf, *more: str):
+    """Page text without quoted passages, the part of the page facts that people are read from, and those that `more` names."""
+    p = texts(spark, sf).withColumn("dom", dom_facts(F.col("html"), "said", *more))
+    return p.select("page_id", F.col("path").rlike(V.LEGAL_PATH).alias("is_legal"), F.coalesce("dom.said", "body").alias("said"), *[F.col(f"dom.{m}").alias(m) for m in more])
 
 
 @query("c13_text_people", _with("SELECT page_id, part, pos, name, title FROM tp WHERE name IS NOT NULL AND title <> ''", TEXT_PEOPLE))
@@ -251,7 +250,7 @@ def c13(spark, sf):
 
 @query("c14_quote_suppression", _with("SELECT page_id, md5(said) AS said, length(full_text) - length(said) AS quoted FROM pf"))
 def c14(spark, sf):
-    full = texts(spark, sf).withColumn("dom", dom_facts(F.col("html")))
+    full = texts(spark, sf).withColumn("dom", dom_facts(F.col("html"), "said"))
     said = F.coalesce("dom.said", "body")
     return full.select("page_id", F.md5(said).alias("said"), (F.length("body") - F.length(said)).cast("bigint").alias("quoted"))
 
@@ -263,7 +262,7 @@ _PROFILE = f"lower(regexp_extract(split_part(l.href, '?', 1), {C.lit(V.PROFILE_U
   regexp_extract(array_to_string(list_transform(p2.links, lambda z: z.href), ' '), 'linkedin.com/company/([A-Za-z0-9_.%-]{{2,100}})[ #?]', 1), '') FROM pf p2 WHERE p2.page_id = q.page_id) AS company
 FROM (SELECT page_id, unnest(links) AS l FROM pf) q WHERE contains(l.href, 'linkedin.com/in/')"""))
 def c15(spark, sf):
-    p = texts(spark, sf).withColumn("dom", dom_facts(F.col("html")))
+    p = texts(spark, sf).withColumn("dom", dom_facts(F.col("html"), "profiles"))
     company = P.company_profile(F.col("links"))
     company = F.when(company == "", F.lit("https://www.linkedin.com/company/")).otherwise(company)
     return (p.select("page_id", company.alias("company"), F.explode(P.person_profiles(F.col("dom.profiles"))["links"]).alias("p"))

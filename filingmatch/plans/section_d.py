@@ -10,6 +10,7 @@ from ..functions.links import plain_web_address
 from ..functions.names import core_tokens
 from ..operators import choose, classify, sites
 from ..operators import pages as P
+from ..operators.skew import spread
 from . import check_sql as C
 from . import landed as L
 from .catalog import query
@@ -105,7 +106,7 @@ _PEOPLE = (HOMES, ROLES, CHOSEN, NODES, LD_PEOPLE, TEXT_PEOPLE, PEOPLE)
 @query("d5_person_filter", _with("SELECT page_id, name, title, count(*) AS n FROM pk GROUP BY ALL", *_PEOPLE))
 def d5(spark, sf):
     people = P.people_of_page(F.col("said"), F.col("nodes"))
-    rows = said_facts(spark, sf).where(~F.col("is_legal")).select("page_id", F.explode(people).alias("p"))
+    rows = said_facts(spark, sf, "nodes").where(~F.col("is_legal")).select("page_id", F.explode(people).alias("p"))
     return (rows.select("page_id", F.explode(sites.leaders(F.array("p"))).alias("p")).groupBy("page_id", F.col("p.name").alias("name"), F.col("p.title").alias("title"))
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -199,7 +200,7 @@ SELECT x.id, coalesce(b.e, '') AS email, coalesce(b.came, '') AS came_from FROM
 def d10(spark, sf):
     site, filed = _mails()
     pick = choose.pick_email(site, filed, F.col("domain"), F.col("city"))
-    return L.landed(spark, sf, L.COMPANIES).select("id", pick.alias("p")).select("id", "p.email", "p.came_from")
+    return spread(L.landed(spark, sf, L.COMPANIES)).select("id", pick.alias("p")).select("id", "p.email", "p.came_from")
 
 
 @query("d11_pick_phone", f"""SELECT id, coalesce(u[1], '') AS phone, CASE WHEN u[1] IS NULL THEN '' WHEN u[1][4:6] = '624' THEN '{V.LEGAL_ONLY}' ELSE 'company website' END AS came_from,
