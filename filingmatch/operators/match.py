@@ -16,7 +16,7 @@ from ..functions.places import mentions_word, street_pattern
 from ..session import durable
 from ..sources.crawl import located
 from .pages import home_pages, page_texts
-from .skew import salted_join
+from .skew import salted_join, spread
 
 
 def candidate_domains(name: Column, trade: Column, emails: Column, tlds: list[str] | None = None) -> Column:
@@ -38,7 +38,8 @@ def candidate_domains(name: Column, trade: Column, emails: Column, tlds: list[st
 def candidates(filings: DataFrame, tlds: list[str] | None = None) -> DataFrame:
     """(id, pos, domain, hinted) in order."""
     doms = candidate_domains(text("name"), text("trade_name"), F.col("emails"), tlds)
-    return filings.select("id", F.posexplode(doms).alias("pos", "c")).select("id", "pos", "c.domain", "c.hinted")
+    named = spread(filings.select("id", "name", "trade_name", "emails"))
+    return named.select("id", F.posexplode(doms).alias("pos", "c")).select("id", "pos", "c.domain", "c.hinted")
 
 
 def _label_rows(name: Column, trade: Column, emails: Column) -> Column:
@@ -70,7 +71,8 @@ def live_candidates(filings: DataFrame, hosts: DataFrame, tlds: list[str] | None
     filing is its own few candidates.
     """
     endings = F.array(*[F.lit(t) for t in (tlds or V.TLDS)])
-    rows = (filings.select("id", F.posexplode(_label_rows(text("name"), text("trade_name"), F.col("emails"))).alias("base", "c"))
+    named = spread(filings.select("id", "name", "trade_name", "emails"))
+    rows = (named.select("id", F.posexplode(_label_rows(text("name"), text("trade_name"), F.col("emails"))).alias("base", "c"))
             .select("id", "base", "c.label", "c.ending", "c.hinted"))
     names = hosts.select(F.regexp_replace("host", r"\.[^.]*$", "").alias("label"), F.regexp_extract("host", r"\.([^.]*)$", 1).alias("host_ending"),
                          F.col("host").alias("domain"))
@@ -98,7 +100,8 @@ def home_facts(pages: DataFrame, homes: DataFrame) -> DataFrame:
 
 def filing_keys(filings: DataFrame) -> DataFrame:
     """What matching reads of a filing, worked out once per filing."""
-    return filings.select(
+    asked = spread(filings.select("id", "name", "trade_name", "city", "zip", "phone", "individual", "address", "registered"))
+    return asked.select(
         "id", F.filter(F.array_distinct(F.array(core("name"), core("trade_name"))), lambda c: F.length(c) >= 3).alias("cores"),
         flat("name").alias("legal"), F.size(core_tokens("name")).alias("words"), F.lower(text("city")).alias("town"), text("zip").alias("zip"),
         norm_phone("phone").alias("line"), F.when(~F.coalesce("individual", F.lit(False)), street_pattern("address")).alias("street"), "registered")
