@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..session import durable
 from .rules import Rules, clean_stored, qualify
+from .skew import spread
 
 _TAKEN = ["same website as another company"]
 
@@ -105,7 +106,7 @@ def rejudged(companies: DataFrame, rules: Rules, today: Column) -> DataFrame:
     """
     e, raw = F.col("enrich"), F.col("raw")
     listed = F.col("state").isin(V.LISTED)
-    judged = durable(companies.withColumn("_clean", F.when(listed, clean_stored(raw, e)).otherwise(e))).withColumn(
+    judged = durable(spread(companies).withColumn("_clean", F.when(listed, clean_stored(raw, e)).otherwise(e))).withColumn(
         "_q", qualify(raw, F.col("_clean"), rules))
     ready = F.col("_q.state") == "ready"
     wants = F.col("state").isin("held", "dropped") & e.isNotNull() & ready
