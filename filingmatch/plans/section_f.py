@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import row_hash
 from ..operators import publish, rules, state
+from ..operators.skew import spread
 from . import check_sql as C
 from . import landed as L
 from .catalog import query
@@ -84,7 +85,7 @@ c3 AS (SELECT *, CASE WHEN contact_name = '' THEN '' WHEN good THEN who ELSE coa
 
 @query("f3_clean_stored", f"WITH {CLEANED} SELECT id, phone_n AS phone, phone_from_n AS phone_from, next_phone AS phones, email_n AS email, email_from_n AS email_from, name_n AS contact, title_n AS title, linkedin_n AS linkedin FROM c3 WHERE has_lookup")
 def f3(spark, sf):
-    c = companies(spark, sf).where(F.col("enrich").isNotNull())
+    c = spread(companies(spark, sf).where(F.col("enrich").isNotNull()).select("id", "raw", "enrich"))
     e = c.select("id", rules.clean_stored(F.col("raw"), F.col("enrich")).alias("e"))
     blank = lambda x: F.coalesce(F.col(x), F.lit(""))                                            # noqa: E731
     return e.select("id", "e.phone", "e.phone_from", F.array_join("e.phones", " ").alias("phones"), "e.email", "e.email_from",
