@@ -12,6 +12,7 @@ from ..functions import people as H
 from ..functions import phones as P
 from ..functions import places as G
 from ..operators.lexicon import given_names, learned
+from ..operators.skew import spread
 from . import check_sql as C
 from . import landed as L
 from .catalog import query
@@ -188,7 +189,7 @@ _NAMES = f"""SELECT k, {L._picks('k', 'Linda', 'ROBERT', 'J.', 'maria de', 'Dr.
 @query("b23_person_name", f"""SELECT k, person, {C.person_name('person')} AS on_page, {C.person_name('person', 'true')} AS in_filing,
   {C.person_name('person', 'false', C.core_tokens("person || ' LLC'"))} AS own_name FROM ({_NAMES}) n""")
 def b23(spark, sf):
-    names = L.landed(spark, sf, _NAMES)
+    names = spread(L.landed(spark, sf, _NAMES))
     return names.select("k", "person", H.person_name("person").alias("on_page"), H.person_name("person", registry=True).alias("in_filing"),
                         H.person_name("person", company_tokens=N.core_tokens(F.concat("person", F.lit(" LLC")))).alias("own_name"))
 
@@ -229,7 +230,7 @@ _ANY_NAMES = f"""SELECT k, {L._picks('k', 'Abigail', 'Linda', 'JOBS', 'Ann', 'Ma
 SELECT k, person, {C.person_name('person', names='given')} AS on_page FROM ({_ANY_NAMES}) n, ls""")
 def b23_learned(spark, sf):
     lexicon = learned(officer_names(spark, sf), company_names(spark, sf))
-    return L.landed(spark, sf, _ANY_NAMES).select("k", "person", H.person_name("person", lexicon=lexicon).alias("on_page"))
+    return spread(L.landed(spark, sf, _ANY_NAMES)).select("k", "person", H.person_name("person", lexicon=lexicon).alias("on_page"))
 
 
 _BODY = "'we are at ' || lower(street) || ', suite 4 and ' || CAST(k % 900 + 10 AS STRING) || ' - w market street'"
