@@ -160,8 +160,10 @@ def _folded(rows: DataFrame, limit_of: Callable[[str], int], seconds: int, slice
 
         def judged() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks()
-            keys = whole.column("_keys").combine_chunks()
-            passed, left = _fold_slice(whole.column("_us").to_numpy(), keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys, start or [], limit_of, span)
+            keys, us = (x.chunk(0) if isinstance(x := whole.column(c).combine_chunks(), pa.ChunkedArray) else x for c in ("_keys", "_us"))
+            if us.null_count or keys.null_count or keys.flatten().null_count:
+                raise ValueError("an event to be admitted needs an instant, and keys that are not null")
+            passed, left = _fold_slice(us.to_numpy(), keys, start or [], limit_of, span)
             n = whole.num_rows
             ids = whole.column("_id").combine_chunks()
             yield from pa.Table.from_arrays([ids, pa.array(np.full(n, current), pa.int32()), pa.array(passed), pa.nulls(n, arrow[3].type)], schema=arrow).to_batches(10_000)
